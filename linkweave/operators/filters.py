@@ -56,11 +56,11 @@ def interaction_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def host_pathogen_rows(df: DataFrame, host: str, pathogen: str, unreviewed: str = "unassigned") -> DataFrame:
-    """Rows between the two species (either order) with a reviewed publication."""
-    a, b = tax_of("tax_a"), tax_of("tax_b")
-    between = (a.isin(host) & b.isin(pathogen)) | (a.isin(pathogen) & b.isin(host))
-    return df.filter(between & ~F.col("pmid").contains(unreviewed))
+def host_pathogen_rows(df: DataFrame, host: str, pathogen: str, unreviewed: str = "pubmed:8888") -> DataFrame:
+    """Rows whose partners belong to the two species, without unreviewed papers (marked by their prefix)."""
+    filled = df.withColumn("tax_a", F.when(F.col("tax_a") == "-", F.col("tax_b")).otherwise(F.col("tax_a")))
+    both = tax_of("tax_a").isin(host, pathogen) & tax_of("tax_b").isin(host, pathogen)
+    return filled.filter(both & ~last_of_list("pmid").contains(unreviewed))
 
 
 def filter_taxon(df: DataFrame, tax_id: str, col: str = "taxon") -> DataFrame:

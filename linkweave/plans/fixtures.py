@@ -230,7 +230,7 @@ def sup_links(spark: S, sf: str) -> DataFrame:
         p.join(bal.withColumnsRenamed({"s_suppkey": "a", "s_acctbal": "bal_a"}), "a")
         .join(bal.withColumnsRenamed({"s_suppkey": "b", "s_acctbal": "bal_b"}), "b")
         .select(
-            "a", "b", F.bround(1 - F.abs(F.col("bal_a") - F.col("bal_b")) / 20000, 4).alias("score"),
+            "a", "b", F.bround(1 - F.abs(F.col("bal_a") - F.col("bal_b")) / 19997, 4).alias("score"),
             F.when(F.col("bal_a") > F.col("bal_b"), 2).otherwise(3).alias("direction"),
         )
     )
@@ -238,7 +238,7 @@ def sup_links(spark: S, sf: str) -> DataFrame:
 
 view(
     "sup_links",
-    """SELECT x.s_suppkey AS a, y.s_suppkey AS b, round_even(1 - abs(x.s_acctbal - y.s_acctbal) / 20000, 4) AS score,
+    """SELECT x.s_suppkey AS a, y.s_suppkey AS b, round_even(1 - abs(x.s_acctbal - y.s_acctbal) / 19997, 4) AS score,
        CASE WHEN x.s_acctbal > y.s_acctbal THEN 2 ELSE 3 END AS direction
        FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey > y.s_suppkey""",
 )

@@ -38,10 +38,11 @@ def with_views(needs: str, body: str) -> str:
     if not order:
         return body
     clauses = ",\n".join(f"{n} AS ({_VIEWS[n][1]})" for n in order)
-    head = "WITH RECURSIVE " if "recursive" in body.lower() else "WITH "
     body = body.strip()
-    if body.lower().startswith("with "):
-        return f"{head}{clauses},\n{body[5:]}"
+    for start, head in (("with recursive ", "WITH RECURSIVE "), ("with ", "WITH ")):
+        if body.lower().startswith(start):
+            return f"{head}{clauses},\n{body[len(start):]}"
+    head = "WITH "
     return f"{head}{clauses}\n{body}"
 
 
