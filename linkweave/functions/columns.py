@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def half_even(x: str | Column, places: int) -> Column:
+    """Half-even rounding by multiply, round to integer, divide. Values are first settled to nine places,
+    so a sum that lands on a tie rounds the same way in whatever order it was added up."""
+    x = F.col(x) if isinstance(x, str) else x
+    if places <= 6:
+        x = F.rint(x * 1e9) / 1e9
+    return F.rint(x * float(10**places)) / float(10**places)
+
+
 def canonical_pair(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Store an undirected pair with the larger id first."""
     return df.withColumns({a: F.greatest(a, b), b: F.least(a, b)})
@@ -56,7 +65,7 @@ def logistic(x: Column, a: Column, b: Column, c: Column) -> Column:
 
 def ppv_of_fbs(fbs: Column, a: Column, b: Column, c: Column, lo: float = 0.5) -> Column:
     """Confidence of a score: negatives count as 0, logistic, clipped to [lo, 1], 3 places; no model gives 0."""
-    value = F.bround(clip(logistic(F.greatest(fbs, F.lit(0.0)), a, b, c), F.lit(lo), F.lit(1.0)), 3)
+    value = half_even(clip(logistic(F.greatest(fbs, F.lit(0.0)), a, b, c), F.lit(lo), F.lit(1.0)), 3)
     return F.coalesce(value, F.lit(0.0))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkweave.functions.columns import half_even
 from linkweave.session import checkpointed
 
 # A window partition up to this many rows is sorted by one task; beyond it the range form is used.
@@ -67,12 +68,12 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_ra
     return df.join(ranks, [*keys, value])
 
 
-def quantile_bounds(df: DataFrame, keys: list[str], value: str, lo: float, hi: float) -> DataFrame:
-    """Exact linear-interpolated quantiles per key, from counted distinct values."""
+def quantile_bounds(df: DataFrame, keys: list[str], value: str, lo: float, hi: float, weight: Column | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles per key, from counted distinct values (`weight` if already counted)."""
     w = W.partitionBy(*keys)
     steps = (
         df.groupBy(*keys, value)
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum(weight if weight is not None else F.lit(1)).alias("n"))
         .withColumn("_upto", F.sum("n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("_total", F.sum("n").over(w))
     )
@@ -122,7 +123,7 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int, identity: list[st
 
 def top_fraction(df: DataFrame, keys: list[str], value: str, fraction: float, tie: list[str]) -> DataFrame:
     """The round(n * fraction) highest rows of each key."""
-    sizes = df.groupBy(*keys).agg(F.bround(F.count("*") * F.lit(fraction), 0).cast("int").alias("_keep"))
+    sizes = df.groupBy(*keys).agg(half_even(F.count("*") * F.lit(fraction), 0).cast("int").alias("_keep"))
     ranked = numbered(df, keys, [F.col(value).desc(), *[F.col(t) for t in tie]], "_rn")
     return ranked.join(sizes, keys).filter(F.col("_rn") <= F.col("_keep")).select(*df.columns)
 

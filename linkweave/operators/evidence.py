@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.functions.columns import canonical_directed, canonical_pair, drop_self
+from linkweave.functions.columns import canonical_directed, canonical_pair, drop_self, half_even
 from linkweave.functions.ordered import top_fraction
 from linkweave.operators.allpairs import spearman_pairs
 from linkweave.operators.filters import abs_score_cut, explode_probes, interaction_rows, quality_check
@@ -153,7 +153,7 @@ def coexpression_pairs(
     mean = mapped.groupBy("protein_id", "sample").agg(F.avg("value").alias("value"))
     r = spearman_pairs(quality_check(mean, n_samples), 3, min_abs, block)
     strong = abs_score_cut(exclude_pairs(r, homologs), min_abs)
-    lo_hi = strong.agg(F.struct(F.bround(F.min("score"), 4).alias("lo"), F.bround(F.max("score"), 4).alias("hi"))).scalar()
+    lo_hi = strong.agg(F.struct(half_even(F.min("score"), 4).alias("lo"), half_even(F.max("score"), 4).alias("hi"))).scalar()
     ranged = strong.withColumn("_r", lo_hi).withColumns({"score_min": F.col("_r.lo"), "score_max": F.col("_r.hi")}).drop("_r")
     return minmax(ranged, places=places)
 

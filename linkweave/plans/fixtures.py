@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkweave.functions.columns import half_even
 from linkweave.operators.tiles import member_pairs
 from linkweave.plans.registry import table, view
 
@@ -83,7 +84,7 @@ def evidence_link(spark: S, sf: str) -> DataFrame:
             cond,
             F.struct(
                 F.lit(i).alias("evidence_id"), F.lit(etype).alias("type"), F.lit(tax).alias("tax_id"),
-                F.bround(score, 4).alias("score"), direction.cast("int").alias("direction"),
+                half_even(score, 4).alias("score"), direction.cast("int").alias("direction"),
             ),
         )
 
@@ -147,8 +148,8 @@ view(
 
 def net(spark: S, sf: str) -> DataFrame:
     """A weighted network over parts: (a, b, ppv, fbs)."""
-    ppv = F.bround(0.5 + 0.5 * (1 - size_gap() / 50.0), 3)
-    return feat(spark, sf).select("a", "b", ppv.alias("ppv"), F.bround(price_gap() / 100, 3).alias("fbs"))
+    ppv = half_even(0.5 + 0.5 * (1 - size_gap() / 50.0), 3)
+    return feat(spark, sf).select("a", "b", ppv.alias("ppv"), half_even(price_gap() / 100, 3).alias("fbs"))
 
 
 view(
@@ -230,7 +231,7 @@ def sup_links(spark: S, sf: str) -> DataFrame:
         p.join(bal.withColumnsRenamed({"s_suppkey": "a", "s_acctbal": "bal_a"}), "a")
         .join(bal.withColumnsRenamed({"s_suppkey": "b", "s_acctbal": "bal_b"}), "b")
         .select(
-            "a", "b", F.bround(1 - F.abs(F.col("bal_a") - F.col("bal_b")) / 19997, 4).alias("score"),
+            "a", "b", half_even(1 - F.abs(F.col("bal_a") - F.col("bal_b")) / 19997, 4).alias("score"),
             F.when(F.col("bal_a") > F.col("bal_b"), 2).otherwise(3).alias("direction"),
         )
     )

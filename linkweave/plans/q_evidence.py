@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from linkweave.functions.columns import half_even
 from linkweave.operators import allpairs as A
 from linkweave.operators import evidence as E
 from linkweave.operators import filters as P
@@ -19,7 +20,7 @@ _JACCARD = """SELECT x.id AS a, y.id AS b, count(*) AS shared, round_even(count(
 
 @query("e01_jaccard_pairs", _JACCARD.format(s="sup_sets"), "sup_sets")
 def _(spark, sf):
-    return E.jaccard_pairs(X.sup_sets(spark, sf)).withColumn("score", F.bround("score", 6))
+    return E.jaccard_pairs(X.sup_sets(spark, sf)).withColumn("score", half_even("score", 6))
 
 
 @query(
@@ -48,7 +49,7 @@ view("spearman", "SELECT x.protein_id AS a, y.protein_id AS b, round(corr(x.r, y
 
 @query("e02_spearman_pairs", "SELECT a, b, round_even(r, 9) AS score FROM spearman WHERE abs(r) > 0.1", "spearman")
 def _(spark, sf):
-    return A.spearman_pairs(_expression(spark, sf), 3, 0.1).withColumn("score", F.bround("score", 9))
+    return A.spearman_pairs(_expression(spark, sf), 3, 0.1).withColumn("score", half_even("score", 9))
 
 
 def _monthly(spark, sf):
@@ -68,7 +69,7 @@ def _monthly(spark, sf):
        SELECT a, b, round_even(corr(rx, ry), 9) AS score FROM r GROUP BY ALL HAVING count(*) >= 5 AND corr(rx, ry) IS NOT NULL AND NOT isnan(corr(rx, ry))""",
 )
 def _(spark, sf):
-    return A.spearman_pairs(_monthly(spark, sf), 5).withColumn("score", F.bround("score", 9))
+    return A.spearman_pairs(_monthly(spark, sf), 5).withColumn("score", half_even("score", 9))
 
 
 def _hits(spark, sf):
@@ -110,7 +111,7 @@ _DOMAIN = """WITH f AS (SELECT domain, count(*) AS f FROM (SELECT domain_a AS do
 @query("e03_domain_scores", _DOMAIN.format(meta="count(*) AS n_domains"), "ddi_pairs")
 def _(spark, sf):
     d = E.domain_scores(_ddi(spark, sf), _hits(spark, sf))
-    return d.select("a", "b", F.bround("score", 8).alias("score"), F.size("metadata").cast("long").alias("n_domains"))
+    return d.select("a", "b", half_even("score", 8).alias("score"), F.size("metadata").cast("long").alias("n_domains"))
 
 
 @query(
@@ -120,7 +121,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     d = E.domain_scores(_ddi(spark, sf), _hits(spark, sf))
-    return d.select("a", "b", F.bround("score", 8).alias("score"), F.array_join(F.array_sort("metadata"), ",").alias("metadata"))
+    return d.select("a", "b", half_even("score", 8).alias("score"), F.array_join(F.array_sort("metadata"), ",").alias("metadata"))
 
 
 def _paper_rows(spark, sf):
@@ -141,7 +142,7 @@ def _paper_rows(spark, sf):
        FROM r JOIN p USING (pmid) JOIN d x ON x.node = a JOIN d y ON y.node = b GROUP BY a, b""",
 )
 def _(spark, sf):
-    return E.publication_scores(_paper_rows(spark, sf)).select("a", "b", F.bround("score", 8).alias("score"))
+    return E.publication_scores(_paper_rows(spark, sf)).select("a", "b", half_even("score", 8).alias("score"))
 
 
 @query(
@@ -176,7 +177,7 @@ def _(spark, sf):
     )
     # scores are means of two-digit numbers: equal means must tie whatever order they were added in
     mean = rows.groupBy("a", "b").agg(F.round(F.avg("score"), 9).alias("score"))
-    return E.genetic_profile_pairs(mean).withColumn("score", F.bround("score", 9))
+    return E.genetic_profile_pairs(mean).withColumn("score", half_even("score", 9))
 
 
 @query(
@@ -222,7 +223,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     j = E.abundance_pairs(_abundance(spark, sf))
-    return j.groupBy("shared", F.bround("score", 6).alias("score")).agg(F.count("*").alias("n"))
+    return j.groupBy("shared", half_even("score", 6).alias("score")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -240,7 +241,7 @@ def _(spark, sf):
         .groupBy(F.col("l_suppkey").alias("gene"), F.concat("o_orderpriority", "l_returnflag").alias("filename"))
         .agg(F.sum("l_quantity").alias("value"))
     )
-    return E.abundance_pairs(ab, "spearman").withColumn("score", F.bround("score", 9))
+    return E.abundance_pairs(ab, "spearman").withColumn("score", half_even("score", 9))
 
 
 def _presence(spark, sf):
@@ -304,7 +305,7 @@ def nation_branches(spark, sf) -> pd.DataFrame:
 )
 def _(spark, sf):
     p = E.presence_profiles(_presence(spark, sf))
-    return A.phylo_pairs(p, nation_branches(spark, sf)).withColumn("score", F.bround("score", 6))
+    return A.phylo_pairs(p, nation_branches(spark, sf)).withColumn("score", half_even("score", 6))
 
 
 def _edges(spark, sf):
@@ -328,7 +329,7 @@ _SV = """WITH RECURSIVE up(term, ancestor, s) AS (SELECT t, t, 1.0::DOUBLE FROM
 
 @query("e11_go_semantic_values", _SV + " SELECT term, ancestor, round_even(max(s), 8) AS s FROM up GROUP BY ALL", "edges")
 def _(spark, sf):
-    return E.go_semantic_values(_edges(spark, sf)).withColumn("s", F.bround("s", 8))
+    return E.go_semantic_values(_edges(spark, sf)).withColumn("s", half_even("s", 8))
 
 
 def _nation_sv(spark, sf):
@@ -343,7 +344,7 @@ _TS = f"""WITH e2 AS (SELECT * FROM edges WHERE child NOT LIKE 'c%'), {_NSV}, v
 
 @query("e12_term_similarity", _TS + " SELECT term_a, term_b, round_even(sim, 6) AS sim FROM ts", "edges")
 def _(spark, sf):
-    return E.term_similarity(_nation_sv(spark, sf)).withColumn("sim", F.bround("sim", 6))
+    return E.term_similarity(_nation_sv(spark, sf)).withColumn("sim", half_even("sim", 6))
 
 
 def _nation_annotation(spark, sf):
@@ -367,7 +368,7 @@ view(
 )
 def _(spark, sf):
     sim = E.term_similarity(_nation_sv(spark, sf))
-    return A.gene_similarity(_nation_annotation(spark, sf), sim).withColumn("score", F.bround("score", 6))
+    return A.gene_similarity(_nation_annotation(spark, sf), sim).withColumn("score", half_even("score", 6))
 
 
 @query(
@@ -385,7 +386,7 @@ def _(spark, sf):
     "nation_ann",
 )
 def _(spark, sf):
-    return A.weighted_mi_pairs(_nation_annotation(spark, sf)).withColumn("score", F.bround("score", 6))
+    return A.weighted_mi_pairs(_nation_annotation(spark, sf)).withColumn("score", half_even("score", 6))
 
 
 @query(
@@ -456,7 +457,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_discount") * 0.5 + 0.01).alias("p"))
-    return E.fisher_combine(li, ["k"]).withColumn("p", F.bround("p", 8))
+    return E.fisher_combine(li, ["k"]).withColumn("p", half_even("p", 8))
 
 
 @query(

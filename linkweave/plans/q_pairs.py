@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from linkweave.functions.columns import half_even
 from linkweave.functions import columns as C
 from linkweave.functions import ordered as O
 from linkweave.operators import filters as P
@@ -108,7 +109,7 @@ def _genetic(spark, sf):
        WHERE l_linestatus = 'F' AND l_returnflag <> 'R' AND l_linenumber <> 1""",
 )
 def _(spark, sf):
-    return P.genetic_rows(_genetic(spark, sf)).withColumn("score", F.bround("score", 6))
+    return P.genetic_rows(_genetic(spark, sf)).withColumn("score", half_even("score", 6))
 
 
 def _annotations(spark, sf):
@@ -248,7 +249,7 @@ def _(spark, sf):
     "evidence_link",
 )
 def _(spark, sf):
-    e = X.evidence_link(spark, sf).select("a", "b", F.bround(F.col("score") * 2 - 1, 6).alias("score"))
+    e = X.evidence_link(spark, sf).select("a", "b", half_even(F.col("score") * 2 - 1, 6).alias("score"))
     return P.abs_score_cut(e)
 
 
@@ -278,7 +279,7 @@ def _(spark, sf):
     "evidence_link",
 )
 def _(spark, sf):
-    f = X.evidence_link(spark, sf).groupBy("a", "b", F.col("type").alias("gs")).agg(F.bround(F.sum(F.col("score") - 0.6), 6).alias("fbs"))
+    f = X.evidence_link(spark, sf).groupBy("a", "b", F.col("type").alias("gs")).agg(half_even(F.sum(F.col("score") - 0.6), 6).alias("fbs"))
     return P.any_positive_fbs(f)
 
 
@@ -365,10 +366,10 @@ def _(spark, sf):
     links = (
         p.join(bal.withColumnsRenamed({"c_custkey": "a", "c_acctbal": "x"}), "a")
         .join(bal.withColumnsRenamed({"c_custkey": "b", "c_acctbal": "y"}), "b")
-        .select("a", "b", F.bround(F.abs(F.col("x") - F.col("y")) / 19997, 4).alias("score"))
+        .select("a", "b", half_even(F.abs(F.col("x") - F.col("y")) / 19997, 4).alias("score"))
     )
     moved = J.transfer_links(links, J.ortholog_view(X.ortholog(spark, sf), "10090", "9606"))
-    return J.mean_links(moved, ["a", "b"]).withColumn("score", F.bround("score", 10))
+    return J.mean_links(moved, ["a", "b"]).withColumn("score", half_even("score", 10))
 
 
 @query(
@@ -566,7 +567,7 @@ def _(spark, sf):
 
 @query("g01_mean_by", "SELECT a, b, round_even(avg(score), 6) AS score FROM evidence_link GROUP BY ALL", "evidence_link")
 def _(spark, sf):
-    return J.mean_links(X.evidence_link(spark, sf), ["a", "b"]).withColumn("score", F.bround("score", 6))
+    return J.mean_links(X.evidence_link(spark, sf), ["a", "b"]).withColumn("score", half_even("score", 6))
 
 
 @query(
@@ -677,7 +678,7 @@ def _(spark, sf):
     "net",
 )
 def _(spark, sf):
-    return O.complement_cdf(X.net(spark, sf), "ppv", 20, 0.5, 1.0).withColumn("share", F.bround("share", 6))
+    return O.complement_cdf(X.net(spark, sf), "ppv", 20, 0.5, 1.0).withColumn("share", half_even("share", 6))
 
 
 # --- normalisation ---------------------------------------------------------------------------

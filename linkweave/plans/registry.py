@@ -46,13 +46,32 @@ def with_views(needs: str, body: str) -> str:
     return f"{head}{clauses}\n{body}"
 
 
+def settle_rounding(sql: str) -> str:
+    """Spell out `round_even(x, n)` as the same arithmetic the operators use."""
+    out, rest = "", sql
+    while "round_even(" in rest:
+        at = rest.index("round_even(")
+        start, depth, comma, i = at + len("round_even("), 1, None, at + len("round_even(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(rest[i], 0) if rest[i] in "()" else 0
+            if rest[i] == "," and depth == 1:
+                comma = i
+            i += 1
+        inner, places = settle_rounding(rest[start:comma]), int(rest[comma + 1 : i - 1])
+        if places <= 6:
+            inner = f"(ROUND_EVEN(({inner}) * 1e9, 0) / 1e9)"
+        out += rest[:at] + f"(ROUND_EVEN(({inner}) * 1e{places}, 0) / 1e{places})"
+        rest = rest[i:]
+    return out + rest
+
+
 def query(name: str, sql: str | None = None, needs: str = "") -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_views(needs, sql)
+            ORACLES[name] = settle_rounding(with_views(needs, sql))
         return fn
 
     return register
