@@ -20,7 +20,7 @@ from linkweave.operators.pairs import (
     symmetric,
 )
 from linkweave.operators.tiles import member_pairs, with_cells
-from linkweave.session import checkpointed
+from linkweave.session import checkpointed, small_side
 
 
 def shared_attributes(sets: DataFrame, tile: int = 4096, keep_terms: bool = False) -> DataFrame:
@@ -259,7 +259,7 @@ def binding_pairs(peaks: DataFrame, genes: DataFrame, files: DataFrame, bin_size
     hits = interval_overlap(peaks, genes, bin_size).select("file", F.col("protein_id").alias("b"), F.col("value").alias("score"))
     many = hits.groupBy("file").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("file")
     scored = boxcox_minmax(hits.join(many, "file", "left_semi"), keys=["file"], rounds=rounds)
-    linked = scored.join(files.select("file", F.col("tf_id").alias("a")), "file").select("a", "b", "score", "file").distinct()
+    linked = scored.join(small_side(files.select("file", F.col("tf_id").alias("a"))), "file").select("a", "b", "score", "file").distinct()
     best = keep_max_ties(linked, ["a", "b"])
     return canonical_directed(drop_self(best).withColumn("direction", F.lit(2)))
 

@@ -81,8 +81,9 @@ def gs_from_orthologs(gs: DataFrame, view: DataFrame) -> DataFrame:
 def gs_matrix(gs_links: DataFrame, types: list[str], min_n: int = 100) -> DataFrame:
     """One row per pair with a direction code per gold standard (0 none); gold standards with fewer than
     `min_n` links are left out. Opposite directions of one pair stay two rows."""
-    sizes = gs_links.groupBy("gs").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_n).select("gs")
-    kept = gs_links.join(sizes, "gs", "left_semi")
+    sizes = gs_links.groupBy("gs").agg(F.count("*").alias("_n")).filter((F.col("_n") >= min_n) & F.col("gs").isin(types))
+    # at most one row per gold-standard type
+    kept = gs_links.join(F.broadcast(sizes.select("gs")), "gs", "left_semi")
     # a directed row keeps its own line, undirected codes are repeated on each of them
     directed = kept.filter(F.col("direction") > 1).select("a", "b", F.col("gs").alias("_gs"), F.col("direction").alias("_d"))
     plain = kept.filter(F.col("direction") <= 1).groupBy("a", "b").pivot("gs", types).agg(F.max("direction"))

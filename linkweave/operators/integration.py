@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from linkweave import vocab
 from linkweave.functions.columns import half_even, join_flags
-from linkweave.operators.pairs import exclude_pairs, keep_best
+from linkweave.operators.pairs import keep_best
+from linkweave.session import small_side
 
 ROW = ["a", "b", "direction"]
 
@@ -25,8 +26,8 @@ def integrate_weighted(llr: DataFrame, alpha: float = vocab.REDUNDANCY_ALPHA, co
         weight = F.pow(F.lit(alpha), F.row_number().over(w) - 1)
         return llr.withColumn("wllr", F.col("llr") * weight)
     prev = llr.withColumn("_prev", F.lag("evidence_id").over(w))
-    r = correlations.select(
-        F.col("gs").alias("_gs"), F.col("evidence_a").alias("_ea"), F.col("evidence_b").alias("_eb"), "correlation"
+    r = small_side(
+        correlations.select(F.col("gs").alias("_gs"), F.col("evidence_a").alias("_ea"), F.col("evidence_b").alias("_eb"), "correlation")
     )
     known = prev.join(
         r,
@@ -73,10 +74,10 @@ def integrate(
 def merge_types(llr: DataFrame, directed: list[str] = vocab.DIRECTED_EVIDENCE) -> DataFrame:
     """Undirected evidence repeated on every direction a pair has directed evidence for; direction 0 if none."""
     is_directed = F.col("type").isin(directed)
-    arrows = llr.filter(is_directed).select("a", "b", F.col("direction").alias("_d")).distinct()
-    plain = llr.filter(~is_directed).join(arrows, ["a", "b"], "left")
-    plain = plain.withColumn("direction", F.coalesce("_d", F.lit(0))).drop("_d")
-    return plain.unionByName(llr.filter(is_directed).select(*plain.columns))
+    # one window over the pair instead of a self-join: its partitioning serves every later step
+    arrows = F.array_sort(F.collect_set(F.when(is_directed, F.col("direction"))).over(W.partitionBy("a", "b")))
+    own = F.when(is_directed, F.array("direction")).when(F.size("_arrows") == 0, F.array(F.lit(0))).otherwise(F.col("_arrows"))
+    return llr.withColumn("_arrows", arrows).withColumn("direction", F.explode(own)).drop("_arrows")
 
 
 def _sum_map(items: Column) -> Column:
@@ -125,20 +126,22 @@ def gs_ppv(n: Column, min_ppv: float = vocab.MIN_PPV) -> Column:
     return F.when(n <= 1, min_ppv).when(n == 2, round(min_ppv + step, 3)).when(n == 3, round(min_ppv + 2 * step, 3)).otherwise(1.0)
 
 
-def merge_gs_rows(known: DataFrame, scored: DataFrame) -> DataFrame:
+def merge_gs_rows(known: DataFrame, scored: DataFrame, how: str = "left") -> DataFrame:
     """Gold-standard pairs with their network row: (a, b, codes, direction, max_ppv, gs).
 
     `known` is (gs, a, b, direction code). Codes of one pair and gold standard add up, so both directions
     (2 + 3) become 5; of several scored rows the one with the highest confidence is kept."""
-    codes = known.distinct().groupBy("a", "b", "gs").agg(F.sum(F.greatest("direction", F.lit(1))).cast("int").alias("code"))
+    codes = known.select("a", "b", "gs", F.greatest("direction", F.lit(1)).alias("code")).distinct()
+    codes = codes.groupBy("a", "b", "gs").agg(F.sum("code").cast("int").alias("code"))
     codes = codes.groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("gs", "code"))).alias("codes"))
     best = keep_best(scored, ["a", "b"], [F.col("max_ppv"), -F.col("direction")])
-    return codes.join(best, ["a", "b"], "left")
+    return codes.join(best, ["a", "b"], how)
 
 
 def apply_gs_ppv(merged: DataFrame, types: list[str] = vocab.GOLD_STANDARDS, min_ppv: float = vocab.MIN_PPV) -> DataFrame:
     """Raise the confidence of known links to the gold-standard level where the evidence gives less."""
-    known = gs_ppv(F.size("codes"), min_ppv)
+    codes = F.coalesce("codes", F.create_map().cast("map<string,int>"))
+    known = gs_ppv(F.size(codes), min_ppv)
     empty_map = F.create_map().cast("map<string,double>")
     details = F.coalesce("gs", F.array().cast(merged.schema["gs"].dataType))
 
@@ -148,7 +151,7 @@ def apply_gs_ppv(merged: DataFrame, types: list[str] = vocab.GOLD_STANDARDS, min
     entries = []
     for t in types:
         found = detail_of(t)
-        code = F.coalesce(F.col("codes")[t], F.lit(0))
+        code = F.coalesce(F.try_element_at(codes, F.lit(t)), F.lit(0))
         ppv = F.coalesce(found["ppv"], F.lit(0.0))
         raised = (code > 0) & (ppv < known)
         entries.append(
@@ -174,12 +177,9 @@ def assemble_network(
 ) -> DataFrame:
     """The network table: confident pairs without gold-standard pairs, plus all gold-standard pairs at their
     raised confidence, one row per pair. `scored` comes from `max_ppv`, `known` is (gs, a, b, direction)."""
-    gold = apply_gs_ppv(merge_gs_rows(known, scored), types, min_ppv)
-    rest = exclude_pairs(scored.filter(F.col("max_ppv") >= min_ppv), known.select("a", "b").distinct())
-    no_codes = F.create_map().cast("map<string,int>")
-    plain = apply_gs_ppv(rest.withColumn("codes", no_codes), types, min_ppv)
-    one = keep_best(plain, ["a", "b"], [F.col("max_ppv"), -F.col("direction")])
-    return one.unionByName(gold).filter(F.col("a") != F.col("b"))
+    merged = merge_gs_rows(known, scored, "full_outer")
+    kept = merged.filter(F.col("codes").isNotNull() | (F.col("max_ppv") >= min_ppv))
+    return apply_gs_ppv(kept, types, min_ppv).filter(F.col("a") != F.col("b"))
 
 
 def explode_best_gs(net: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def score_host_pathogen(links: DataFrame, models: DataFrame, ppv_model: DataFram
     from linkweave.operators.training import fbs_to_ppv
 
     usable = models.filter(F.col("coefficients").isNotNull()).select("type", "gs", "coefficients", "x_min", "x_max")
-    scaled = minmax(links.join(usable, "type"), lo=F.col("x_min"), hi=F.col("x_max"), keys=["type", "gs"])
+    scaled = minmax(links.join(small_side(usable), "type"), lo=F.col("x_min"), hi=F.col("x_max"), keys=["type", "gs"])
     llr = half_even(polynomial("coefficients", clip("score", "x_min", "x_max")), 3)
     fbs = scaled.withColumn("llr", llr).groupBy("a", "b", "gs").agg(half_even(F.sum("llr"), 3).alias("fbs"))
     return fbs_to_ppv(fbs, ppv_model)
@@ -249,22 +249,27 @@ def unpack_network(
     packed: DataFrame, types: list[str] = vocab.GOLD_STANDARDS, evidence: list[str] = vocab.EVIDENCE_TYPES, species: list[str] = vocab.SPECIES
 ) -> DataFrame:
     """The inverse of `pack_network`; shares printed as `0` are absent again."""
-    ppv, fbs, llr = F.split("ppv", ","), F.split("fbs_goldstandard", ","), F.split("llr_evidence", ";")
+    names = F.array(*[F.lit(t) for t in types])
 
-    def shares(text: Column, names: list[str]) -> Column:
-        parts = F.split(text, ",")
-        pairs = F.array(*[F.struct(F.lit(n).alias("k"), parts[i].alias("v")) for i, n in enumerate(names)])
+    def shares(text: Column, keys: list[str]) -> Column:
+        pairs = F.arrays_zip(F.array(*[F.lit(k) for k in keys]).alias("k"), F.split(text, ",").alias("v"))
         kept = F.filter(pairs, lambda p: p["v"] != "0")
         return F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"].cast("double"))))
 
-    entries = [
-        F.struct(
-            F.lit(t).alias("gs"), ppv[i].cast("double").alias("ppv"), fbs[i].cast("double").alias("fbs"),
-            F.substring("is_goldstandard", i + 1, 1).cast("int").alias("is_gs"),
-            F.substring("is_ppv_goldstandard", i + 1, 1).cast("int").alias("is_ppv_gs"),
-            shares(F.split(llr[i], r"\|")[0], evidence).alias("llr_ev"),
-            shares(F.split(llr[i], r"\|")[1], species).alias("llr_sp"),
+    def detail(t: Column, i: Column) -> Column:
+        parts = F.split(F.get(F.col("_llr"), i), r"\|")
+        return F.struct(
+            t.alias("gs"),
+            F.get(F.col("_ppv"), i).cast("double").alias("ppv"),
+            F.get(F.col("_fbs"), i).cast("double").alias("fbs"),
+            F.substring(F.col("is_goldstandard"), i + 1, F.lit(1)).cast("int").alias("is_gs"),
+            F.substring(F.col("is_ppv_goldstandard"), i + 1, F.lit(1)).cast("int").alias("is_ppv_gs"),
+            shares(F.get(parts, F.lit(0)), evidence).alias("llr_ev"),
+            shares(F.get(parts, F.lit(1)), species).alias("llr_sp"),
         )
-        for i, t in enumerate(types)
-    ]
-    return packed.select("a", "b", F.substring("grg_direction", 1, 1).cast("int").alias("direction"), "max_ppv", F.array(*entries).alias("gs"))
+
+    split = packed.withColumns(
+        {"_ppv": F.split("ppv", ","), "_fbs": F.split("fbs_goldstandard", ","), "_llr": F.split("llr_evidence", ";")}
+    )
+    direction = F.substring("grg_direction", 1, 1).cast("int").alias("direction")
+    return split.select("a", "b", direction, "max_ppv", F.transform(names, detail).alias("gs"))

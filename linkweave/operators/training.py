@@ -18,7 +18,7 @@ from linkweave import vocab
 from linkweave.functions.columns import clip, half_even, logistic, polynomial, ppv_of_fbs
 from linkweave.functions.ordered import quantile_bounds, sample_n
 from linkweave.operators.pairs import mean_links
-from linkweave.session import checkpointed
+from linkweave.session import checkpointed, small_side
 
 MODEL = ["evidence_id", "gs"]
 GRID = vocab.GRID_POINTS
@@ -26,7 +26,7 @@ GRID = vocab.GRID_POINTS
 
 def trim_percentiles(df: DataFrame, keys: list[str], lo: float = 1, hi: float = 99, score: str = "score") -> DataFrame:
     """Rows between two percentiles of their key, both included (linear interpolation)."""
-    bounds = quantile_bounds(df, keys, score, lo / 100, hi / 100)
+    bounds = small_side(quantile_bounds(df, keys, score, lo / 100, hi / 100))
     return df.join(bounds, keys).filter(F.col(score).between(F.col("q_lo"), F.col("q_hi"))).drop("q_lo", "q_hi")
 
 
@@ -180,10 +180,10 @@ def fit_llr(
 
 def score_to_llr(links: DataFrame, models: DataFrame) -> DataFrame:
     """LLR of every scored link under every usable model of its dataset: score clipped to the model's
-    range, polynomial, 3 places. Models are tens of rows and meet the links without moving them."""
+    range, polynomial, 3 places. Models are few and meet the links without moving them."""
     usable = models.filter(F.col("coefficients").isNotNull()).select("evidence_id", "gs", "coefficients", "x_min", "x_max")
     x = clip("score", "x_min", "x_max")
-    return links.join(usable, "evidence_id").withColumn("llr", half_even(polynomial("coefficients", x), 3)).drop("coefficients", "x_min", "x_max", "score")
+    return links.join(small_side(usable), "evidence_id").withColumn("llr", half_even(polynomial("coefficients", x), 3)).drop("coefficients", "x_min", "x_max", "score")
 
 
 def applicable_datasets(evidence: DataFrame, species: str, transferable: list[str] = vocab.ORTHOLOGY_TRANSFER) -> DataFrame:
@@ -365,7 +365,7 @@ def fit_logistic(curve: DataFrame, keys: list[str] = ["gs"], min_r2: float = voc
 def fbs_to_ppv(fbs: DataFrame, ppv_model: DataFrame, lo: float = 0.5) -> DataFrame:
     """Adds `ppv`; a gold standard without a usable model gives 0."""
     m = ppv_model.select("gs", F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("c").alias("_c"))
-    scored = fbs.join(m, "gs", "left").withColumn("ppv", ppv_of_fbs(F.col("fbs"), F.col("_a"), F.col("_b"), F.col("_c"), lo))
+    scored = fbs.join(small_side(m), "gs", "left").withColumn("ppv", ppv_of_fbs(F.col("fbs"), F.col("_a"), F.col("_b"), F.col("_c"), lo))
     return scored.drop("_a", "_b", "_c")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, app: str = "linkweave", **conf: str) -> SparkSession:
@@ -41,3 +42,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so a lost executor does not replay a whole loop."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """A lookup side expected to be small (models, ranges per dataset): written once, counted, and only
+    broadcast when the count stays within the bound; otherwise the join shuffles with AQE's skew handling."""
+    stage = checkpointed(df)
+    return F.broadcast(stage) if stage.count() <= max_rows else stage
