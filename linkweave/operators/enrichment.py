@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from linkweave import vocab
 from linkweave.functions.ordered import degree_bins
 from linkweave.functions.stats import hypergeom_tail, p_adjust
 from linkweave.operators.pairs import degree, min_group_size, symmetric
+from linkweave.session import checkpointed
 
 
 def crosstalk(links: DataFrame, pathways: DataFrame, ppv: float = vocab.ENRICHMENT_PPV, min_genes: int = 5) -> DataFrame:
@@ -87,7 +89,7 @@ def mid_p(k: int, n: int, a: float, b: float) -> float:
     return min(1.0, max(0.0, 0.5 * exact + above))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _mid_p(k: pd.Series, n: pd.Series, m1: pd.Series, m2: pd.Series) -> pd.Series:
     out = []
     for x, size, mean, square in zip(k, n, m1, m2):
@@ -152,19 +154,24 @@ def combine_enrichment(crosstalk_result: DataFrame, ease_result: DataFrame, max_
     return both.withColumn("min_fwer", F.least("crosstalk_fwer", "overlap_fwer")).orderBy("query_id", "min_fwer", "pathway_id")
 
 
-def enrichment(
-    links: DataFrame, query: DataFrame, pathways: DataFrame, population: int, draws: int = 2000, seed: int = 9606, ppv: float = vocab.ENRICHMENT_PPV
+def crosstalk_enrichment(
+    links: DataFrame, query: DataFrame, pathways: DataFrame, draws: int = 2000, seed: int = 9606, ppv: float = vocab.ENRICHMENT_PPV
 ) -> DataFrame:
-    """Both tests for a batch of gene sets."""
-    from linkweave.session import checkpointed
-
+    """The network test for a batch of gene sets: bins and crosstalk once, then draws and moments."""
     bins = checkpointed(network_bins(links, ppv))
     talk = checkpointed(crosstalk(links, pathways, ppv))
     inside = query.join(bins.select(F.col("node").alias("gene")), "gene", "left_semi")
     drawn = matched_samples(inside, bins, draws, seed)
     sizes = network_pathways(links, pathways, ppv).groupBy("pathway_id").agg(F.count("*").alias("n"))
     q_sizes = inside.groupBy("query_id").agg(F.count("*").alias("n"))
-    tested = crosstalk_test(
-        summed_crosstalk(inside, talk, ["query_id"]), summed_crosstalk(drawn, talk, ["query_id", "draw"]), draws, q_sizes, sizes
-    )
-    return combine_enrichment(tested, ease(query, pathways, population))
+    observed, random = summed_crosstalk(inside, talk, ["query_id"]), summed_crosstalk(drawn, talk, ["query_id", "draw"])
+    return crosstalk_test(observed, random, draws, q_sizes, sizes)
+
+
+def enrichment(
+    links: DataFrame, query: DataFrame, pathways: DataFrame, population: int, draws: int = 2000, seed: int = 9606,
+    ppv: float = vocab.ENRICHMENT_PPV, max_fwer: float = 0.05,
+) -> DataFrame:
+    """Both tests for a batch of gene sets."""
+    tested = crosstalk_enrichment(links, query, pathways, draws, seed, ppv)
+    return combine_enrichment(tested, ease(query, pathways, population), max_fwer)

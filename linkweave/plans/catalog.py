@@ -1,6 +1,6 @@
 """Loads every module that registers queries."""
 
-from linkweave.plans import q_evidence, q_pairs, q_training  # noqa: F401
+from linkweave.plans import q_evidence, q_io, q_network, q_pairs, q_training  # noqa: F401
 from linkweave.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
