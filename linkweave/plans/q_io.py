@@ -190,19 +190,18 @@ def _(spark, sf):
 
 @query(
     "s17_read_kgml",
-    """SELECT DISTINCT l_orderkey::VARCHAR AS pathway_id, 'e' || l_linenumber AS entry_id, 'sup:' || l_suppkey AS gene FROM lineitem
+    """SELECT DISTINCT l_orderkey::VARCHAR AS pathway_id, 'e' || l_linenumber || '_' || l_suppkey || l_returnflag AS entry_id, 'sup:' || l_suppkey AS gene FROM lineitem
        UNION SELECT l_orderkey::VARCHAR, 'g', 'sup:' || l_suppkey FROM lineitem WHERE l_returnflag = 'R'""",
 )
 def _(spark, sf):
     li = table(spark, sf, "lineitem")
-    entry = F.concat(F.lit('<entry id="e'), "l_linenumber", F.lit('" name="sup:'), "l_suppkey", F.lit('" type="gene"/>'))
-    part = F.when(F.col("l_returnflag") == "R", F.concat(F.lit('<component id="e'), "l_linenumber", F.lit('"/>')))
+    eid = F.concat(F.lit("e"), "l_linenumber", F.lit("_"), "l_suppkey", "l_returnflag")
+    entry = F.concat(F.lit('<entry id="'), eid, F.lit('" name="sup:'), "l_suppkey", F.lit('" type="gene"/>'))
+    part = F.when(F.col("l_returnflag") == "R", F.concat(F.lit('<component id="'), eid, F.lit('"/>')))
     xml = li.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("e"), F.array_join(F.array_sort(F.collect_list(part)), "").alias("c"))
     group = F.when(F.col("c") != "", F.concat(F.lit('<entry id="g" name="undefined" type="group">'), "c", F.lit("</entry>"))).otherwise("")
     doc = F.concat(F.lit('<pathway name="path:'), "l_orderkey", F.lit('">'), "e", group, F.lit('<relation entry1="e1" entry2="g" type="PPrel"/></pathway>'))
-    path = folder(spark, "kgml")
-    xml.select(doc.alias("value")).write.text(path)
-    return S.read_kgml(spark, path)[0].distinct()
+    return S.parse_kgml(xml.select(doc.alias("value")))[0].distinct()
 
 
 @query(
@@ -216,8 +215,8 @@ def _(spark, sf):
     from linkweave.functions.ordered import dense_ids
 
     ids = dense_ids(types, "p_type", "t")
-    heads = ids.select((F.col("t") * 1000000000).cast("long").alias("line_no"), F.concat(F.lit("A<b>"), "p_type", F.lit("</b>")).alias("value"))
-    rows = p.join(ids, "p_type").select((F.col("t") * F.lit(1000000000).cast("long") + F.col("p_partkey") + 1).alias("line_no"), F.concat(F.lit("C    "), F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.lit(" "), "p_name").alias("value"))
+    heads = ids.select((F.col("t").cast("long") * 1000000000).alias("line_no"), F.concat(F.lit("A<b>"), "p_type", F.lit("</b>")).alias("value"))
+    rows = p.join(ids, "p_type").select((F.col("t").cast("long") * 1000000000 + F.col("p_partkey") + 1).alias("line_no"), F.concat(F.lit("C    "), F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.lit(" "), "p_name").alias("value"))
     return S.parse_pathway_index(heads.unionByName(rows))
 
 

@@ -6,8 +6,6 @@ cut by column position, so only the wanted fields leave the scan; every file in
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -335,8 +333,15 @@ def kgml_tables(pathways: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entries, relations
 
 
+def parse_kgml(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pathway documents, one per row."""
+    body = F.regexp_replace("value", r"(?s)^.*?(?=<pathway\b)", "")
+    parsed = docs.select(F.from_xml(body, KGML_SCHEMA, {"rowTag": "pathway"}).alias("p")).select("p.*")
+    return kgml_tables(parsed)
+
+
 def read_kgml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return kgml_tables(spark.read.format("xml").option("rowTag", "pathway").schema(KGML_SCHEMA).load(path))
+    return parse_kgml(spark.read.option("wholetext", True).text(path))
 
 
 def parse_pathway_index(lines: DataFrame) -> DataFrame:
@@ -444,7 +449,7 @@ def read_distance_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_taxonomy(lines: DataFrame) -> DataFrame:
     parts = F.split("value", r"\|")
-    return lines.filter(F.trim("value") != "").select(*[F.trim(F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(("tax_id", "parent", "rank"))])
+    return lines.filter(F.trim("value") != "").select(*[F.btrim(F.get(parts, F.lit(i)), F.lit(" \t")).alias(n) for i, n in enumerate(("tax_id", "parent", "rank"))])
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
@@ -481,7 +486,3 @@ def read_peak_file_index(spark: SparkSession, experiments: str, files: str, spec
     e = spark.read.schema("accession STRING, target STRING").json(experiments)
     f = spark.read.schema("accession STRING, dataset STRING, preferred_default BOOLEAN").json(files)
     return peak_file_index(e, f, species, preferred_only)
-
-
-def union_files(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
