@@ -66,7 +66,8 @@ def logistic(x: Column, a: Column, b: Column, c: Column) -> Column:
 def ppv_of_fbs(fbs: Column, a: Column, b: Column, c: Column, lo: float = 0.5) -> Column:
     """Confidence of a score: negatives count as 0, logistic, clipped to [lo, 1], 3 places; no model gives 0."""
     value = half_even(clip(logistic(F.greatest(fbs, F.lit(0.0)), a, b, c), F.lit(lo), F.lit(1.0)), 3)
-    return F.coalesce(value, F.lit(0.0))
+    # least and greatest skip NULL, so a missing model has to be asked for
+    return F.when(a.isNull(), F.lit(0.0)).otherwise(value)
 
 
 def scientific(col: str | Column) -> Column:

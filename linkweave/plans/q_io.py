@@ -259,16 +259,11 @@ def _(spark, sf):
 )
 def _(spark, sf):
     c = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    every = c.agg(F.array_sort(F.collect_list(F.struct("c_nationkey", "n")))).scalar()
-    rows = c.withColumn("all", every)
-    from pyspark.sql import Window as W
-
-    rows = rows.withColumn("line_no", F.row_number().over(W.orderBy("c_nationkey")))
-    body = rows.select("line_no", F.array_join(F.transform("all", lambda e: (e["n"] + F.col("n")).cast("string")), "\t").alias("value"))
-    head = c.agg(F.array_sort(F.collect_list(F.struct("c_nationkey", "n"))).alias("all")).select(
-        F.lit(0).alias("line_no"), F.concat(F.lit("\t"), F.array_join(F.transform("all", lambda e: F.concat(F.lit("sp"), e["c_nationkey"])), "\t")).alias("value")
-    )
-    return S.parse_distance_matrix(head.unionByName(body))
+    # one row per species, so the list is as long as the list of species
+    every = c.agg(F.array_sort(F.collect_list(F.struct("c_nationkey", "n"))).alias("all"))
+    head = F.concat(F.lit("\t"), F.array_join(F.transform("all", lambda e: F.concat(F.lit("sp"), e["c_nationkey"])), "\t"))
+    body = F.transform("all", lambda x: F.array_join(F.transform("all", lambda e: (e["n"] + x["n"]).cast("string")), "\t"))
+    return S.parse_distance_matrix(every.select(F.concat_ws("\n", head, body).alias("value")))
 
 
 @query("s25_read_taxonomy", "SELECT c_custkey::VARCHAR AS tax_id, c_nationkey::VARCHAR AS parent, 'species' AS rank FROM customer")

@@ -512,7 +512,7 @@ def _ppv_model(spark, sf):
 
 
 view("ppv_model", "SELECT gs, 1.0::DOUBLE AS pa, 2.0::DOUBLE AS pb, round_even(avg(fbs), 2) AS pc FROM pair_scores WHERE gs <> 'PPI' GROUP BY 1", "pair_scores")
-_PPV = "coalesce(round_even(least(greatest(pa / (1 + exp(-pb * (greatest(fbs, 0) - pc))), {lo}::DOUBLE), 1), 3), 0)"
+_PPV = "CASE WHEN pa IS NULL THEN 0 ELSE round_even(least(greatest(pa / (1 + exp(-pb * (greatest(fbs, 0) - pc))), {lo}::DOUBLE), 1), 3) END"
 
 
 @query("m19_fbs_to_ppv", f"SELECT gs, a, b, fbs, {_PPV.format(lo=0.5)} AS ppv FROM pair_scores LEFT JOIN ppv_model USING (gs)", "pair_scores ppv_model")

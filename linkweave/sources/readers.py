@@ -341,7 +341,7 @@ def parse_kgml(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_kgml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_kgml(spark.read.option("wholetext", True).text(path))
+    return parse_kgml(spark.read.text(path, wholetext=True))
 
 
 def parse_pathway_index(lines: DataFrame) -> DataFrame:
@@ -355,7 +355,7 @@ def parse_pathway_index(lines: DataFrame) -> DataFrame:
 
 
 def read_pathway_index(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return parse_pathway_index(whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value")))
 
 
@@ -432,19 +432,19 @@ def read_homolog_hits(spark: SparkSession, path: str) -> DataFrame:
 # --- species relations -----------------------------------------------------------------------
 
 
-def parse_distance_matrix(lines: DataFrame) -> DataFrame:
-    """Square matrix (`line_no`, `value`), first line the tax ids -> (tax_a, tax_b, distance). Header words of
-    up to two letters are not species. The matrix has one row per species."""
-    head = F.transform(F.split("value", "\t"), lambda t: F.trim(t))
-    names = lines.filter("line_no = 0").select(F.filter(head, lambda t: F.length(t) > 2).alias("names")).select("names").scalar()
-    rows = lines.filter("line_no > 0 and trim(value) <> ''").withColumn("_n", names)
-    cells = rows.select(F.get("_n", F.col("line_no").cast("int") - 1).alias("tax_a"), "_n", F.posexplode(F.split(F.trim("value"), "\t")).alias("j", "d"))
-    return cells.select("tax_a", F.get("_n", F.col("j")).alias("tax_b"), F.col("d").cast("double").alias("distance"))
+def parse_distance_matrix(files: DataFrame) -> DataFrame:
+    """Square matrix, one file per row, first line the tax ids -> (tax_a, tax_b, distance). Header words of up
+    to two letters are not species. A matrix is as large as the list of species squared."""
+    rows = F.filter(F.split("value", r"\r?\n"), lambda r: F.btrim(r, F.lit(" \t")) != "")
+    head = F.transform(F.split(F.get(rows, F.lit(0)), "\t"), lambda t: F.trim(t))
+    named = files.select(rows.alias("_r"), F.filter(head, lambda t: F.length(t) > 2).alias("_n"))
+    each = named.select("_n", F.posexplode(F.slice("_r", F.lit(2), F.size("_r"))).alias("i", "line"))
+    cells = each.select("_n", "i", F.posexplode(F.split(F.btrim("line", F.lit(" \t")), "\t")).alias("j", "d"))
+    return cells.select(F.get("_n", F.col("i")).alias("tax_a"), F.get("_n", F.col("j")).alias("tax_b"), F.col("d").cast("double").alias("distance"))
 
 
 def read_distance_matrix(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.option("wholetext", True).text(path)
-    return parse_distance_matrix(whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value")))
+    return parse_distance_matrix(spark.read.text(path, wholetext=True))
 
 
 def parse_taxonomy(lines: DataFrame) -> DataFrame:
