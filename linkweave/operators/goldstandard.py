@@ -10,6 +10,7 @@ from linkweave.functions.ordered import sample_n
 from linkweave.operators.filters import ppi_rows, ppi_supported
 from linkweave.operators.pairs import bipartite_pairs, cap_group_size, exclude_pairs, keep_pairs, map_ids, transfer_links, union_links
 from linkweave.operators.tiles import member_pairs
+from linkweave.session import checkpointed, small_side
 
 
 def _mapped_pairs(named: DataFrame, mapping: DataFrame, **how: bool) -> DataFrame:
@@ -105,10 +106,20 @@ def positives(links: DataFrame, gs: DataFrame) -> DataFrame:
 
 def negatives_llr(links: DataFrame, gs_types: list[str], own: DataFrame, ortholog: DataFrame, max_n: int, seed: int) -> DataFrame:
     """Sampled pairs of each dataset that no gold standard of the type knows, own or carried over."""
-    sampled = sample_n(links, max_n, seed, ["evidence_id"], ["a", "b", "direction"])
-    per_gs = sampled.withColumn("gs", F.explode(F.array(*[F.lit(g) for g in gs_types])))
+    over = checkpointed(links.groupBy("evidence_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_n).select("evidence_id"))
+    if over.isEmpty():
+        sampled = links
+    else:
+        large = links.join(small_side(over), "evidence_id", "left_semi")
+        rest = links.join(small_side(over), "evidence_id", "left_anti")
+        sampled = rest.unionByName(sample_n(large, max_n, seed, ["evidence_id"], ["a", "b", "direction"]))
+    # the types that know a pair travel as one short list, so links meet them once and not once per type
     known = own.select("gs", "a", "b").unionByName(ortholog.select("gs", "a", "b"))
-    return exclude_pairs(per_gs, known, ["gs", "a", "b"]).select("evidence_id", "gs", "a", "b", "score")
+    listed = known.groupBy("a", "b").agg(F.collect_set("gs").alias("_known"))
+    every = F.array(*[F.lit(g) for g in gs_types])
+    free = F.when(F.col("_known").isNull(), every).otherwise(F.array_except(every, "_known"))
+    met = sampled.select("evidence_id", "a", "b", "score").join(listed, ["a", "b"], "left")
+    return met.select("evidence_id", F.explode(free).alias("gs"), "a", "b", "score")
 
 
 POLICIES = ["reference", "strict", "all_species", "all_gold_standards", "no_overfit", "any_gold_standard"]

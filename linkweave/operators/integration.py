@@ -80,30 +80,31 @@ def merge_types(llr: DataFrame, directed: list[str] = vocab.DIRECTED_EVIDENCE) -
     return llr.withColumn("_arrows", arrows).withColumn("direction", F.explode(own)).drop("_arrows")
 
 
-def _sum_map(items: Column) -> Column:
-    """[(k, v), ...] with repeated k -> map of sums, rounded to 3."""
-    keys = F.array_sort(F.array_distinct(F.transform(items, lambda e: e["k"])))
+def _present(names: list[str], prefix: str) -> Column:
+    """The columns `prefix<name>` that are not NULL, as a map by name."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"{prefix}{n}").alias("v")) for n in sorted(names)])
+    return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
 
-    def total(k: Column) -> Column:
-        mine = F.filter(items, lambda e: e["k"] == k)
-        return half_even(F.aggregate(mine, F.lit(0.0), lambda acc, e: acc + e["v"]), 3)
 
-    return F.map_from_arrays(keys, F.transform(keys, total))
-
-
-def compute_fbs(integrated: DataFrame, prune: bool = True) -> DataFrame:
+def compute_fbs(
+    integrated: DataFrame, prune: bool = True, types: list[str] = vocab.EVIDENCE_TYPES, species: list[str] = vocab.SPECIES
+) -> DataFrame:
     """(a, b, direction, gs, fbs, llr_ev, llr_sp): the score is the sum over evidence types, each rounded to
-    3; breakdowns by type and by species. Pairs without any positive score are dropped when `prune`."""
-    cells = integrated.groupBy(*ROW, "gs", "type", "tax_id").agg(F.sum("wllr").alias("v"))
-    by_type = cells.groupBy(*ROW, "gs", "type").agg(
-        half_even(F.sum("v"), 3).alias("ev"),
-        F.collect_list(F.struct(F.col("tax_id").alias("k"), half_even("v", 3).alias("v"))).alias("sp"),
-    )
-    fbs = by_type.groupBy(*ROW, "gs").agg(
-        half_even(F.sum("ev"), 3).alias("fbs"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "ev")))).alias("llr_ev"),
-        _sum_map(F.flatten(F.collect_list("sp"))).alias("llr_sp"),
+    3; breakdowns by type and by species. Pairs without any positive score are dropped when `prune`.
+
+    Types and species are fixed lists, so the breakdown is one plain sum per entry. A type or species that
+    is not listed has no place in the network table and is refused."""
+    known = F.col("type").isin(types) & F.col("tax_id").isin(species)
+    value = F.when(known, F.col("wllr")).otherwise(F.raise_error(F.concat(F.lit("not in the fixed lists: "), "type", F.lit(" / "), "tax_id")))
+    cells = integrated.groupBy(*ROW, "gs", "type", "tax_id").agg(F.sum(value.cast("double")).alias("v"))
+    sums = cells.groupBy(*ROW, "gs").agg(
+        *[half_even(F.sum(F.when(F.col("type") == t, F.col("v"))), 3).alias(f"ev_{t}") for t in types],
+        *[half_even(F.sum(F.when(F.col("tax_id") == s, half_even("v", 3))), 3).alias(f"sp_{s}") for s in species],
     )
+    total = F.lit(0.0)
+    for t in types:
+        total = total + F.coalesce(f"ev_{t}", F.lit(0.0))
+    fbs = sums.select(*ROW, "gs", half_even(total, 3).alias("fbs"), _present(types, "ev_").alias("llr_ev"), _present(species, "sp_").alias("llr_sp"))
     if not prune:
         return fbs
     best = F.max("fbs").over(W.partitionBy(*ROW))
