@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,17 +25,24 @@ def local_session(cores: int | str = 8, app: str = "linkweave", **conf: str) ->
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: `spark.checkpoint.dir`, or a folder in the warehouse where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point the context at the shared folder named by the cluster; a scratch folder only in local mode."""
+    """Point the context at the shared folder named by the cluster."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="linkweave-checkpoint-")
-    sc.setCheckpointDir(folder)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(spark))
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet in the shared folder and read them back: a cut lineage that survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
