@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm.ngram_join import jaccard_components
+from linkweave.llm import bpe, mixing, ngram_join, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +17,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+def op3_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(_table(spark, sf_dir, "documents"))
+
+
+def op5_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.query(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_entropy_balanced_mix": op3_entropy_balanced_mix,
+    "op5_virtual_slot_shards": op5_virtual_slot_shards,
+    "op7_toxicity_lexicon": op7_toxicity_lexicon,
+    "op9_quality_nbsvm": op9_quality_nbsvm,
+    "op10_byte_bpe": op10_byte_bpe,
+}
 
 ORACLES: dict[str, str] = {}
