@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import bpe, mixing, ngram_join, quality, sharding, toxicity
+from linkweave.llm import bpe, mixing, ngram_join, quality, sharding, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +20,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.query(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(_table(spark, sf_dir, "documents"))
 
 
+def op4_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(_table(spark, sf_dir, "pages"))
+
+
 def op5_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(_table(spark, sf_dir, "documents"))
 
@@ -43,11 +51,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_bit_sliced_top_k": op2_bit_sliced_top_k,
     "op3_entropy_balanced_mix": op3_entropy_balanced_mix,
+    "op4_zstd_warc": op4_zstd_warc,
     "op5_virtual_slot_shards": op5_virtual_slot_shards,
     "op7_toxicity_lexicon": op7_toxicity_lexicon,
     "op9_quality_nbsvm": op9_quality_nbsvm,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_bit_sliced_top_k": topk.SQL}

@@ -183,7 +183,7 @@ def _most_specific(entries: dict[str, tuple[int, float]]) -> dict[str, float]:
 def fit_lexicon(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "toxic", per_class: int = 6000, least_docs: int = 5, least_ratio: float = 8.0) -> Lexicon:
     """Entries held by at least `least_docs` toxic documents and `least_ratio` times the share of others."""
     found = sample(docs, labels, label_col, training, per_class)
-    learn, check = found.rows.filter("part < 70"), found.rows.filter("part >= 70")
+    learn, check = found.rows.filter("part < 80"), found.rows.filter("part >= 80")
     n = {r["label"]: r["count"] for r in learn.groupBy("label").count().collect()}
     ones, zeros = n.get(1, 0), n.get(0, 0)
     if not ones:
