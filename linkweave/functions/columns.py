@@ -49,10 +49,15 @@ def last_of_list(col: str | Column, sep: str = r"\|") -> Column:
     return F.element_at(F.split(col, sep), -1)
 
 
-def polynomial(coefficients: str | Column, x: str | Column) -> Column:
-    """Horner value of a polynomial whose coefficients are an array, highest degree first."""
+def polynomial(coefficients: str | Column, x: str | Column, most_degree: int = 3) -> Column:
+    """Horner value of a polynomial of at most `most_degree`, coefficients as an array, highest degree first.
+    Spelled out per place, so that it stays in generated code."""
     x = F.col(x) if isinstance(x, str) else x
-    return F.aggregate(coefficients, F.lit(0.0), lambda acc, c: acc * x + c)
+    c = F.col(coefficients) if isinstance(coefficients, str) else coefficients
+    value = F.lit(0.0)
+    for place in range(most_degree + 1, 0, -1):  # counted from the end: missing high degrees are zero
+        value = value * x + F.coalesce(F.try_element_at(c, F.lit(-place)), F.lit(0.0))
+    return F.when(c.isNotNull(), value)
 
 
 def clip(x: str | Column, lo: str | Column, hi: str | Column) -> Column:

@@ -162,7 +162,7 @@ def abundance_tissues(abundance: DataFrame) -> DataFrame:
     """Tissues in which a gene is among the top quarter: (tax_id, gene, tissue), for species with more
     than three such tissues. `abundance` is (tax_id, organ, filename, gene, value)."""
     top = top_fraction(abundance, ["tax_id", "filename"], "value", 0.25, ["gene"])
-    tissue = F.concat(F.upper(F.substring("organ", 1, 1)), F.lower(F.substring("organ", 2, 1000)))
+    tissue = F.concat(F.upper(F.substring("organ", 1, 1)), F.lower(F.expr("substring(organ, 2)")))
     links = top.select("tax_id", "gene", tissue.alias("tissue")).distinct()
     per_species = links.select("tax_id", "tissue").distinct().groupBy("tax_id").agg(F.count("*").alias("_n"))
     return links.join(per_species.filter(F.col("_n") > 3).select("tax_id"), "tax_id", "left_semi")

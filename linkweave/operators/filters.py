@@ -129,7 +129,7 @@ def ppi_supported(df: DataFrame, other_gs: DataFrame) -> DataFrame:
 
 
 def capitalize(col: Column) -> Column:
-    return F.concat(F.upper(F.substring(col, 1, 1)), F.lower(F.substring(col, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(col, 1, 1)), F.lower(F.substr(col, F.lit(2))))
 
 
 def tissue_rows(df: DataFrame, fmt: str) -> DataFrame:

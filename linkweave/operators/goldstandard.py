@@ -10,7 +10,7 @@ from linkweave.functions.ordered import sample_n
 from linkweave.operators.filters import ppi_rows, ppi_supported
 from linkweave.operators.pairs import bipartite_pairs, cap_group_size, exclude_pairs, keep_pairs, map_ids, transfer_links, union_links
 from linkweave.operators.tiles import member_pairs
-from linkweave.session import checkpointed, small_side
+from linkweave.session import small_side
 
 
 def _mapped_pairs(named: DataFrame, mapping: DataFrame, **how: bool) -> DataFrame:
@@ -48,10 +48,10 @@ def pathway_relation_pairs(entries: DataFrame, relations: DataFrame) -> DataFram
     return met.filter("name_a <> name_b").select("pathway_id", "name_a", "name_b")
 
 
-def gs_pathway(entries: DataFrame, relations: DataFrame, mapping: DataFrame, direct: bool = True, min_links: int = 1000) -> DataFrame:
-    """Relation pairs of all pathways; with too few of them, or on request, all pairs of each pathway."""
-    named = pathway_relation_pairs(entries, relations)
-    if direct and len(named.limit(min_links).head(min_links)) >= min_links:
+def gs_pathway(entries: DataFrame, relations: DataFrame, mapping: DataFrame, direct: bool = True) -> DataFrame:
+    """Relation pairs of all pathways or, without `direct`, all pairs of each pathway."""
+    if direct:
+        named = pathway_relation_pairs(entries, relations)
         return _mapped_pairs(named.select("name_a", "name_b").distinct(), mapping, strip_prefix=True)
     genes = entries.select("pathway_id", "gene").distinct()
     ids = map_ids(genes, mapping, {"gene": "protein_id"}, strip_prefix=True)
@@ -106,12 +106,12 @@ def positives(links: DataFrame, gs: DataFrame) -> DataFrame:
 
 def negatives_llr(links: DataFrame, gs_types: list[str], own: DataFrame, ortholog: DataFrame, max_n: int, seed: int) -> DataFrame:
     """Sampled pairs of each dataset that no gold standard of the type knows, own or carried over."""
-    over = checkpointed(links.groupBy("evidence_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_n).select("evidence_id"))
+    over = small_side(links.groupBy("evidence_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_n).select("evidence_id"))
     if over.isEmpty():
         sampled = links
     else:
-        large = links.join(small_side(over), "evidence_id", "left_semi")
-        rest = links.join(small_side(over), "evidence_id", "left_anti")
+        large = links.join(over, "evidence_id", "left_semi")
+        rest = links.join(over, "evidence_id", "left_anti")
         sampled = rest.unionByName(sample_n(large, max_n, seed, ["evidence_id"], ["a", "b", "direction"]))
     # the types that know a pair travel as one short list, so links meet them once and not once per type
     known = own.select("gs", "a", "b").unionByName(ortholog.select("gs", "a", "b"))
@@ -122,15 +122,15 @@ def negatives_llr(links: DataFrame, gs_types: list[str], own: DataFrame, ortholo
     return met.select("evidence_id", F.explode(free).alias("gs"), "a", "b", "score")
 
 
-POLICIES = ["reference", "strict", "all_species", "all_gold_standards", "no_overfit", "any_gold_standard"]
+POLICIES = ["reference", "carried_over", "all_species", "all_gold_standards", "no_overfit", "any_gold_standard"]
 
 
 def split_pos_neg(fbs: DataFrame, own: DataFrame, ortholog: DataFrame, policy: str = "reference") -> tuple[DataFrame, DataFrame]:
     """Positives and negatives for the confidence model, from scored pairs (gs, a, b, fbs).
 
     `own` and `ortholog` are (gs, a, b): the species' own gold standards and those carried over.
-    reference           positives own, negatives outside the carried-over ones
-    strict              positives own, negatives outside both
+    reference           positives own, negatives outside both
+    carried_over        positives own, negatives outside the carried-over ones only
     all_species         positives own or carried over, negatives outside both
     all_gold_standards  as all_species, with every gold standard type counting for each
     no_overfit          as all_gold_standards, minus the positives the type itself was trained on
@@ -139,9 +139,9 @@ def split_pos_neg(fbs: DataFrame, own: DataFrame, ortholog: DataFrame, policy: s
     keys = ["gs", "a", "b"]
     both = own.select(*keys).unionByName(ortholog.select(*keys))
     if policy == "reference":
-        return keep_pairs(fbs, own, keys), exclude_pairs(fbs, ortholog, keys)
-    if policy == "strict":
         return keep_pairs(fbs, own, keys), exclude_pairs(fbs, both, keys)
+    if policy == "carried_over":
+        return keep_pairs(fbs, own, keys), exclude_pairs(fbs, ortholog, keys)
     if policy == "all_species":
         return keep_pairs(fbs, both, keys), exclude_pairs(fbs, both, keys)
     pos, neg = keep_pairs(fbs, both, ["a", "b"]), exclude_pairs(fbs, both, ["a", "b"])

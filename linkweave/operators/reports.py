@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,16 @@ def closest_species(distances: DataFrame, modelled: DataFrame) -> DataFrame:
     return best.select("tax_id", F.col("m.tax_b").alias("closest"), F.col("m.distance").alias("distance"))
 
 
-def ancestors(taxonomy: DataFrame, species: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(tax_id, ancestor, depth) by climbing the parent column; the root is its own parent."""
+def ancestors(taxonomy: DataFrame, species: DataFrame) -> DataFrame:
+    """(tax_id, ancestor, depth) by climbing the parent column up to the roots, which are their own parents.
+    A lineage longer than there are taxa runs in a circle and raises an error."""
+    taxa = taxonomy.select("tax_id").distinct().count()
     parents = checkpointed(taxonomy.select(F.col("tax_id").alias("ancestor"), "parent"))
     level = checkpointed(species.select("tax_id").distinct().select("tax_id", F.col("tax_id").alias("ancestor"), F.lit(0).alias("depth")))
     found = level
-    for depth in range(1, max_depth):
+    for depth in count(1):
+        if depth > taxa:
+            raise ValueError("the taxonomy has a circle")
         level = level.join(parents, "ancestor").filter("parent <> ancestor")
         level = checkpointed(level.select("tax_id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")))
         if level.isEmpty():

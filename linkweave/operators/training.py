@@ -7,6 +7,7 @@ model reach numpy.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -77,18 +78,33 @@ def kde_parameters(counts: DataFrame, keys: list[str], mode: str = "dynamic") ->
 
 
 def kde_grid(counts: DataFrame, params: DataFrame, keys: list[str], points: int = GRID) -> DataFrame:
-    """Both densities on the grid: (keys, i, x, pos, neg). A distinct score contributes once to each grid
-    point, weighted by its count, and contributions are summed before the shuffle."""
+    """Both densities on the grid: (keys, i, x, pos, neg). Each batch of distinct scores becomes one product of kernels
+    and counts per key, so a key sends one pair of vectors per batch; Spark adds the vectors up."""
     p = params.select(*keys, "x_min", "x_max", "n1", "n0", "h1", "h0").filter("h1 > 0 and h0 > 0 and x_max > x_min")
-    spread = counts.join(p, keys).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    x = F.col("x_min") + F.col("i") * ((F.col("x_max") - F.col("x_min")) / (points - 1))
-
-    def density(c: int) -> Column:
-        z = (x - F.col("score")) / F.col(f"h{c}")
-        kernel = F.col("n") * F.exp(z * z * -0.5) / (F.col(f"n{c}") * F.col(f"h{c}") * math.sqrt(2 * math.pi))
-        return F.sum(F.when(F.col("cls") == c, kernel).otherwise(0.0))
-
-    return spread.groupBy(*keys, "i").agg(F.max(x).alias("x"), density(1).alias("pos"), density(0).alias("neg"))
+    rows = counts.select(*keys, "cls", "score", "n").join(p, keys)
+    key_types = [f for f in rows.schema.fields if f.name in keys]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for _, part in batch.groupby(keys, sort=False):
+                at = part.iloc[0]
+                x = at["x_min"] + np.arange(points) * ((at["x_max"] - at["x_min"]) / (points - 1))
+                sums = []
+                for c, size, width in ((1, at["n1"], at["h1"]), (0, at["n0"], at["h0"])):
+                    total = np.zeros(points)
+                    own = part[part["cls"] == c]
+                    for i in range(0, len(own), 512):
+                        score, n = own["score"].to_numpy(float)[i : i + 512], own["n"].to_numpy(float)[i : i + 512]
+                        total += n @ np.exp(np.square((x[None, :] - score[:, None]) / width) * -0.5)
+                    sums.append(total / (size * width * math.sqrt(2 * math.pi)))
+                out.append({k: at[k] for k in keys} | {"i": np.arange(points, dtype=np.int32), "x": x, "pos": sums[0], "neg": sums[1]})
+            if out:
+                yield pd.concat([pd.DataFrame(o) for o in out])[[*keys, "i", "x", "pos", "neg"]]
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sorted(key_types, key=lambda f: keys.index(f.name)))
+    spread = rows.mapInPandas(partial, f"{schema}, i int, x double, pos double, neg double")
+    return spread.groupBy(*keys, "i").agg(F.max("x").alias("x"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def log_ratio(grid: DataFrame) -> DataFrame:
@@ -279,9 +295,13 @@ def _draw(rng: np.random.Generator, counts: np.ndarray, size: int) -> np.ndarray
     total = int(counts.sum())
     if size >= total:
         return counts
-    if total < 10**9:
-        return rng.multivariate_hypergeometric(counts, size, method="marginals")
-    picked = rng.choice(total, size, replace=False, shuffle=False)
+    if 2 * size > total:
+        return counts - _draw(rng, counts, total - size)
+    # positions without replacement; memory follows the sample, not the population
+    picked = np.unique(rng.integers(total, size=size))
+    while len(picked) < size:
+        more = np.setdiff1d(rng.integers(total, size=2 * (size - len(picked)) + 8), picked)
+        picked = np.union1d(picked, rng.permutation(more)[: size - len(picked)])
     return np.bincount(np.searchsorted(np.cumsum(counts), picked, side="right"), minlength=len(counts))
 
 

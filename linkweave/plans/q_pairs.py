@@ -275,7 +275,7 @@ def _(spark, sf):
 @query(
     "p23_any_positive_fbs",
     """WITH f AS (SELECT a, b, type AS gs, round_even(sum(score - 0.6::DOUBLE), 6) AS fbs FROM evidence_link GROUP BY ALL)
-       SELECT * FROM f WHERE (a, b) IN (SELECT (a, b) FROM f WHERE fbs > 0)""",
+       SELECT * FROM f SEMI JOIN (SELECT a, b FROM f WHERE fbs > 0) USING (a, b)""",
     "evidence_link",
 )
 def _(spark, sf):
@@ -382,12 +382,12 @@ def _(spark, sf):
     return J.ortholog_pair(X.sup_links(spark, sf).select("a", "b"), J.ortholog_view(X.ortholog(spark, sf), "9606", "10090"))
 
 
-@query("j09_exclude_pairs", "SELECT a, b, n FROM pairs WHERE (a, b) NOT IN (SELECT (a, b) FROM gs_link)", "pairs gs_link")
+@query("j09_exclude_pairs", "SELECT a, b, n FROM pairs ANTI JOIN gs_link USING (a, b)", "pairs gs_link")
 def _(spark, sf):
     return J.exclude_pairs(X.pairs(spark, sf), X.gs_link(spark, sf))
 
 
-@query("j10_keep_pairs", "SELECT a, b, n FROM pairs WHERE (a, b) IN (SELECT (a, b) FROM gs_link)", "pairs gs_link")
+@query("j10_keep_pairs", "SELECT a, b, n FROM pairs SEMI JOIN gs_link USING (a, b)", "pairs gs_link")
 def _(spark, sf):
     return J.keep_pairs(X.pairs(spark, sf), X.gs_link(spark, sf))
 
@@ -689,20 +689,20 @@ def _(spark, sf):
     return N.minmax(X.pairs(spark, sf).withColumnRenamed("n", "score"))
 
 
-_BOX_ROUND = """{out} AS (SELECT {c} + i * {step}::DOUBLE AS lam,
-   ({c} + i * {step}::DOUBLE - 1) * sl - n / 2.0::DOUBLE * ln(v) AS llf FROM
-   (SELECT i, c, sum(ln(x)) sl, count(*)::DOUBLE n, var_pop(CASE WHEN abs(c + i * {step}::DOUBLE) < 1e-12 THEN ln(x) ELSE (pow(x, c + i * {step}::DOUBLE) - 1) / (c + i * {step}::DOUBLE) END) v
-    FROM src, (SELECT unnest(range(-20, 21)) i), ({prev}) GROUP BY i, c))"""
+_BOX_ROUND = """{out} AS (SELECT k, i, step, lam, (lam - 1) * sum(ln(x)) - count(*)::DOUBLE / 2.0::DOUBLE * ln(var_pop(CASE WHEN abs(lam) < 1e-12 THEN ln(x) ELSE (pow(x, lam) - 1) / lam END)) AS llf
+    FROM src, (SELECT k, i, step, c + i * step AS lam FROM ({prev}), (SELECT unnest(range(-20, 21)) i)) GROUP BY k, i, step, lam)"""
 
 
 def boxcox_sql(rounds: int = 5) -> str:
-    """The lambda search as chained CTEs over `src(x)`; the last one is `best(lam)`."""
-    parts, prev, step = [], "SELECT 0.0::DOUBLE AS c", 0.1
-    for r in range(rounds):
-        parts.append(_BOX_ROUND.format(out=f"r{r}", c="c", step=repr(step), prev=prev))
-        prev = f"SELECT lam AS c FROM r{r} ORDER BY round(llf, 7) DESC, lam LIMIT 1"
-        step = step * 2 / 40
-    parts.append(f"best AS ({prev.replace('AS c', 'AS lam')})")
+    """The lambda search as chained CTEs over `src(x)`; the last one is `best(lam)`. The first round is tried for ranges
+    that double, and the first of them with the best exponent inside is taken."""
+    parts = [_BOX_ROUND.format(out="r0", prev="SELECT k, 0.0::DOUBLE AS c, 0.1::DOUBLE * pow(2, k) AS step FROM (SELECT unnest(range(6)) k)")]
+    parts.append("b0 AS (SELECT DISTINCT ON (k) k, i, step, lam FROM r0 ORDER BY k, round(llf, 7) DESC, lam)")
+    prev = "SELECT k, lam AS c, step * 2 / 40 AS step FROM b0 WHERE abs(i) < 20 ORDER BY k LIMIT 1"
+    for r in range(1, rounds):
+        parts.append(_BOX_ROUND.format(out=f"r{r}", prev=prev))
+        prev = f"SELECT k, lam AS c, step * 2 / 40 AS step FROM r{r} ORDER BY round(llf, 7) DESC, lam LIMIT 1"
+    parts.append(f"best AS (SELECT c AS lam FROM ({prev}))")
     return ",\n".join(parts)
 
 

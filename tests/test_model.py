@@ -148,7 +148,7 @@ def test_split_policies(spark):
     own, ort = df(spark, [("PPI", 1, 0)], "gs string, a long, b long"), df(spark, [("PPI", 2, 0), ("Complex", 3, 0)], "gs string, a long, b long")
     ids = lambda d: sorted(r.a for r in d.collect())
     split = {p: tuple(map(ids, G.split_pos_neg(fbs, own, ort, p))) for p in G.POLICIES}
-    assert split["reference"] == ([1], [1, 3, 4]) and split["strict"] == ([1], [3, 4]) and split["all_species"] == ([1, 2], [3, 4])
+    assert split["reference"] == ([1], [3, 4]) and split["carried_over"] == ([1], [1, 3, 4]) and split["all_species"] == ([1, 2], [3, 4])
     assert split["all_gold_standards"] == ([1, 2, 3], [4]) and split["no_overfit"] == ([2, 3], [4])
 
 
