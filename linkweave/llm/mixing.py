@@ -58,24 +58,28 @@ def capped_targets(sources: DataFrame, most: float) -> DataFrame:
 def multipliers(cells: DataFrame, source_col: str, most: float, tolerance: float = 1e-12, most_steps: int = 200) -> DataFrame:
     """(source_col, lambda) by Newton steps on the dual; `cells` has source, base, words and the source's target.
 
-    Where the target is the whole capacity, every rate is `most`, which any large multiplier gives. A step of at most 2
-    keeps sources far from their solution from overshooting."""
+    Words rise with the multiplier, so each step narrows an interval around the solution; a Newton step that would
+    leave it, as may happen where rates reach `most`, is replaced by halving it. Where the target is the whole
+    capacity every rate is `most`, which any large multiplier gives."""
     full = F.col("target") >= float(most) * F.col("_all") * (1 - 1e-12)
+    none = F.col("target") <= 0
+    start = F.when(full, 700.0).when(none, -700.0).otherwise(0.0)
     per_source = cells.groupBy(source_col, "target").agg(F.sum("words").alias("_all"))
-    state = staged(per_source.select(source_col, "target", F.when(full, 700.0).when(F.col("target") <= 0, -700.0).otherwise(0.0).alias("lambda"), (full | (F.col("target") <= 0)).alias("_done")))
+    state = staged(per_source.select(source_col, "target", start.alias("lambda"), F.lit(-700.0).alias("_low"), F.lit(700.0).alias("_high"), (full | none).alias("_done")))
     for _ in range(most_steps):
-        if not state.filter("NOT _done").limit(1).count():
+        if state.filter("NOT _done").isEmpty():
             return state.select(source_col, "lambda")
-        tilted = F.col("base") * F.exp(F.col("lambda"))
+        tilted = F.col("base") * F.exp("lambda")
         moments = cells.drop("target").alias("c").join(state.alias("s"), F.col(f"c.{source_col}").eqNullSafe(F.col(f"s.{source_col}")))
-        moments = moments.groupBy(F.col(f"s.{source_col}").alias(source_col), "target", "lambda", "_done").agg(
+        moments = moments.groupBy(F.col(f"s.{source_col}").alias(source_col), "target", "lambda", "_low", "_high", "_done").agg(
             F.sum(F.col("words") * F.least(tilted, F.lit(float(most)))).alias("_mass"), F.sum(F.when(tilted < most, F.col("words") * tilted).otherwise(0.0)).alias("_slope")
         )
         miss = F.col("target") - F.col("_mass")
-        step = F.when(F.col("_slope") > 0, miss / F.col("_slope")).otherwise(-1.0)
-        near = F.abs(miss) <= tolerance * F.col("target")
-        moved = F.col("lambda") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))
-        state = staged(moments.select(source_col, "target", F.when(F.col("_done") | near, F.col("lambda")).otherwise(moved).alias("lambda"), (F.col("_done") | near).alias("_done")))
+        moments = moments.withColumn("_low", F.when(miss > 0, F.col("lambda")).otherwise(F.col("_low"))).withColumn("_high", F.when(miss < 0, F.col("lambda")).otherwise(F.col("_high")))
+        newton = F.col("lambda") + miss / F.nullif(F.col("_slope"), F.lit(0.0))
+        moved = F.when((newton > F.col("_low")) & (newton < F.col("_high")), newton).otherwise((F.col("_low") + F.col("_high")) / 2)
+        done = F.col("_done") | (F.abs(miss) <= tolerance * F.col("target")) | (F.col("_high") - F.col("_low") < 1e-15)
+        state = staged(moments.select(source_col, "target", F.when(done, F.col("lambda")).otherwise(moved).alias("lambda"), "_low", "_high", done.alias("_done")))
     raise RuntimeError("the dual did not converge")
 
 

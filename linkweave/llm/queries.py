@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import bpe, mixing, ngram_join, quality, sharding, topk, toxicity, warc
+from linkweave.llm import bpe, licenses, media, mixing, ngram_join, quality, sharding, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,10 +36,18 @@ def op5_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.query(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.query(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -55,7 +63,9 @@ QUERIES: dict[str, Query] = {
     "op3_entropy_balanced_mix": op3_entropy_balanced_mix,
     "op4_zstd_warc": op4_zstd_warc,
     "op5_virtual_slot_shards": op5_virtual_slot_shards,
+    "op6_license_scan": op6_license_scan,
     "op7_toxicity_lexicon": op7_toxicity_lexicon,
+    "op8_chroma_fingerprints": op8_chroma_fingerprints,
     "op9_quality_nbsvm": op9_quality_nbsvm,
     "op10_byte_bpe": op10_byte_bpe,
 }

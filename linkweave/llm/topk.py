@@ -45,8 +45,8 @@ def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) ->
 
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks] or [np.empty(0, np.int64)])
-    return flat.astype(np.int64).reshape(-1, dims)
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
+    return np.concatenate([np.empty(0, np.int64), *flat]).astype(np.int64).reshape(len(column), dims)
 
 
 def sliced(values: np.ndarray, drop: int = DROP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +74,7 @@ def build(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         dims, block = key[0].as_py(), key[1].as_py()
         ids = table.column("id").to_numpy()
         values = _matrix(table.column("v"), dims)
-        lows, counts, slices = sliced(values) if dims else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 0), np.uint64))
+        lows, counts, slices = sliced(values)
         small = values.astype(np.int32) if not values.size or np.abs(values).max() < 1 << 31 else values
         parts = {"dims": dims, "block": block, "rows": len(ids), "ids": ids.tobytes(), "values": small.tobytes(), "wide": small.itemsize, "lows": lows.tobytes(), "counts": counts.tobytes(), "slices": slices.tobytes()}
         return pa.table({k: [v] for k, v in parts.items()}, schema=_INDEX)

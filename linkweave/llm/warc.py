@@ -239,16 +239,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 held: list[dict] = []
-                bytes_held = 0
-                for at, data in frames(content.as_py()):
-                    try:
+                at, held_bytes = 0, 0
+                try:
+                    for at, data in frames(content.as_py()):
                         held.append(parse(data))
-                    except (ArchiveError, UnicodeDecodeError) as e:
-                        raise ArchiveError(f"{name} at {at}: {e}") from e
-                    bytes_held += len(data)
-                    if bytes_held > 1 << 22:
-                        yield _rows(held)
-                        held, bytes_held = [], 0
+                        held_bytes += len(data)
+                        if held_bytes > 1 << 22:
+                            yield _rows(held)
+                            held, held_bytes = [], 0
+                except (ArchiveError, UnicodeDecodeError) as e:
+                    raise ArchiveError(f"{name}, record at {at} or the one behind it: {e}") from e
                 if held:
                     yield _rows(held)
 
