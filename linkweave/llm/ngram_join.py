@@ -6,10 +6,10 @@ first |x| - t + m of x and the first |y| - t + m of y share at least m, for any
 own m: the expected number of partners of its prefix is read off the sketch, and the prefix is lengthened, with
 as many more common shingles required, while that lowers the expected cost. A pair asks for the smaller m of the two.
 
-Large groups of near copies are not expanded into all pairs. Documents are first reduced to distinct sets. In
-each round the sets under one prefix shingle are compared to one hub; verified links merge them. Shingles whose
-sets are all in one component drop out. Once the pairs that lie across components are no more than the postings,
-all of them are compared, so no link between two components is lost.
+Large groups of near copies are not expanded into all pairs. Documents are first reduced to distinct sets. In a round
+of hubs the sets under one prefix shingle are compared to one of them; verified links merge them into components. Rounds
+go on with other hubs while many pairs lie across components and their number falls by half. Then all pairs across
+components are compared, so no link between two components is lost.
 
 Defined cases: a null text, an empty text or one of white space has no shingles and is linked with nothing; a
 text shorter than a shingle is one shingle; repeated rows share their component; a null id takes part in links but is
@@ -19,6 +19,7 @@ Shingles and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +31,10 @@ from pyspark.sql import functions as F
 from linkweave.llm.words import WordHashes, shingles, texts_of
 from linkweave.session import discard, staged
 
-SKETCH_BITS = 18
+SKETCH_BITS = 22
+CHUNK_BITS = 14  # cells of the sketch that travel as one row
+BROADCAST_IDS = 500_000
+MOST_PAIRS = 8  # for each posting: what is compared in the end without another round of hubs
 MOST_MATCHES = 4
 VERIFY_COST = 0.05  # of comparing one shingle of a candidate, against reading one posting
 
@@ -44,12 +48,11 @@ def _node(found: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """A row (id, n, node) per document, and rows (cell, cnt) of the shingle counts of each task."""
-    fields = [("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("cell", pa.int32()), ("cnt", pa.int64())]
-    schema = pa.schema(fields)
+    """A row (id, n, node) per document, and rows (chunk, counts) of the shingle counts of each task."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
+        hashes, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for part, texts in texts_of(batch, "text"):
                 n, node = [], []
@@ -58,24 +61,37 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                     n.append(len(found))
                     node.append(_node(found) if len(found) else None)
                     np.add.at(counts, _cells(found), 1)
-                none = pa.nulls(part.num_rows)
-                yield pa.record_batch([part.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
-        cells = np.flatnonzero(counts)
-        for at in range(0, len(cells), 1 << 16):
-            some = cells[at : at + (1 << 16)]
-            none = pa.nulls(len(some)).cast(pa.int64())
-            yield pa.record_batch([none, none, none, pa.array(some.astype(np.int32)), pa.array(counts[some])], schema=schema)
+                rows = part.num_rows
+                yield pa.record_batch(
+                    [part.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=schema
+                )
+        for chunk, cells in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)):
+            if cells.any():
+                none = pa.nulls(1, pa.int64())
+                yield pa.record_batch([none, none, none, pa.array([chunk], pa.int32()), pa.array([zlib.compress(cells.tobytes(), 1)])], schema=schema)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return staged(narrow.mapInArrow(run, "id long, n long, node long, cell int, cnt long"))
+    return staged(narrow.mapInArrow(run, "id long, n long, node long, chunk int, counts binary"))
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
-    """Shingles per cell over all documents; 2^SKETCH_BITS numbers whatever the size of the input."""
-    rows = sets.filter("cell is not null").groupBy("cell").agg(F.sum("cnt").alias("cnt")).toPandas()
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    counts[rows["cell"].to_numpy(dtype=np.int64)] = rows["cnt"].to_numpy(dtype=np.int64)
-    return counts
+    """Shingles per cell over all documents: 2^SKETCH_BITS numbers whatever the size of the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
+                cells = np.frombuffer(zlib.decompress(counts.as_py()), np.uint32)
+                sums[chunk] = sums.get(chunk, np.zeros(1 << CHUNK_BITS, np.uint64)) + cells
+        for chunk, cells in sums.items():
+            data = np.minimum(cells, np.iinfo(np.uint32).max).astype(np.uint32).tobytes()
+            yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([data])], names=["chunk", "counts"])
+
+    parts = sets.filter("chunk is not null").select("chunk", "counts").repartition(16, "chunk")
+    out = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
+    for row in parts.mapInArrow(run, "chunk int, counts binary").collect():
+        out[row["chunk"]] = np.frombuffer(row["counts"], np.uint32)
+    return out.reshape(-1)
 
 
 def pick_matches(common: np.ndarray, n: int, need: int) -> int:
@@ -95,7 +111,8 @@ def _postings(docs: DataFrame, text_col: str, size: int, sketch: np.ndarray) ->
 
     `at` packs the set's size, the shingle's position and the number of matches to ask for."""
     names = ["token", "node", "at"]
-    usual = sketch.mean()
+    usual = float(sketch.mean())
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, out, held = WordHashes(), set(), [], 0
@@ -111,7 +128,7 @@ def _postings(docs: DataFrame, text_col: str, size: int, sketch: np.ndarray) ->
                     if not n or (node := _node(found)) in seen:
                         continue
                     seen.add(node)
-                    often = sketch[_cells(found)]
+                    often = shared.value[_cells(found)].astype(np.int64)
                     need = (4 * n + 4) // 5
                     order = np.lexsort((found, often))[: n - need + min(MOST_MATCHES, need)]
                     m = pick_matches(np.maximum(often[order] - usual, 0), n, need)
@@ -134,9 +151,11 @@ def _postings(docs: DataFrame, text_col: str, size: int, sketch: np.ndarray) ->
 
 
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the sets that share a prefix shingle with another one, read from one document each."""
+    """(node, shingles) of the given sets, read from one document each; other sets may come along."""
     holders = sets.filter("node is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("_holder"))
-    holders = holders.select("_holder").distinct()
+    holders = staged(holders.select("_holder").distinct())
+    if holders.count() <= BROADCAST_IDS:  # else the texts are shuffled by id
+        holders = F.broadcast(holders)
     narrow = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     texts = narrow.join(holders, F.col("_id").eqNullSafe(F.col("_holder")), "left_semi").select("text")
 
@@ -175,42 +194,28 @@ def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return both.filter(9 * F.size(F.array_intersect("_x", "_y")) >= 4 * (F.size("_x") + F.size("_y"))).select("a", "b")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, comp): the smallest node each linked node is connected to; links (a, b).
+def _settled(pairs: DataFrame) -> bool:
+    """Whether pairs (x, y) are stars: each x has one y, and no y is an x."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("v"), F.lit(1).alias("child")), F.struct(F.col("y").alias("v"), F.lit(0).alias("child")))).alias("e"))
+    uses = ends.groupBy("e.v").agg(F.sum("e.child").alias("parents"), F.min("e.child").alias("low"))
+    return uses.filter("parents > 1 OR (parents > 0 AND low = 0)").isEmpty()
 
-    Alternates large-star and small-star until the links stay as they are; each round is written out."""
 
-    def mark(pairs: DataFrame):
-        return pairs.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)"))).first()
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, comp): the smallest node each linked node is connected to, smallest nodes left out; links (a, b).
 
+    Alternates large-star and small-star until the links are stars; each round is written out."""
     pairs = staged(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).filter("x <> y").distinct())
-    seen = mark(pairs)
     for _ in range(most_rounds):
-        if not seen[0]:
-            break
+        if _settled(pairs):
+            return pairs.select(F.col("x").alias("node"), F.col("y").alias("comp"))
         both = pairs.unionAll(pairs.select("y", "x")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("x"), F.col("low").alias("y")).distinct()
         low = large.groupBy("x").agg(F.min("y").alias("low"))
         small = large.join(low, "x").select(F.col("y").alias("x"), F.col("low").alias("y")).unionAll(low.select("x", "low"))
         pairs = staged(small.filter("x <> y").distinct())
-        now = mark(pairs)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    return pairs.select(F.col("x").alias("node"), F.col("y").alias("comp"))
-
-
-def _spread(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """The postings with their component, under shingles that still lie across components."""
-    if comps is None:
-        known = postings.withColumn("comp", F.col("node"))
-    else:
-        known = postings.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    across = known.groupBy("token").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("token")
-    return known.join(across, "token", "left_semi")
+    raise RuntimeError("components did not settle")
 
 
 def _sides(frame: DataFrame, side: int) -> DataFrame:
@@ -219,7 +224,8 @@ def _sides(frame: DataFrame, side: int) -> DataFrame:
 
 def _hub_pairs(spread: DataFrame, turn: int) -> DataFrame:
     """Each set under a shingle beside the shingle's hub: one set per shingle, the same for most shingles of a group."""
-    rank = F.struct(F.xxhash64(F.col("node"), F.lit(turn)), F.col("node"))
+    # nodes are hashes, so the smallest one is as good as any, and what it links is a star already
+    rank = F.struct(F.xxhash64(F.col("node"), F.lit(turn)), F.col("node")) if turn else F.col("node")
     hubs = spread.groupBy("token").agg(F.min_by(F.struct("node", "comp", "at"), rank).alias("_hub")).select("token", "_hub.*")
     return _sides(hubs, 1).join(_sides(spread, 2), "token").filter("comp1 <> comp2")
 
@@ -232,7 +238,7 @@ def _cross_pairs(spread: DataFrame) -> DataFrame:
 
 
 def _work(spread: DataFrame) -> tuple[float, float]:
-    """Postings left, and pairs across components under a common shingle."""
+    """Postings, and pairs across components under a common shingle."""
     sizes = spread.groupBy("token", "comp").agg(F.count("*").cast("double").alias("k"))
     whole = sizes.groupBy("token").agg(F.sum("k").alias("c"), F.sum(F.col("k") * F.col("k")).alias("s"))
     row = whole.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("s")) / 2)).first()
@@ -245,32 +251,32 @@ def jaccard_components(
     """(id_col, n_shingles, component_id) for each row of `docs`; `on_links` gets the verified links between sets."""
     sets = _sets(docs, id_col, text_col, size)
     postings = _postings(docs, text_col, size, _sketch(sets))
-    contents = _shingle_sets(docs, id_col, text_col, size, sets, postings.select("node").distinct())
-    comps: DataFrame | None = None
-    links: DataFrame | None = None
-    turn, stalled = 0, False
-    while True:
-        spread = staged(_spread(postings, comps))
-        left, across = _work(spread)
-        if not left:
-            break
-        last = stalled or across <= 4 * left
-        candidates = _matching(_cross_pairs(spread) if last else _hub_pairs(spread, turn))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        candidates = staged(_matching(pairs))
+        nodes = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        contents = _shingle_sets(docs, id_col, text_col, size, sets, nodes)
         found = staged(_verified(candidates, contents))
+        discard(contents)
         if on_links:
             on_links(found)
-        stalled = found.isEmpty()
-        if not stalled:
-            links = found if links is None else links.unionAll(found)
-            comps = components(links)
-        if last:
+        return found
+
+    links = linked(_hub_pairs(postings.withColumn("comp", F.col("node")), 0))
+    turn, before = 1, float("inf")
+    while True:
+        comps = components(links)
+        known = staged(postings.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        left, across = _work(known)
+        if across <= MOST_PAIRS * left or across > before / 2:
             break
-        postings, turn = spread.drop("comp"), turn + 1
-    rows = sets.filter("cell is null")
-    if comps is None:
-        joined = rows.withColumn("comp", F.col("node"))
-    else:
-        joined = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        links = links.unionAll(linked(_hub_pairs(known, turn)))
+        turn, before = turn + 1, across
+    rest = linked(_cross_pairs(known))
+    if not rest.isEmpty():
+        comps = components(links.unionAll(rest))
+    rows = sets.filter("chunk is null")
+    joined = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     joined = staged(joined.select("id", "n", "comp"))
     least = joined.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("_least"))
     out = joined.join(least, "comp", "left")

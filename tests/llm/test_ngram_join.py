@@ -53,7 +53,7 @@ def corpus(seed, groups=12, longest=120):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_against_every_pair(spark, seed):
     rows = corpus(seed)
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
@@ -67,9 +67,10 @@ def test_hub_rounds_lose_no_link(spark, monkeypatch):
     calls = []
     real = ngram_join._hub_pairs
     monkeypatch.setattr(ngram_join, "_hub_pairs", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(ngram_join, "MOST_PAIRS", 0)
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
-    assert calls
+    assert len(calls) > 1
 
 
 def test_more_matches_where_shingles_are_common():
