@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from linkweave.functions.columns import half_even
 from linkweave.session import checkpointed
 
-# A window partition up to this many rows is sorted by one task; beyond it the range form is used.
-WINDOW_ROWS = 2_000_000
 SAMPLE_SLOTS = 65_536
 
 
@@ -20,18 +18,9 @@ def _on(keys: list[str], left: str, right: str) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn", window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """`row_number()` per key. The largest group is measured first: when it is too big for one
-    task, rows are range-partitioned over (keys, order), numbered per range, and shifted by the
-    counts of the ranges before. `order` must be a total order for a repeatable result."""
-    sizes = df.groupBy(*keys).count() if keys else df.agg(F.count("*").alias("count"))
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    if largest <= window_rows:
-        return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return numbered_by_range(df, keys, order, name)
-
-
-def numbered_by_range(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
+    """`row_number()` per key. Rows are range-partitioned over (keys, order), numbered per range, and shifted by
+    the counts of the ranges before, so no task holds a whole group. `order` must be a total order for a repeatable result."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = checkpointed(
         df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id())

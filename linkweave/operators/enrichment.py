@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from linkweave import vocab
 from linkweave.functions.ordered import degree_bins
-from linkweave.functions.stats import hypergeom_tail, p_adjust
+from linkweave.functions.stats import hypergeom_tail, log_gamma, p_adjust, row_sums
 from linkweave.operators.pairs import degree, min_group_size, symmetric
 from linkweave.session import checkpointed
 
@@ -68,48 +66,62 @@ def every_pathway(queries: DataFrame, pathway_sizes: DataFrame) -> DataFrame:
     return listed.select(*queries.columns, F.explode("_all").alias("_w")).select(*queries.columns, "_w.*")
 
 
-def _log_betabinom(k: np.ndarray, n: float, a: float, b: float) -> np.ndarray:
-    lg = np.vectorize(math.lgamma, otypes=[float])
-    return (
-        math.lgamma(n + 1) - lg(k + 1) - lg(n - k + 1)
-        + lg(k + a) + lg(n - k + b) - math.lgamma(n + a + b)
-        + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    )
+def mid_p_values(k: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Half the probability of k plus that of more, under a beta-binomial; the shorter tail is summed. NaN where the
+    parameters fit none."""
+    ok = (a > 0) & (b > 0) & (n > 0) & (k >= 0) & (k <= n)
+    k, n, a, b = (np.where(ok, v, 1) for v in (k, n, a, b))
+    fixed = log_gamma(n + 1) - log_gamma(n + a + b) + log_gamma(a + b) - log_gamma(a) - log_gamma(b)
+
+    def term(j: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return fixed[r] - log_gamma(j + 1) - log_gamma(n[r] - j + 1) + log_gamma(j + a[r]) + log_gamma(n[r] - j + b[r])
+
+    every = np.arange(len(k))
+    upper = n - k <= k
+    total = row_sums(np.where(ok, np.where(upper, n - k, k + 1), 0).astype(np.int64), np.where(upper, k + 1, 0).astype(np.int64), term)
+    above = np.where(upper, total, 1.0 - total)
+    return np.where(ok, np.clip(0.5 * np.exp(term(k, every)) + above, 0.0, 1.0), np.nan)
 
 
 def mid_p(k: int, n: int, a: float, b: float) -> float:
-    """Half the probability of k plus that of more, under a beta-binomial; the shorter tail is summed."""
-    if not (a > 0 and b > 0 and n > 0 and 0 <= k <= n):
-        return float("nan")
-    exact = float(np.exp(_log_betabinom(np.array([k]), n, a, b))[0])
-    if n - k <= k:
-        above = float(np.exp(_log_betabinom(np.arange(k + 1, n + 1), n, a, b)).sum()) if k < n else 0.0
-    else:
-        above = 1.0 - float(np.exp(_log_betabinom(np.arange(0, k + 1), n, a, b)).sum())
-    return min(1.0, max(0.0, 0.5 * exact + above))
+    return float(mid_p_values(*(np.array([v], float) for v in (k, n, a, b)))[0])
 
 
 @F.pandas_udf(DoubleType())
 def _mid_p(k: pd.Series, n: pd.Series, m1: pd.Series, m2: pd.Series) -> pd.Series:
-    out = []
-    for x, size, mean, square in zip(k, n, m1, m2):
-        value = float("nan")
-        if mean and mean > 0:
-            divisor = size * (square / mean - mean - 1) + mean
-            if divisor:
-                value = mid_p(int(x), int(size), (size * mean - square) / divisor, (size - mean) * (size - square / mean) / divisor)
-        out.append(1.0 if math.isnan(value) else value)
-    return pd.Series(out)
-
-
-def crosstalk_test(observed: DataFrame, random: DataFrame, draws: int, query_sizes: DataFrame, pathway_sizes: DataFrame) -> DataFrame:
+    size, mean, square = n.to_numpy(float), m1.to_numpy(float), m2.to_numpy(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        divisor = size * (square / mean - mean - 1) + mean
+        a, b = (size * mean - square) / divisor, (size - mean) * (size - square / mean) / divisor
+        fits = (mean > 0) & (divisor != 0) & np.isfinite(a) & np.isfinite(b)
+        value = mid_p_values(k.to_numpy(float), size, np.where(fits, a, -1.0), np.where(fits, b, -1.0))
+    return pd.Series(np.where(np.isnan(value), 1.0, value))
+
+
+def drawn_moments(random: DataFrame, draws: int) -> DataFrame:
+    """(query_id, pathway_id, m1, m2) of the crosstalk of drawn sets (query_id, draw, pathway_id, n) without zero rows."""
+    return random.groupBy("query_id", "pathway_id").agg((F.sum("n") / F.lit(draws)).alias("m1"), (F.sum(F.col("n") * F.col("n")) / F.lit(draws)).alias("m2"))
+
+
+def exact_moments(query: DataFrame, bins: DataFrame, talk: DataFrame) -> DataFrame:
+    """The moments that infinitely many degree-matched draws would have: a bin gives as many of its nodes as the query has
+    there, without replacement, so mean and variance follow from each bin's sums and sums of squares."""
+    nodes = bins.select("node", "bin")
+    need = query.join(nodes.withColumnRenamed("node", "gene"), "gene").groupBy("query_id", "bin").agg(F.count("*").alias("need"))
+    size = nodes.groupBy("bin").agg(F.count("*").alias("size"))
+    sums = talk.join(nodes, "node").groupBy("bin", "pathway_id").agg(F.sum("n").alias("s1"), F.sum(F.col("n") * F.col("n")).alias("s2"))
+    each = need.join(size, "bin").join(sums, "bin")
+    mean = F.col("s1") / F.col("size")
+    spread = F.when(F.col("size") > 1, F.col("need") * (F.col("size") - F.col("need")) / (F.col("size") - 1) * (F.col("s2") / F.col("size") - mean * mean)).otherwise(0.0)
+    total = each.groupBy("query_id", "pathway_id").agg(F.sum(F.col("need") * mean).alias("m1"), F.sum(spread).alias("_v"))
+    return total.select("query_id", "pathway_id", "m1", (F.col("_v") + F.col("m1") * F.col("m1")).alias("m2"))
+
+
+def crosstalk_test(observed: DataFrame, moments: DataFrame, query_sizes: DataFrame, pathway_sizes: DataFrame) -> DataFrame:
     """Network crosstalk against degree-matched sets: (query_id, pathway_id, n, expected, p, fdr, fwer).
 
-    `random` is (query_id, draw, pathway_id, n) without zero rows; the two moments of the draws fix a
-    beta-binomial with n = |query| * |pathway| - min(|query|, |pathway|). No fit gives p = 1."""
-    moments = random.groupBy("query_id", "pathway_id").agg(
-        (F.sum("n") / F.lit(draws)).alias("m1"), (F.sum(F.col("n") * F.col("n")) / F.lit(draws)).alias("m2")
-    )
+    The two moments of matched sets (query_id, pathway_id, m1, m2) fix a beta-binomial with
+    n = |query| * |pathway| - min(|query|, |pathway|). No fit gives p = 1."""
     keys = ["query_id", "pathway_id"]
     every = every_pathway(query_sizes.select("query_id", F.col("n").alias("_q")), pathway_sizes)
     sized = every.join(observed, keys, "left").join(moments, keys, "left").fillna(0, ["n", "m1", "m2"])
@@ -155,21 +167,23 @@ def combine_enrichment(crosstalk_result: DataFrame, ease_result: DataFrame, max_
 
 
 def crosstalk_enrichment(
-    links: DataFrame, query: DataFrame, pathways: DataFrame, draws: int = 2000, seed: int = 9606, ppv: float = vocab.ENRICHMENT_PPV
+    links: DataFrame, query: DataFrame, pathways: DataFrame, draws: int | None = None, seed: int = 9606, ppv: float = vocab.ENRICHMENT_PPV
 ) -> DataFrame:
-    """The network test for a batch of gene sets: bins and crosstalk once, then draws and moments."""
+    """The network test for a batch of gene sets: bins and crosstalk once, then moments, exact ones or those of `draws` sets."""
     bins = checkpointed(network_bins(links, ppv))
     talk = checkpointed(crosstalk(links, pathways, ppv))
     inside = query.join(bins.select(F.col("node").alias("gene")), "gene", "left_semi")
-    drawn = matched_samples(inside, bins, draws, seed)
     sizes = network_pathways(links, pathways, ppv).groupBy("pathway_id").agg(F.count("*").alias("n"))
     q_sizes = inside.groupBy("query_id").agg(F.count("*").alias("n"))
-    observed, random = summed_crosstalk(inside, talk, ["query_id"]), summed_crosstalk(drawn, talk, ["query_id", "draw"])
-    return crosstalk_test(observed, random, draws, q_sizes, sizes)
+    if draws is None:
+        moments = exact_moments(inside, bins, talk)
+    else:
+        moments = drawn_moments(summed_crosstalk(matched_samples(inside, bins, draws, seed), talk, ["query_id", "draw"]), draws)
+    return crosstalk_test(summed_crosstalk(inside, talk, ["query_id"]), moments, q_sizes, sizes)
 
 
 def enrichment(
-    links: DataFrame, query: DataFrame, pathways: DataFrame, population: int, draws: int = 2000, seed: int = 9606,
+    links: DataFrame, query: DataFrame, pathways: DataFrame, population: int, draws: int | None = None, seed: int = 9606,
     ppv: float = vocab.ENRICHMENT_PPV, max_fwer: float = 0.05,
 ) -> DataFrame:
     """Both tests for a batch of gene sets."""

@@ -53,16 +53,15 @@ def _(spark, sf):
 
 
 def _monthly(spark, sf):
-    """Supplier x month profiles with gaps: months without returned goods are missing."""
-    li = table(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_discount > 0.05")
-    month = F.date_format("l_shipdate", "yyyy-MM")
-    return li.groupBy(F.col("l_suppkey").alias("protein_id"), month.alias("sample")).agg(F.sum("l_quantity").alias("value"))
+    """Supplier x day profiles with gaps: days without goods are missing."""
+    li = table(spark, sf, "lineitem")
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    return li.groupBy(F.col("l_suppkey").alias("protein_id"), day.alias("sample")).agg(F.sum("l_quantity").alias("value"))
 
 
 @query(
     "e02_spearman_with_gaps",
-    """WITH m AS (SELECT l_suppkey AS id, strftime(l_shipdate, '%Y-%m') AS s, sum(l_quantity) AS v FROM lineitem
-                  WHERE l_returnflag = 'R' AND l_discount > 0.05 GROUP BY ALL),
+    """WITH m AS (SELECT l_suppkey AS id, strftime(l_shipdate, '%Y-%m-%d') AS s, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
        c AS (SELECT x.id AS a, y.id AS b, x.s, x.v AS vx, y.v AS vy FROM m x JOIN m y ON x.s = y.s AND x.id > y.id),
        r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY vx) + (count(*) OVER (PARTITION BY a, b, vx) - 1) / 2 AS rx,
                     rank() OVER (PARTITION BY a, b ORDER BY vy) + (count(*) OVER (PARTITION BY a, b, vy) - 1) / 2 AS ry FROM c)
@@ -74,7 +73,7 @@ def _(spark, sf):
 
 def _hits(spark, sf):
     """Brand and type play the domains of a part; order lines of suppliers repeat them."""
-    li = table(spark, sf, "lineitem").filter("l_returnflag = 'A' AND l_quantity > 48")
+    li = table(spark, sf, "lineitem")
     p = table(spark, sf, "part")
     return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("protein_id"), F.col("p_brand").alias("domain"))
 
@@ -85,7 +84,7 @@ def _ddi(spark, sf):
     return f.groupBy(F.col("brand_a").alias("domain_a"), F.col("brand_b").alias("domain_b")).agg(F.max(F.col("price_a") / 1000).alias("score"))
 
 
-view("hits", "SELECT l_suppkey AS protein_id, p_brand AS domain FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A' AND l_quantity > 48")
+view("hits", "SELECT l_suppkey AS protein_id, p_brand AS domain FROM lineitem JOIN part ON l_partkey = p_partkey")
 view("ddi", "SELECT brand_a AS domain_a, brand_b AS domain_b, max(price_a / 1000) AS score FROM feat WHERE size_a = size_b AND brand_a < brand_b GROUP BY ALL", "feat")
 view(
     "ddi_pairs",
@@ -160,7 +159,7 @@ def _(spark, sf):
 @query(
     "e06_genetic_profile_pairs",
     """WITH m AS (SELECT p, s, avg(v) AS v FROM (SELECT greatest(l_suppkey, b) AS x, least(l_suppkey, b) AS y, v FROM
-                    (SELECT l_suppkey, c_nationkey + 1000000 AS b, l_discount - l_tax AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 45))
+                    (SELECT l_suppkey, c_nationkey + 1000000 AS b, l_discount - l_tax AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey))
                   , LATERAL (SELECT x AS p, y AS s UNION ALL SELECT y, x) GROUP BY p, s),
        c AS (SELECT x.p AS a, y.p AS b, x.v AS vx, y.v AS vy FROM m x JOIN m y ON x.s = y.s AND x.p > y.p),
        r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY round(vx, 9)) + (count(*) OVER (PARTITION BY a, b, round(vx, 9)) - 1) / 2 AS rx,
@@ -170,8 +169,7 @@ def _(spark, sf):
 def _(spark, sf):
     li, o, c = (table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
     rows = (
-        li.filter("l_quantity > 45")
-        .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+        li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(c, F.col("o_custkey") == F.col("c_custkey"))
         .select(F.col("l_suppkey").alias("a"), (F.col("c_nationkey") + 1000000).cast("long").alias("b"), (F.col("l_discount") - F.col("l_tax")).alias("score"))
     )
@@ -245,23 +243,22 @@ def _(spark, sf):
 
 
 def _presence(spark, sf):
-    """Nations a supplier's returned, large orders come from, seen as ortholog hits."""
+    """Nations that buy no less than the average of a supplier's nations, seen as ortholog hits."""
     li, o, c, s = (table(spark, sf, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    rows = (
-        li.filter("l_returnflag = 'R' AND l_quantity > 45")
-        .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(c, F.col("o_custkey") == F.col("c_custkey"))
-        .join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    )
-    return rows.select(F.col("s_suppkey").alias("protein"), F.col("s_nationkey").alias("species"), F.col("c_nationkey").alias("other_species")).distinct()
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    bought = rows.groupBy("l_suppkey", "c_nationkey").agg(F.sum("l_quantity").alias("q"))
+    usual = bought.groupBy("l_suppkey").agg(F.sum("q").alias("total"), F.count("*").alias("n"))
+    good = bought.join(usual, "l_suppkey").filter("q * n >= total").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    return good.select(F.col("s_suppkey").alias("protein"), F.col("s_nationkey").alias("species"), F.col("c_nationkey").alias("other_species"))
 
 
 view(
-    "presence",
-    """SELECT DISTINCT p, s FROM (SELECT l_suppkey AS p, s_nationkey AS own, c_nationkey AS other FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-         JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND l_quantity > 45),
-       LATERAL (SELECT own AS s UNION ALL SELECT other)""",
+    "buyers",
+    """SELECT p, other FROM (SELECT *, sum(q) OVER (PARTITION BY p) AS total, count(*) OVER (PARTITION BY p) AS n FROM
+         (SELECT l_suppkey AS p, c_nationkey AS other, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL))
+       WHERE q * n >= total""",
 )
+view("presence", "SELECT DISTINCT p, s FROM (SELECT p, s_nationkey AS own, other FROM buyers JOIN supplier ON p = s_suppkey), LATERAL (SELECT own AS s UNION ALL SELECT other)", "buyers")
 
 
 @query("e09_presence_profiles", "SELECT p AS protein_id, string_agg(s::VARCHAR, ',' ORDER BY s) AS profile FROM presence GROUP BY 1", "presence")
@@ -352,10 +349,7 @@ def _nation_annotation(spark, sf):
     return p.select(F.col("protein").alias("protein_id"), F.concat(F.lit("n"), "other_species").alias("term")).distinct()
 
 
-view(
-    "nation_ann",
-    """SELECT DISTINCT l_suppkey AS g, 'n' || c_nationkey AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'R' AND l_quantity > 45""",
-)
+view("nation_ann", "SELECT p AS g, 'n' || other AS t FROM buyers", "buyers")
 
 
 @query(

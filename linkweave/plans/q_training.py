@@ -41,7 +41,7 @@ def _(spark, sf):
 
 def _pathway(spark, sf):
     """Orders as pathways: entries are order lines, relations go from returned to accepted lines."""
-    li = table(spark, sf, "lineitem").filter("l_quantity > 25")
+    li = table(spark, sf, "lineitem")
     entries = li.select(F.col("l_orderkey").alias("pathway_id"), F.concat_ws("-", "l_orderkey", "l_returnflag").alias("entry_id"), F.concat(F.lit("sup:"), "l_suppkey").alias("gene")).distinct()
     one, two = F.concat_ws("-", "l_orderkey", F.lit("R")), F.concat_ws("-", "l_orderkey", F.lit("A"))
     kind = F.when(F.max("l_linestatus") == "O", "ECrel").otherwise("maplink")
@@ -49,13 +49,13 @@ def _pathway(spark, sf):
     return entries, rel
 
 
-view("pw", "SELECT DISTINCT l_orderkey AS o, l_returnflag AS f, l_suppkey AS s FROM lineitem WHERE l_quantity > 25")
+view("pw", "SELECT DISTINCT l_orderkey AS o, l_returnflag AS f, l_suppkey AS s FROM lineitem")
 _PW_MAP = "SELECT DISTINCT o, f, protein_id AS p FROM pw JOIN id_mapping ON mapped_id = 'sup:' || s OR mapped_id = s::VARCHAR"
 
 
 @query(
     "l02_gs_pathway_relations",
-    f"""WITH m AS ({_PW_MAP}), k AS (SELECT l_orderkey AS o FROM lineitem WHERE l_quantity > 25 GROUP BY 1 HAVING max(l_linestatus) = 'O')
+    f"""WITH m AS ({_PW_MAP}), k AS (SELECT l_orderkey AS o FROM lineitem GROUP BY 1 HAVING max(l_linestatus) = 'O')
        SELECT DISTINCT greatest(x.p, y.p) AS a, least(x.p, y.p) AS b FROM k JOIN m x ON x.o = k.o AND x.f = 'R' JOIN m y ON y.o = k.o AND y.f = 'A' WHERE x.p <> y.p""",
     "pw id_mapping",
 )
@@ -103,7 +103,7 @@ def _(spark, sf):
 
 @query(
     "l05_gs_regulatory",
-    """WITH s AS (SELECT DISTINCT * FROM (SELECT upper(name_a) AS name_a, name_b, 2 AS direction FROM named_links UNION ALL SELECT lower(name_b), name_a, 2 FROM named_links WHERE name_a > 'Supplier#000000050')),
+    """WITH s AS (SELECT DISTINCT * FROM (SELECT upper(name_a) AS name_a, name_b, 2 AS direction FROM named_links UNION ALL SELECT lower(name_b), name_a, 2 FROM named_links)),
        l AS (SELECT DISTINCT x.protein_id AS x, y.protein_id AS y FROM s JOIN id_mapping x ON lower(x.mapped_id) = lower(name_a) JOIN id_mapping y ON lower(y.mapped_id) = lower(name_b))
        SELECT DISTINCT greatest(x, y) AS a, least(x, y) AS b, CASE WHEN x < y THEN 3 ELSE 2 END AS direction FROM l WHERE x <> y""",
     "named_links id_mapping",
@@ -111,7 +111,7 @@ def _(spark, sf):
 def _(spark, sf):
     links = X.named_links(spark, sf)
     one = links.select(F.upper("name_a").alias("name_a"), "name_b", F.lit(2).alias("direction"))
-    two = links.filter("name_a > 'Supplier#000000050'").select(F.lower("name_b").alias("name_a"), F.col("name_a").alias("name_b"), F.lit(2).alias("direction"))
+    two = links.select(F.lower("name_b").alias("name_a"), F.col("name_a").alias("name_b"), F.lit(2).alias("direction"))
     return G.gs_regulatory([one, two], X.id_mapping(spark, sf))
 
 

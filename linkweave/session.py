@@ -60,8 +60,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """A lookup side expected to be small (models, ranges per dataset): written once, counted, and only
-    broadcast when the count stays within the bound; otherwise the join shuffles with AQE's skew handling."""
+def small_side(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """A lookup side expected to be small (models, ranges per dataset): written once, measured, and only
+    broadcast when rows and bytes stay within the bounds; otherwise the join shuffles with AQE's skew handling."""
     stage = checkpointed(df)
-    return F.broadcast(stage) if stage.count() <= max_rows else stage
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in stage.columns])))
+    rows, held = stage.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(stage) if rows <= max_rows and (held or 0) <= max_bytes else stage

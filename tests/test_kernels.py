@@ -7,6 +7,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linkweave.functions import ordered as O
@@ -76,6 +77,40 @@ def test_boxcox_lambda_is_the_maximum(spark):
     assert abs(lam - grid[np.argmax([llf(g) for g in grid])]) < 1e-3
 
 
+def test_boxcox_range_widens(spark):
+    """The best exponent of a power of a normal sample lies far outside the first range."""
+    x = np.random.default_rng(2).normal(10, 1, 4_000) ** (1 / 5.35)
+    lam = N.boxcox_lambda(df(spark, [(float(v),) for v in x], "score double")).first()["lambda"]
+
+    def llf(p):
+        return (p - 1) * np.log(x).sum() - len(x) / 2 * np.log(((x**p - 1) / p).var())
+
+    grid = np.arange(3, 8, 0.0005)
+    assert 4 < lam < 7 and abs(lam - grid[np.argmax([llf(g) for g in grid])]) < 2e-3
+
+
+def test_moments_of_matched_sets_against_all_draws(spark):
+    bins = df(spark, [(i, 1 if i < 5 else 2) for i in range(9)], "node long, bin int")
+    count = {(i, "p"): i * i % 5 for i in range(9)} | {(i, "r"): i % 2 for i in range(9)}
+    talk = df(spark, [(i, w, n) for (i, w), n in count.items() if n], "node long, pathway_id string, n long")
+    query = df(spark, [("q", 0), ("q", 1), ("q", 7)], "query_id string, gene long")
+    got = {r.pathway_id: (r.m1, r.m2) for r in E.exact_moments(query, bins, talk).collect()}
+    for w in ("p", "r"):
+        sums = [count[a, w] + count[b, w] + count[c, w] for a, b in itertools.combinations(range(5), 2) for c in range(5, 9)]
+        assert np.allclose(got[w], (np.mean(sums), np.mean(np.square(sums))))
+
+
+def test_draws_without_replacement():
+    rng = np.random.default_rng(0)
+    counts = np.array([5, 0, 1000, 30, 10**12])
+    for size in (0, 1, 700):
+        got = M._draw(rng, counts, size)
+        assert got.sum() == size and (got <= counts).all() and (got >= 0).all()
+    small = np.array([3, 50, 7])
+    mean = np.mean([M._draw(rng, small, 40) for _ in range(4000)], axis=0)
+    assert np.abs(mean - small * 40 / 60).max() < 0.1 and (M._draw(rng, small, 60) == small).all()
+
+
 def _score_frames(spark, rng):
     pos, neg = rng.beta(4, 2, 900).round(4), rng.beta(2, 4, 1500).round(4)
     make = lambda v: df(spark, [(1, "PPI", i, 0, float(s)) for i, s in enumerate(v)], "evidence_id int, gs string, a long, b long, score double")
@@ -161,7 +196,8 @@ def test_bh_is_monotone_and_not_below_raw(spark):
 
 def test_mid_p_against_a_plain_sum():
     n, a, b = 30, 2.5, 7.0
-    pmf = np.exp(E._log_betabinom(np.arange(n + 1), n, a, b))
+    beta = lambda x, y: math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y)
+    pmf = np.array([math.comb(n, k) * math.exp(beta(k + a, n - k + b) - beta(a, b)) for k in range(n + 1)])
     assert math.isclose(pmf.sum(), 1, rel_tol=1e-9)
     for k in (0, 3, 15, 30):
         assert math.isclose(E.mid_p(k, n, a, b), 0.5 * pmf[k] + pmf[k + 1 :].sum(), abs_tol=1e-9)
@@ -172,10 +208,9 @@ def test_numbering_by_ranges_equals_the_window(spark):
     rng = np.random.default_rng(6)
     rows = df(spark, [(0 if i < 150 else int(i % 4), int(v), i) for i, v in enumerate(rng.integers(0, 9, 240))], "k int, v int, i int")
     order = [F.col("v"), F.col("i")]
-    one = {r.i: r.rn for r in O.numbered(rows, ["k"], order).collect()}
-    two = {r.i: r.rn for r in O.numbered_by_range(rows, ["k"], order).collect()}
-    three = {r.i: r.rn for r in O.numbered(rows, ["k"], order, window_rows=10).collect()}
-    assert one == two == three
+    one = {r.i: r.rn for r in rows.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(*order))).collect()}
+    two = {r.i: r.rn for r in O.numbered(rows, ["k"], order).collect()}
+    assert one == two
 
 
 def test_sample_is_exact_and_independent_of_partitions(spark):
