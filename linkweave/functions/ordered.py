@@ -25,7 +25,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "r
     ranged = checkpointed(
         df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id())
     )
-    local = ranged.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)))
+    local = ranged.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)))
     # At most one row per key and range, so this window is as small as the number of ranges per key.
     before = (
         ranged.groupBy(*keys, "_range")
@@ -38,8 +38,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "r
     return (
         local.alias("l")
         .join(before.alias("r"), _on([*keys, "_range"], "l", "r"))
-        .select("l.*", (F.col("l._rn") + F.coalesce("r._before", F.lit(0))).cast("int").alias(name))
-        .drop("_range", "_rn")
+        .select("l.*", (F.col("l._local") + F.coalesce("r._before", F.lit(0))).cast("int").alias(name))
+        .drop("_range", "_local")
     )
 
 
