@@ -126,7 +126,7 @@ def _with_strata(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFram
 def _sized(source_col: str, id_col: str, text_col: str, base_col: str | None) -> list[Column]:
     source, text = F.col(source_col).cast("string"), F.col(text_col).cast("string")
     base = F.col(base_col).cast("double") if base_col else F.lit(1.0)
-    key = hash60(F.col(id_col), source, F.xxhash64(text))
+    key = hash60(F.col(id_col), source, F.md5(text))
     return [source.alias("source"), n_words(text).alias("size"), key.alias("key"), base.alias("base")]
 
 
@@ -166,3 +166,42 @@ def query(docs: DataFrame) -> DataFrame:
     mix = balanced(docs)
     taken = (F.col("_mix.copies") * F.col("_mix.size")).alias("taken")
     return mix.select("_doc.doc_id", "_mix.size", "_mix.source_size", "_mix.target", taken, "_mix.copies")
+
+
+def _sql(rounds: int = 4) -> str:
+    """The plan in SQL, for base rates of 1: exact rates instead of Newton's, the same order and cutoffs."""
+    ctes = [
+        r"""sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+          ('0x' || substr(md5(concat_ws('|', coalesce('=' || doc_id::VARCHAR, '-'), coalesce('=' || source, '-'), coalesce('=' || md5(text), '-'))), 1, 15))::BIGINT AS key FROM documents)""",
+        "has AS (SELECT source, sum(size)::DOUBLE AS has, 1.0::DOUBLE + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS w FROM sized GROUP BY source)",
+        """filling AS (SELECT *, sum(has) OVER () - coalesce(sum(3 * has) OVER p, 0) AS rest_words, sum(w) OVER () - coalesce(sum(w) OVER p, 0) AS rest_w
+          FROM has WINDOW p AS (ORDER BY 3 * has / w, w, has ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+        "level AS (SELECT rest_words / rest_w AS per FROM filling WHERE rest_words * w <= 3 * has * rest_w ORDER BY 3 * has / w, w, has LIMIT 1)",
+        "goals AS (SELECT source, has, CASE WHEN rest_words * w > 3 * has * rest_w THEN 3 * has ELSE per * w END AS target FROM filling LEFT JOIN level ON true)",
+        """rated AS (SELECT s.*, g.has::BIGINT AS source_size, target, least(floor(rate + 1e-9), 3)::BIGINT AS down, length(bin(size)) AS class,
+          CASE WHEN rate - least(floor(rate + 1e-9), 3) > 1e-9 THEN rate - least(floor(rate + 1e-9), 3) ELSE 0 END AS rest
+          FROM (SELECT *, CASE WHEN has = 0 THEN 0 ELSE target / has END AS rate FROM goals) g JOIN sized s ON s.source IS NOT DISTINCT FROM g.source)""",
+        "summed AS (SELECT *, sum(size) OVER (PARTITION BY source, class ORDER BY key) - size / 2.0::DOUBLE AS middle FROM rated)",
+        """s0 AS (SELECT source, class, sum(size * rest)::DOUBLE AS wanted, sum(CASE WHEN rest > 0 THEN size ELSE 0 END)::DOUBLE AS room, sum(size * rest)::DOUBLE AS goal
+          FROM summed GROUP BY source, class)""",
+    ]
+    for i in range(rounds):
+        ctes += [
+            f"""g{i} AS (SELECT s.source, s.class, any_value(wanted) AS wanted, any_value(room) AS room, any_value(goal) AS goal, sum(CASE WHEN rest > 0 AND middle <= goal THEN size ELSE 0 END)::DOUBLE AS got
+              FROM summed d JOIN s{i} s ON d.source IS NOT DISTINCT FROM s.source AND d.class = s.class GROUP BY s.source, s.class)""",
+            f"m{i} AS (SELECT *, got + sum(wanted - got) OVER (PARTITION BY source) AS whole FROM g{i})",
+            f"""s{i + 1} AS (SELECT source, class, wanted, room, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY round(abs(whole - greatest(0, least(room, whole))), 6), class) = 1
+              THEN greatest(0, least(room, whole)) ELSE goal END AS goal FROM m{i})""",
+        ]
+    ctes.append(
+        f"""cut AS (SELECT s.source, s.class, max(CASE WHEN rest > 0 AND middle <= goal THEN key END) AS cutoff
+          FROM summed d JOIN s{rounds} s ON d.source IS NOT DISTINCT FROM s.source AND d.class = s.class GROUP BY s.source, s.class)"""
+    )
+    return (
+        "WITH " + ",\n".join(ctes) + """
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM (
+  SELECT d.*, down + CASE WHEN key <= cutoff THEN 1 ELSE 0 END AS copies FROM rated d JOIN cut c ON d.source IS NOT DISTINCT FROM c.source AND d.class = c.class)"""
+    )
+
+
+SQL = _sql()

@@ -70,4 +70,4 @@ QUERIES: dict[str, Query] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {"op2_bit_sliced_top_k": topk.SQL}
+ORACLES: dict[str, str] = {"op2_bit_sliced_top_k": topk.SQL, "op3_entropy_balanced_mix": mixing.SQL}
