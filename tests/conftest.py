@@ -10,7 +10,7 @@ from linkweave.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    s = local_session(8, "tests", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
+    s = local_session(8, "tests", spark__sql__shuffle__partitions="4", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
