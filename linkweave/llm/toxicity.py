@@ -180,8 +180,11 @@ def _most_specific(entries: dict[str, tuple[int, float]]) -> dict[str, float]:
     return {e: weight for e, (_, weight) in entries.items() if e not in needless}
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "toxic", per_class: int = 6000, least_docs: int = 5, least_ratio: float = 8.0) -> Lexicon:
-    """Entries held by at least `least_docs` toxic documents and `least_ratio` times the share of others."""
+def fit_lexicon(
+    docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "toxic", per_class: int = 6000, least_docs: int = 5, least_ratio: float = 8.0, least_evidence: float = 20.0
+) -> Lexicon:
+    """Entries held by at least `least_docs` toxic documents and `least_ratio` times the share of others, by more than chance:
+    twice the log-likelihood ratio against equal shares is at least `least_evidence`."""
     found = sample(docs, labels, label_col, training, per_class)
     learn, check = found.rows.filter("part < 80"), found.rows.filter("part >= 80")
     n = {r["label"]: r["count"] for r in learn.groupBy("label").count().collect()}
@@ -189,7 +192,11 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, training: Column, label_col:
     if not ones:
         return Lexicon(curve=(0.0, 0.0, found.prior_shift((1, 1))))
     weight = F.log((F.col("ones") + 0.5) / (ones + 1)) - F.log((F.col("zeros") + 0.5) / (zeros + 1))
+    expected = (F.col("ones") + F.col("zeros")) * F.lit(ones / (ones + zeros))
+    others = (F.col("ones") + F.col("zeros")) * F.lit(zeros / (ones + zeros))
+    rest = F.when(F.col("zeros") > 0, F.col("zeros") * F.log(F.col("zeros") / others)).otherwise(0.0)
     entries = _counted(learn).filter(F.col("ones") >= least_docs).withColumn("weight", weight).filter(F.col("weight") >= float(np.log(least_ratio)))
+    entries = entries.filter(2 * (F.col("ones") * F.log(F.col("ones") / expected) + rest) >= least_evidence)
     rows = entries.orderBy(F.desc(F.col("ones") * F.col("weight")), "entry").limit(MOST_ENTRIES).collect()
     lexicon = Lexicon(_most_specific({r["entry"]: (r["ones"], round(r["weight"], 4)) for r in rows}))
     if not rows:
