@@ -189,11 +189,13 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def train_dictionary(pages: DataFrame, payload_col: str = "html", samples: int = 400, sample_bytes: int = 8192, size: int = 32_768) -> bytes:
-    """A dictionary from the beginnings of up to `samples` payloads, chosen by hash. Any dictionary is right; a better one
-    packs better. Where there is too little to train on, the samples themselves serve."""
+    """A dictionary from the beginnings of about `samples` different payloads, chosen by hash. Any dictionary is right; a
+    better one packs better. Where there is too little to train on, the samples themselves serve."""
     text = F.col(payload_col).cast("string")
-    some = pages.filter(F.length(text) > 0).select(F.substring(text, 1, sample_bytes).alias("t"), F.xxhash64(text).alias("h"))
-    found = [r["t"].encode("utf-8") for r in some.orderBy("h", "t").limit(samples).collect()]
+    some = pages.filter(F.length(text) > 0).select(F.substring(text, 1, sample_bytes).alias("t"), F.pmod(F.xxhash64(text), F.lit(1 << 30)).alias("h"))
+    share = samples / max(some.count(), 1)
+    # equal payloads have equal hashes: they are merged before anything is gathered
+    found = sorted(r["t"].encode("utf-8") for r in some.filter(F.col("h") < int(share * (1 << 30)) + 1).groupBy("h").agg(F.min("t").alias("t")).limit(2 * samples).collect())
     try:
         return zstandard.train_dictionary(size, found).as_bytes()
     except zstandard.ZstdError:
