@@ -7,8 +7,9 @@ own m: the expected number of partners of its prefix is read off the sketch, and
 as many more common shingles required, while that lowers the expected cost. A pair asks for the smaller m of the two.
 
 Large groups of near copies are not expanded into all pairs. Documents are first reduced to distinct sets. In a round
-of hubs the sets under one prefix shingle are compared to one of them; verified links merge them into components. Rounds
-go on with other hubs while many pairs lie across components and their number falls by half. Then all pairs across
+of hubs each set is compared to one other: the sets under a prefix shingle have one of them as their hub, and a set takes
+the hub that it shares most shingles with. Verified links merge sets into components. Rounds
+go on with other hubs while many pairs lie across components and their number falls by a fifth or more. Then all pairs across
 components are compared, so no link between two components is lost.
 
 Defined cases: a null text, an empty text or one of white space has no shingles and is linked with nothing; a
@@ -25,13 +26,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkweave.llm.words import WordHashes, shingles, texts_of
 from linkweave.session import discard, staged
 
-SKETCH_BITS = 22
+SKETCH_BITS = 23
 CHUNK_BITS = 14  # cells of the sketch that travel as one row
 BROADCAST_IDS = 500_000
 MOST_PAIRS = 8  # for each posting: what is compared in the end without another round of hubs
@@ -107,9 +108,9 @@ def pick_matches(common: np.ndarray, n: int, need: int) -> int:
 
 
 def _postings(docs: DataFrame, text_col: str, size: int, sketch: np.ndarray) -> DataFrame:
-    """(token, node, at) for each shingle of each distinct set's prefix that another set may share.
+    """(token, node, at, held) for each shingle of each distinct set's prefix that another set may share.
 
-    `at` packs the set's size, the shingle's position and the number of matches to ask for."""
+    `at` packs the set's size, the shingle's position and the number of matches to ask for; `held` counts the set's rows."""
     names = ["token", "node", "at"]
     usual = float(sketch.mean())
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
@@ -145,7 +146,8 @@ def _postings(docs: DataFrame, text_col: str, size: int, sketch: np.ndarray) ->
     narrow = docs.select(F.col(text_col).cast("string").alias("text"))
     raw = staged(narrow.mapInArrow(run, "token long, node long, at long"))
     several = raw.groupBy("token").count().filter("count > 1").select("token")
-    out = staged(raw.join(several, "token", "left_semi").distinct())  # distinct: copies in other tasks repeat a set
+    shared_ones = raw.join(several, "token", "left_semi").distinct()  # distinct: copies in other tasks repeat a set
+    out = staged(shared_ones.withColumn("held", F.count("*").over(Window.partitionBy("node"))))  # as many as a set's prefix has
     discard(raw)
     return out
 
@@ -170,10 +172,11 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, sets:
     return staged(texts.mapInArrow(run, "node long, shingles array<long>"))
 
 
-def _matching(pairs: DataFrame) -> DataFrame:
+def _matching(pairs: DataFrame, every_shingle: bool) -> DataFrame:
     """Pairs that share as many prefix shingles as they have to.
 
-    `pairs` has node and at of either set (suffixes 1 and 2), a row per common shingle."""
+    `pairs` has node and at of either set (suffixes 1 and 2), a row per common prefix shingle: for all that a pair has,
+    or only for those whose hub is one of the pair."""
     parts = pairs.selectExpr(
         "node1", "node2", "at1 >> 34 AS n1", "at2 >> 34 AS n2", "at1 >> 4 & 1073741823 AS pos1", "at2 >> 4 & 1073741823 AS pos2", "least(at1 & 15, at2 & 15) AS m"
     ).filter("5 * least(n1, n2) >= 4 * greatest(n1, n2)")
@@ -182,16 +185,29 @@ def _matching(pairs: DataFrame) -> DataFrame:
     longer = "(n1 > n2 OR (n1 = n2 AND node1 > node2))"
     inside = "pos{0} < n{0} - " + "(CASE WHEN {1} THEN (4 * n{0} + 4) div 5 ELSE (8 * n{0} + 8) div 9 END) + m"
     kept = room.filter(inside.format(1, longer)).filter(inside.format(2, f"NOT {longer}"))
-    ends = kept.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"), "m")
-    return ends.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("m").alias("m")).filter("shared >= m").select("a", "b")
+    first = [F.first(c).alias(c) for c in ("m", "n1", "n2")]
+    ends = [f(f"pos{i}").alias(f"{n}{i}") for n, f in (("low", F.min), ("high", F.max)) for i in (1, 2)]
+    counted = kept.groupBy("node1", "node2").agg(F.count("*").alias("shared"), *first, *ends).filter("shared >= m")
+    if every_shingle:
+        # nothing is shared before the first common shingle, and up to the last one what was counted
+        counted = counted.filter("9 * least(n1 - low1, n2 - low2) >= 4 * (n1 + n2)")
+        counted = counted.filter("9 * (shared + least(n1 - high1, n2 - high2) - 1) >= 4 * (n1 + n2)")
+    return counted.select("node1", "node2", "shared")
+
+
+def _best_hub(matching: DataFrame) -> DataFrame:
+    """Each set with one hub: the one it shares most with, of equal ones the smallest."""
+    best = F.max_by("node1", F.struct("shared", F.bitwise_not("node1"))).alias("node1")
+    return matching.groupBy("node2").agg(best).select("node1", "node2")
 
 
 def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     """The candidate pairs whose sets are similar enough: 100 * intersection >= 80 * union."""
-    left = contents.select(F.col("node").alias("a"), F.col("shingles").alias("_x"))
-    right = contents.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.filter(9 * F.size(F.array_intersect("_x", "_y")) >= 4 * (F.size("_x") + F.size("_y"))).select("a", "b")
+    left = contents.select(F.col("node").alias("node1"), F.col("shingles").alias("_x"))
+    right = contents.select(F.col("node").alias("node2"), F.col("shingles").alias("_y"))
+    both = pairs.join(right, "node2").join(left, "node1")
+    similar = both.filter(9 * F.size(F.array_intersect("_x", "_y")) >= 4 * (F.size("_x") + F.size("_y")))
+    return similar.select(F.col("node1").alias("a"), F.col("node2").alias("b"))
 
 
 def _settled(pairs: DataFrame) -> bool:
@@ -224,8 +240,8 @@ def _sides(frame: DataFrame, side: int) -> DataFrame:
 
 def _hub_pairs(spread: DataFrame, turn: int) -> DataFrame:
     """Each set under a shingle beside the shingle's hub: one set per shingle, the same for most shingles of a group."""
-    # nodes are hashes, so the smallest one is as good as any, and what it links is a star already
-    rank = F.struct(F.xxhash64(F.col("node"), F.lit(turn)), F.col("node")) if turn else F.col("node")
+    # an edit makes shingles that no other set has: first the least edited set, which most others are close to, then any
+    rank = F.struct(F.xxhash64("node", F.lit(turn)) if turn else -F.col("held"), F.col("node"))
     hubs = spread.groupBy("token").agg(F.min_by(F.struct("node", "comp", "at"), rank).alias("_hub")).select("token", "_hub.*")
     return _sides(hubs, 1).join(_sides(spread, 2), "token").filter("comp1 <> comp2")
 
@@ -253,8 +269,8 @@ def jaccard_components(
     postings = _postings(docs, text_col, size, _sketch(sets))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        candidates = staged(_matching(pairs))
-        nodes = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        candidates = staged(pairs)
+        nodes = candidates.select(F.col("node1").alias("node")).distinct().union(candidates.select("node2").distinct()).distinct()
         contents = _shingle_sets(docs, id_col, text_col, size, sets, nodes)
         found = staged(_verified(candidates, contents))
         discard(contents)
@@ -262,17 +278,17 @@ def jaccard_components(
             on_links(found)
         return found
 
-    links = linked(_hub_pairs(postings.withColumn("comp", F.col("node")), 0))
+    links = linked(_best_hub(_matching(_hub_pairs(postings.withColumn("comp", F.col("node")), 0), False)))
     turn, before = 1, float("inf")
     while True:
         comps = components(links)
         known = staged(postings.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
         left, across = _work(known)
-        if across <= MOST_PAIRS * left or across > before / 2:
+        if across <= MOST_PAIRS * left or across > 0.8 * before:
             break
-        links = links.unionAll(linked(_hub_pairs(known, turn)))
+        links = links.unionAll(linked(_best_hub(_matching(_hub_pairs(known, turn), False))))
         turn, before = turn + 1, across
-    rest = linked(_cross_pairs(known))
+    rest = linked(_matching(_cross_pairs(known), True).drop("shared"))
     if not rest.isEmpty():
         comps = components(links.unionAll(rest))
     rows = sets.filter("chunk is null")
