@@ -6,8 +6,11 @@ twelve pitch classes a frame, each frame scaled to length one. Rectangle filters
 such that neighbouring ranges differ in one bit. Sixteen filters give a 32-bit integer per frame position.
 
 Alignment: recordings with the same integers are one class. Two classes that share an integer vote for the offset
-between its positions; the offset with the most votes aligns them (of equal ones the nearest to zero, then the smaller), and the
-share of differing bits over the overlap decides. Queries are a stated set of recordings, compared with all others.
+between its positions; a run of one constant integer, as in silence, has one vote for each offset at which its beginnings or
+its ends meet. Every offset with enough votes (or with those of all runs, where a recording has fewer) is examined: it aligns
+the classes if stretches of a least length have a share of differing bits within the bound, whatever lies around them. A pair
+has one row for each such offset, so passages at several offsets are all found. Queries are a stated set of recordings,
+compared with all others.
 
 Defined cases: a null or empty recording, one that is no WAV file or is shorter than a filter has an empty fingerprint and
 aligns with nothing; silence has frames of zeros and a fingerprint of its own kind; repeated rows share a class, and rows
@@ -126,31 +129,70 @@ def fingerprints(recordings: DataFrame, id_col: str, media_col: str) -> DataFram
     return narrow.mapInArrow(run, "id long, codes array<long>")
 
 
+def stretches(differing: np.ndarray, least: int, most_errors: float) -> list[tuple[int, int]]:
+    """Disjoint stretches [begin, end) of at least `least` positions whose share of differing bits is at most `most_errors`:
+    the one that stays furthest below the bound in sum, then those before and behind it."""
+    found, open_ = [], [(0, len(differing))]
+    while open_:
+        low, high = open_.pop()
+        if high - low < least:
+            continue
+        sums = np.concatenate([[0.0], np.cumsum(32 * most_errors - differing[low:high])])
+        lowest = np.minimum.accumulate(sums[: len(sums) - least])
+        gain = sums[least:] - lowest
+        end = int(gain.argmax())
+        if gain[end] < -1e-6:
+            continue
+        begin = int(sums[: end + 1].argmin())
+        found.append((low + begin, low + end + least))
+        open_ += [(low, low + begin), (low + end + least, high)]
+    return sorted(found)
+
+
 def align(prints: DataFrame, is_query: Column, least_votes: int = 2, least_overlap: int = 16, most_errors: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """Alignments between classes of recordings, and the members of the classes.
 
-    (query_class, class, offset, votes, overlap, bit_error): position p of the query lies at p + offset of the other.
+    (query_class, class, offset, votes, overlap, bit_error): position p of the query lies at p + offset of the other; `overlap`
+    counts the positions of the matching stretches, each of at least `least_overlap`, and `bit_error` is the share over them.
     (id, class, is_query): a class is named after its smallest id. A class is aligned with itself if it has other members."""
     known = staged(prints.filter(F.col("id").isNotNull() & (F.size("codes") > 0)).withColumn("key", F.xxhash64("codes")))
     classes = known.groupBy("key", F.size("codes").alias("n")).agg(F.min("id").alias("class"), F.max(is_query.cast("int")).alias("asks"))
     members = staged(known.withColumn("n", F.size("codes")).join(classes.select("key", "n", "class", "asks"), ["key", "n"]).select("id", "class", "asks", is_query.alias("is_query"), "codes"))
     heads = staged(members.filter("id = class").dropDuplicates(["class"]).select("class", "asks", "codes"))
-    spots = heads.select("class", "asks", F.posexplode("codes").alias("pos", "code"))
-    ours = spots.filter("asks = 1").select(F.col("class").alias("query_class"), F.col("pos").alias("qpos"), "code")
-    votes = ours.join(spots.select("class", "pos", "code"), "code").filter("query_class <> class")
-    votes = votes.groupBy("query_class", "class", (F.col("pos") - F.col("qpos")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= least_votes)
-    best = votes.groupBy("query_class", "class").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("low"))).alias("b"))
-    best = best.select("query_class", "class", (-F.col("b.low")).cast("int").alias("offset"), "b.votes")
-    both = best.join(heads.select(F.col("class").alias("query_class"), F.col("codes").alias("_q")), "query_class").join(heads.select("class", F.col("codes").alias("_c")), "class")
-    start = F.greatest(F.lit(0), -F.col("offset"))
-    overlap = F.least(F.size("_q") - start, F.size("_c") - start - F.col("offset"))
-    errors = F.aggregate(
-        F.zip_with(F.slice("_q", start + 1, F.col("overlap")), F.slice("_c", start + F.col("offset") + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long")),
-        F.lit(0).cast("long"),
-        lambda s, x: s + x,
-    )
-    aligned = both.withColumn("overlap", overlap).filter(F.col("overlap") >= least_overlap).withColumn("bit_error", errors / (32 * F.col("overlap")))
-    return aligned.filter(F.col("bit_error") <= most_errors).select("query_class", "class", "offset", "votes", "overlap", "bit_error"), members.select("id", "class", "is_query")
+    # runs of one code: the k-th begins at begins[k] and ends before the next one
+    places = F.sequence(F.lit(0), F.size("codes") - 1)
+    begins = F.filter(places, lambda i: (i == 0) | (F.get("codes", i) != F.get("codes", i - 1)))
+    runs = heads.withColumn("begins", begins).withColumn("runs", F.size("begins"))
+    runs = runs.select("class", "asks", "codes", "runs", F.arrays_zip("begins", F.concat(F.slice("begins", F.lit(2), F.col("runs")), F.array(F.size("codes"))).alias("ends")).alias("r"))
+    runs = runs.select("class", "asks", "runs", F.explode(F.transform("r", lambda r: F.struct(r["begins"].alias("begin"), r["ends"].alias("end"), F.get("codes", r["begins"]).alias("code")))).alias("r")).select("class", "asks", "runs", "r.*")
+    ours = runs.filter("asks = 1").select(F.col("class").alias("query_class"), F.col("begin").alias("qbegin"), F.col("end").alias("qend"), F.col("runs").alias("qruns"), "code")
+    votes = ours.join(runs.select("class", "begin", "end", "runs", "code"), "code").filter("query_class <> class")
+    votes = votes.select("query_class", "class", F.least("runs", "qruns").alias("most"), F.explode(F.array_distinct(F.array(F.col("begin") - F.col("qbegin"), F.col("end") - F.col("qend")))).alias("offset"))
+    votes = votes.groupBy("query_class", "class", "offset").agg(F.count("*").alias("votes"), F.max("most").alias("most")).filter(F.col("votes") >= F.least(F.lit(least_votes), F.col("most")))
+    pairs = votes.groupBy("query_class", "class").agg(F.collect_list(F.struct("offset", "votes")).alias("offsets"))
+    both = pairs.join(heads.select(F.col("class").alias("query_class"), F.col("codes").alias("_q")), "query_class").join(heads.select("class", F.col("codes").alias("_c")), "class")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["query_class", "class", "offset", "votes", "overlap", "bit_error"]
+        for batch in batches:
+            out = []
+            for at in range(batch.num_rows):
+                query_class, other, offsets = (batch.column(c)[at].as_py() for c in ("query_class", "class", "offsets"))
+                q, c = (batch.column(n)[at].values.to_numpy(zero_copy_only=False) for n in ("_q", "_c"))
+                for o in offsets:
+                    start, offset = max(0, -o["offset"]), o["offset"]
+                    size = min(len(q) - start, len(c) - start - offset)
+                    differing = np.bitwise_count(q[start : start + size] ^ c[start + offset : start + offset + size]).astype(np.int64)
+                    parts = stretches(differing, least_overlap, most_errors)
+                    if parts:
+                        overlap = sum(e - b for b, e in parts)
+                        out.append((query_class, other, offset, o["votes"], overlap, float(sum(differing[b:e].sum() for b, e in parts)) / (32 * overlap)))
+            columns = list(zip(*out)) if out else [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(columns, kinds)], names=names)
+
+    aligned = both.select("query_class", "class", "offsets", "_q", "_c").mapInArrow(verify, "query_class long, class long, offset int, votes long, overlap int, bit_error double")
+    return aligned, members.select("id", "class", "is_query")
 
 
 def tones(vectors: DataFrame, id_col: str, vec_col: str, rate: int = 4410, seconds: float = 0.125) -> DataFrame:
@@ -179,6 +221,8 @@ def query(vectors: DataFrame, every: int = 50) -> DataFrame:
     classes they align with, the best of them with offset and bit error."""
     prints = staged(fingerprints(tones(vectors, "vec_id", "embedding"), "id", "media"))
     found, members = align(prints, F.col("id") % every == 0)
+    of_pair = Window.partitionBy("query_class", "class").orderBy("bit_error", F.desc("overlap"), F.abs("offset"), "offset")
+    found = found.withColumn("nth", F.row_number().over(of_pair)).filter("nth = 1").drop("nth")
     order = Window.partitionBy("query_class").orderBy("bit_error", F.desc("overlap"), "class")
     ranked = found.withColumn("rank", F.row_number().over(order)).withColumn("aligned", F.count("*").over(Window.partitionBy("query_class")))
     first = ranked.filter("rank = 1").select(F.col("query_class").alias("class"), "aligned", F.col("class").alias("best_class"), "offset", "votes", "overlap", "bit_error")

@@ -72,3 +72,29 @@ def test_empty_table_and_missing_components(spark):
     odd = spark.createDataFrame([(0, None), (50, [0.1, None, float("nan")] * 20), (None, [0.5] * 60), (50, [])], "vec_id long, embedding array<float>")
     got = media.query(odd).collect()
     assert sorted((r["vec_id"] is None, r["n_codes"] > 0) for r in got) == [(False, False), (False, False), (False, True), (True, True)]
+
+
+def test_passages_between_different_parts_align(spark):
+    shared, second, silence = tune(12, 60), tune(21, 50), np.zeros(int(RATE * 0.125) * 80)
+    rows = [
+        (50, [tune(11, 80), shared, tune(13, 80), silence, second]),
+        (1, [tune(14, 120), shared, tune(15, 40)]),  # less than half of the overlap is shared
+        (2, [silence, tune(16, 30), shared, tune(17, 90)]),  # silence has more positions than the passage
+        (3, [second, tune(18, 40), shared]),  # two passages at two offsets
+        (4, [tune(19, 200)]),
+    ]
+    table = spark.createDataFrame([(i, media.wav(np.concatenate(x), RATE)) for i, x in rows], "id long, media binary")
+    found, _ = media.align(media.fingerprints(table, "id", "media"), F.col("id") == 50)
+    got = {(r["class"], r["offset"]): r for r in found.collect()}
+    assert {(1, 40), (2, 30), (3, 10), (3, -300)} <= set(got) and 4 not in {c for c, _ in got}
+    assert all(got[at]["overlap"] >= 33 and got[at]["bit_error"] <= 0.25 for at in [(1, 40), (2, 30), (3, 10), (3, -300)])
+
+
+def test_stretches_equal_plain_search():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        x = rng.integers(0, 33, rng.integers(0, 40)) // rng.integers(1, 4)
+        ok = any(x[i:j].mean() <= 8 for i in range(len(x)) for j in range(i + 5, len(x) + 1))
+        got = media.stretches(x, 5, 0.25)
+        assert bool(got) == ok
+        assert all(e - b >= 5 and x[b:e].mean() <= 8 for b, e in got) and all(a[1] <= b[0] for a, b in zip(got, got[1:]))
