@@ -239,7 +239,7 @@ def _(spark, sf):
 
 @query("r16_seed_module")
 def _(spark, sf):
-    net = X.net(spark, sf).filter("ppv >= 0.97").select("a", "b")
+    net = X.net(spark, sf).select("a", "b")
     return graph.seed_module(net, X.seeds(spark, sf), 2)
 
 

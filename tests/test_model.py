@@ -16,6 +16,7 @@ from linkweave.operators import integration as I
 from linkweave.operators import pairs as J
 from linkweave.operators import queries as R
 from linkweave.operators import training as M
+from linkweave.plans import catalog, fixtures
 from linkweave.sinks import writers as K
 from linkweave.sources import readers as S
 
@@ -182,3 +183,9 @@ def test_results_do_not_depend_on_partitions(spark):
     base = _llr(spark)
     seen = {str(sorted(map(str, I.compute_fbs(I.integrate(I.merge_types(base.repartition(n)))).collect()))) for n in (1, 7, 64)}
     assert len(seen) == 1
+
+
+def test_seed_modules_come_from_the_whole_network(spark):
+    sf = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["r16_seed_module"](spark, sf).join(fixtures.net(spark, sf).select("a", "b", "ppv"), ["a", "b"])
+    assert got.filter("ppv < 0.97").count() > 0
