@@ -10,7 +10,8 @@ Large groups of near copies are not expanded into all pairs. Documents are first
 of hubs each set is compared to one other: the sets under a prefix shingle have one of them as their hub, and a set takes
 the hub that it shares most shingles with. Verified links merge sets into components. Rounds
 go on with other hubs while many pairs lie across components and their number falls by a fifth or more. Then all pairs across
-components are compared, so no link between two components is lost.
+components are compared, so no link between two components is lost. The result is the components: links within a component are
+not all computed nor listed, and `on_links` gets a connecting part of them.
 
 Defined cases: a null text, an empty text or one of white space has no shingles and is linked with nothing; a
 text shorter than a shingle is one shingle; repeated rows share their component; a null id takes part in links but is
