@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import bpe, licenses, media, mixing, ngram_join, quality, sharding, topk, toxicity, warc
+from linkweave.llm import bpe, codes, licenses, media, metric_join, mixing, ngram_join, prefix_trie, quality, sharding, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_grid_cell_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.query(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.query(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.query(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bit_sliced_top_k": op2_bit_sliced_top_k,
@@ -68,6 +80,15 @@ QUERIES: dict[str, Query] = {
     "op8_chroma_fingerprints": op8_chroma_fingerprints,
     "op9_quality_nbsvm": op9_quality_nbsvm,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_grid_cell_codes": op11_grid_cell_codes,
+    "op12_metric_range_join": op12_metric_range_join,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op2_bit_sliced_top_k": topk.SQL, "op3_entropy_balanced_mix": mixing.SQL}
+ORACLES: dict[str, str] = {
+    "op2_bit_sliced_top_k": topk.SQL,
+    "op3_entropy_balanced_mix": mixing.SQL,
+    "op11_grid_cell_codes": codes.SQL,
+    "op12_metric_range_join": metric_join.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
+}
