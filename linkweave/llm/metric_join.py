@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.llm.ngram_join import components
-from linkweave.session import small_side, staged
+from linkweave.session import discard, small_side, staged
 
 SAMPLE, SAMPLE_NUMBERS = 4096, 1 << 20  # vectors, and their components, that pivots are taken from and boundaries measured on
 MOST_PIVOTS = 256
 CELL_ROWS = 512
 COPIES = 3.0
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 2048
 SLACK = 1e-9  # wider than all rounding of distances and cosines of unit vectors
 _FOUND = pa.schema([("node", pa.int64()), ("label", pa.string()), ("h", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
 
@@ -100,7 +100,7 @@ def _arrays(column: pa.Array) -> np.ndarray:
 
 
 def dealt(reps: DataFrame, least: float, cell_rows: int = CELL_ROWS, copies: float = COPIES) -> DataFrame:
-    """(dims, label, cell, home, node, h, many, x): representatives as unit vectors, with boundary copies."""
+    """(dims, label, cell, home, node, h, many, x): representatives, with boundary copies; x has the bytes of the components."""
     radius = float(np.sqrt(2 - 2 * least))
     sizes = reps.groupBy(F.size("v").alias("dims"), "label").agg(F.count("*").alias("n")).groupBy("dims").agg(F.max("n").alias("n"))
     count, longest = reps.agg(F.count("*"), F.max(F.size("v"))).first()
@@ -114,33 +114,40 @@ def dealt(reps: DataFrame, least: float, cell_rows: int = CELL_ROWS, copies: flo
     # lengths that no sampled vector has are one cell a label
     cells = {d: Cells(chosen_pivots(unit(np.array(v, np.float64)), max(1, largest[d] // cell_rows), radius, copies), radius) for d, v in by_length.items()}
 
+    single = reps.schema["v"].dataType.elementType.simpleString() == "float"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             lengths = np.diff(whole.column("v").offsets.to_numpy()) if whole.num_rows else np.empty(0, np.int64)
             for dims in np.unique(lengths):
                 batch = whole.filter(pa.array(lengths == dims))
-                x = unit(_arrays(batch.column("v")))
+                v = _arrays(batch.column("v"))
+                x = unit(v)
                 row, cell, home = cells[int(dims)](x) if int(dims) in cells else (np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool))
                 at = pa.array(row)
                 out = [pa.array(np.full(len(row), dims, np.int32)), batch.column("label").take(at), pa.array(cell.astype(np.int32)), pa.array(home)]
-                out += [batch.column(c).take(at) for c in ("node", "h", "many")] + [pa.array([y.tobytes() for y in x], pa.binary()).take(at)]
+                out += [batch.column(c).take(at) for c in ("node", "h", "many")] + [pa.array([y.tobytes() for y in (v.astype(np.float32) if single else v)], pa.binary()).take(at)]
                 yield pa.record_batch(out, names=["dims", "label", "cell", "home", "node", "h", "many", "x"])
 
     return reps.select("label", "node", "h", "many", "v").mapInArrow(run, "dims int, label string, cell int, home boolean, node long, h long, many long, x binary")
 
 
 def spanning(near: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect whatever the symmetric matrix of links connects: at most one less than its rows."""
-    left, out = np.ones(len(near), bool), []
-    for start in range(len(near)):
-        if left[start]:
-            left[start], front = False, [start]
-            while front:
-                at = front.pop()
-                new = np.flatnonzero(near[at] & left)
-                left[new] = False
-                out += [(at, int(j)) for j in new]
-                front += new.tolist()
+    """Links (row, column) that connect whatever the links of the matrix connect: fewer than its rows and columns."""
+    rows, columns, out = near.any(axis=1), np.ones(near.shape[1], bool), []
+    while rows.any():
+        front = [int(rows.argmax())]
+        rows[front[0]] = False
+        while front:
+            at = front.pop()
+            new = np.flatnonzero(near[at] & columns)
+            columns[new] = False
+            out += [(at, int(j)) for j in new]
+            for j in new:
+                met = np.flatnonzero(near[:, j] & rows)
+                rows[met] = False
+                out += [(int(i), int(j)) for i in met]
+                front += met.tolist()
     return out
 
 
@@ -150,20 +157,16 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
     return dot / (sum(x * x for x in a.tolist()) ** 0.5 * sum(x * x for x in b.tolist()) ** 0.5)
 
 
-def linked(x: np.ndarray, home: np.ndarray, side: np.ndarray | None, least: float) -> np.ndarray:
-    """The links of a block, or those between the two sides: cosine reached, one of the two at home."""
-    score = x @ x.T
+def linked(x: np.ndarray, y: np.ndarray, x_home: np.ndarray, y_home: np.ndarray, least: float) -> np.ndarray:
+    """The links between two blocks: cosine reached, one of the two at home."""
+    score = x @ y.T
     near = score >= least
     for i, j in zip(*np.nonzero(np.abs(score - least) <= 1e-12), strict=True):
-        near[i, j] = cosine(x[i], x[j]) >= least
-    near &= home[:, None] | home[None, :]
-    if side is not None:
-        near &= side[:, None] != side[None, :]
-    np.fill_diagonal(near, False)
-    return near
+        near[i, j] = cosine(x[i], y[j]) >= least
+    return near & (x_home[:, None] | y_home[None, :])
 
 
-def _met(rows: DataFrame, least: float, block_rows: int) -> DataFrame:
+def _met(rows: DataFrame, least: float, block_rows: int, single: bool) -> DataFrame:
     """(node, label, h, links, to): numbers of partners, each copy counted, and spanning links (with `to`)."""
     keys = ["dims", "label", "cell"]
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
@@ -172,18 +175,24 @@ def _met(rows: DataFrame, least: float, block_rows: int) -> DataFrame:
     met = cut.withColumn("_k", other).withColumn("a", F.least("block", "_k")).withColumn("b", F.greatest("block", "_k"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        a, b = key[3].as_py(), key[4].as_py()
-        x = np.array([np.frombuffer(y.as_py(), np.float64) for y in table.column("x")])
-        home, many = table.column("home").to_numpy(), table.column("many").to_numpy()
-        side = table.column("block").to_numpy() == b if a != b else None
-        near = linked(x, home, side, least)
-        node, label, h = (table.column(c).combine_chunks() for c in ("node", "label", "h"))
-        links = near @ many
+        kind = np.float32 if single else np.float64
+        x = unit(np.array([np.frombuffer(y.as_py(), kind) for y in table.column("x")]).astype(np.float64))
+        home, many, block = (table.column(c).to_numpy() for c in ("home", "many", "block"))
+        one, two = (np.flatnonzero(block == k.as_py()) for k in key[3:])
+        near = linked(x[one], x[two], home[one], home[two], least)
+        links = np.zeros(len(x), np.int64)
+        if key[3] == key[4]:
+            np.fill_diagonal(near, True)  # a row meets itself
+            links += near @ many - many
+        else:
+            links[one] += near @ many[two]
+            links[two] += many[one] @ near
+        ends = np.array([(one[i], two[j]) for i, j in spanning(near) if one[i] != two[j]], np.int64).reshape(-1, 2)
         hit = np.flatnonzero(links)
-        one, two = (np.array(s, np.int64) for s in zip(*spanning(near), strict=True)) if len(hit) else (np.empty(0, np.int64), np.empty(0, np.int64))
-        at = pa.array(np.concatenate([hit, one]))
-        partner = pa.concat_arrays([pa.nulls(len(hit), pa.int64()), node.take(pa.array(two))])
-        number = pa.array(np.concatenate([links[hit], np.zeros(len(one), np.int64)]))
+        node, label, h = (table.column(c).combine_chunks() for c in ("node", "label", "h"))
+        at = pa.array(np.concatenate([hit, ends[:, 0]]))
+        partner = pa.concat_arrays([pa.nulls(len(hit), pa.int64()), node.take(pa.array(ends[:, 1]))])
+        number = pa.array(np.concatenate([links[hit], np.zeros(len(ends), np.int64)]))
         return pa.table([node.take(at), label.take(at), h.take(at), number, partner], schema=_FOUND)
 
     return met.groupBy(*keys, "a", "b").applyInArrow(run, "node long, label string, h long, links long, to long")
@@ -195,7 +204,10 @@ def near_copies(
     """(id_col, n_links, component_id, kept) for each vector."""
     rows = staged(distinct_vectors(vectors, id_col, vec_col, label_col))
     reps = staged(rows.filter("label is not null").groupBy("label", "h", "v").agg(F.min("id").alias("node"), F.count("*").alias("many")))
-    found = staged(_met(staged(dealt(reps, least, cell_rows)), least, block_rows))
+    single = reps.schema["v"].dataType.elementType.simpleString() == "float"
+    cells = staged(dealt(reps, least, cell_rows))
+    found = staged(_met(cells, least, block_rows, single))
+    discard(cells)
     links = found.filter("links > 0").groupBy("node", "label", "h").agg(F.sum("links").alias("links"))
     same = rows.filter("label is not null").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
     alike = rows.join(same, "id").join(reps, ["label", "h", "v"]).select(F.col("id").alias("a"), F.col("node").alias("b"))
