@@ -16,6 +16,7 @@ from linkweave.plans import fixtures as X
 from linkweave.plans import q_training as T
 from linkweave.plans.q_pairs import abundance
 from linkweave.plans.registry import query, table, view
+from linkweave.session import checkpointed
 
 # --- names -----------------------------------------------------------------------------------
 
@@ -187,31 +188,30 @@ def _(spark, sf):
 # --- modules ---------------------------------------------------------------------------------
 
 
-def _brand_links(spark, sf):
-    """One graph per part type: links between parts of one brand and type."""
-    f = X.feat(spark, sf).filter("brand_a = brand_b and type_a = type_b")
-    return f.select(F.col("type_a").alias("query_id"), "a", "b")
+def _type_links(spark, sf):
+    """One graph per part type: all links between its parts."""
+    return X.feat(spark, sf).filter("type_a = type_b").select(F.col("type_a").alias("query_id"), "a", "b")
 
 
-view("brand_links", "SELECT type_a AS query_id, a, b FROM feat WHERE brand_a = brand_b AND type_a = type_b", "feat")
-_REACH = """WITH RECURSIVE s AS (SELECT query_id, a AS x, b AS y FROM brand_links UNION ALL SELECT query_id, b, a FROM brand_links),
+view("type_links", "SELECT type_a AS query_id, a, b FROM feat WHERE type_a = type_b", "feat")
+_REACH = """WITH RECURSIVE s AS (SELECT query_id, a AS x, b AS y FROM type_links UNION ALL SELECT query_id, b, a FROM type_links),
    reach(query_id, node, other) AS (SELECT query_id, x, x FROM s UNION SELECT r.query_id, r.node, s.y FROM reach r JOIN s ON s.query_id = r.query_id AND s.x = r.other),
    comp AS (SELECT query_id, node, min(other) AS component FROM reach GROUP BY ALL)"""
 
 
-@query("r13_components", _REACH + " SELECT * FROM comp", "brand_links")
+@query("r13_components", _REACH + " SELECT * FROM comp", "type_links")
 def _(spark, sf):
-    return graph.components(_brand_links(spark, sf))
+    return graph.components(_type_links(spark, sf))
 
 
 @query(
     "r13_largest_component",
     _REACH + """, z AS (SELECT query_id, component, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, component) rn FROM (SELECT query_id, component, count(*) AS n FROM comp GROUP BY ALL))
-       SELECT l.* FROM brand_links l JOIN comp c ON c.query_id = l.query_id AND c.node = l.a JOIN z ON z.query_id = c.query_id AND z.component = c.component AND rn = 1""",
-    "brand_links",
+       SELECT l.* FROM type_links l JOIN comp c ON c.query_id = l.query_id AND c.node = l.a JOIN z ON z.query_id = c.query_id AND z.component = c.component AND rn = 1""",
+    "type_links",
 )
 def _(spark, sf):
-    return graph.largest_component(_brand_links(spark, sf)).select("query_id", "a", "b")
+    return graph.largest_component(_type_links(spark, sf)).select("query_id", "a", "b")
 
 
 def _typed_seeds(spark, sf):
@@ -220,19 +220,32 @@ def _typed_seeds(spark, sf):
     return p.filter("p_size >= 40").select(F.col("p_type").alias("query_id"), F.col("p_partkey").alias("gene"))
 
 
-@query("r14_path_connectors")
+@query(
+    "r14_path_connectors",
+    """WITH s AS MATERIALIZED (SELECT query_id AS q, a, b FROM type_links UNION SELECT query_id, b, a FROM type_links),
+       sd AS MATERIALIZED (SELECT p_type AS q, p_partkey AS g FROM part WHERE p_size >= 40),
+       r1 AS MATERIALIZED (SELECT s.q, sd.g AS src, s.b AS node, min(s.a) AS pred FROM sd JOIN s ON s.q = sd.q AND s.a = sd.g WHERE s.b <> sd.g GROUP BY ALL),
+       r2 AS MATERIALIZED (SELECT s.q, r1.src, s.b AS node, min(s.a) AS pred FROM r1 JOIN s ON s.q = r1.q AND s.a = r1.node
+              LEFT JOIN r1 o ON o.q = s.q AND o.src = r1.src AND o.node = s.b WHERE s.b <> r1.src AND o.q IS NULL GROUP BY ALL),
+       r3 AS MATERIALIZED (SELECT s.q, r2.src, s.b AS node, min(s.a) AS pred FROM r2 JOIN s ON s.q = r2.q AND s.a = r2.node JOIN sd ON sd.q = s.q AND sd.g = s.b
+              LEFT JOIN r1 o ON o.q = s.q AND o.src = r2.src AND o.node = s.b LEFT JOIN r2 t ON t.q = s.q AND t.src = r2.src AND t.node = s.b
+              WHERE s.b <> r2.src AND o.q IS NULL AND t.q IS NULL GROUP BY ALL)
+       SELECT r2.q AS query_id, r2.pred AS node FROM r2 JOIN sd ON sd.q = r2.q AND sd.g = r2.node UNION SELECT q, pred FROM r3
+       UNION SELECT r2.q, r2.pred FROM r3 JOIN r2 ON r2.q = r3.q AND r2.src = r3.src AND r2.node = r3.pred""",
+    "type_links",
+)
 def _(spark, sf):
-    return graph.path_connectors(_brand_links(spark, sf), _typed_seeds(spark, sf), 2)
+    return graph.path_connectors(_type_links(spark, sf), _typed_seeds(spark, sf), 2)
 
 
 @query("r15_seed_rank")
 def _(spark, sf):
-    return graph.seed_rank(_brand_links(spark, sf), _typed_seeds(spark, sf))
+    return graph.seed_rank(_type_links(spark, sf), _typed_seeds(spark, sf))
 
 
 @query("r16_prune_modules")
 def _(spark, sf):
-    links = _brand_links(spark, sf)
+    links = checkpointed(_type_links(spark, sf))
     seeds = _typed_seeds(spark, sf)
     return graph.prune_modules(links, seeds, graph.seed_rank(links, seeds))
 

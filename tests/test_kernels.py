@@ -312,5 +312,68 @@ def test_pruning_keeps_seeds_together(spark):
     r = df(spark, [("q", n, v) for n, v in {1: 0.2, 2: 0.2, 3: 0.2, 4: 0.3, 5: 0.05, 6: 0.01}.items()], "query_id string, node long, rank double")
     got = {(x.a, x.b) for x in graph.prune_modules(e, s, r).collect()}
     assert got == {(4, 1), (4, 2), (4, 3)}
-    with pytest.raises(ValueError):
-        graph.prune_modules(e, s, r, max_nodes=3)
+
+
+def _pruned(edges, seeds, rank):
+    """Connectors one after another, in plain Python: the links that stay."""
+    nodes = {n for e in edges for n in e}
+    alive, seeds = set(nodes), seeds & nodes
+
+    def reached(start, among):
+        seen, front = {start}, [start]
+        while front:
+            at = front.pop()
+            new = {b if a == at else a for a, b in edges if at in (a, b) and a in among and b in among} - seen
+            seen |= new
+            front += new
+        return seen
+
+    for k in sorted(nodes - seeds, key=lambda n: (rank[n], n)):
+        if k in alive and seeds and seeds <= (left := reached(min(seeds), alive - {k})):
+            alive = left
+    return {(a, b) for a, b in edges if a in alive and b in alive}
+
+
+def test_pruning_against_one_by_one(spark):
+    rng = np.random.default_rng(8)
+    modules, want = {}, set()
+    for q in range(60):
+        n = int(rng.integers(3, 26))
+        m = int(rng.integers(n - 1, 3 * n))
+        pairs = {tuple(sorted(map(int, rng.choice(n, 2, replace=False)))) for _ in range(m)}
+        if q % 3:  # connected, by a random tree; every third is left as it falls
+            pairs |= {(int(rng.integers(0, i)), i) for i in range(1, n)}
+        seeds = set(map(int, rng.choice(n, int(rng.integers(0, min(n, 7))), replace=False)))
+        rank = {i: float(rng.integers(0, 6)) for i in range(n)}  # ties go by id
+        modules[f"q{q}"] = (pairs, seeds, rank)
+        want |= {(f"q{q}", *e) for e in _pruned(pairs, seeds, rank)}
+    e = df(spark, [(q, *x) for q, (p, _, _) in modules.items() for x in p], "query_id string, a long, b long")
+    s = df(spark, [(q, x) for q, (_, s, _) in modules.items() for x in s], "query_id string, gene long")
+    r = df(spark, [(q, n, v) for q, (_, _, rank) in modules.items() for n, v in rank.items()], "query_id string, node long, rank double")
+    assert {tuple(x) for x in graph.prune_modules(e, s, r).collect()} == want
+
+
+def test_connectors_against_all_shortest_paths(spark):
+    rng = np.random.default_rng(5)
+    pairs = sorted({tuple(sorted(map(int, rng.choice(60, 2, replace=False)))) for _ in range(110)})
+    seeds = list(range(0, 60, 9))
+    near = {i: {b if a == i else a for a, b in pairs if i in (a, b)} for i in range(60)}
+    for steps in (1, 2, 3):
+        want = set()
+        for s in seeds:
+            depth, pred, front = {s: 0}, {}, [s]
+            for d in range(1, steps + 2):
+                new = {}
+                for u in sorted(front):
+                    for v in near[u] - depth.keys():
+                        new.setdefault(v, u)
+                depth |= dict.fromkeys(new, d)
+                pred |= new
+                front = list(new)
+            for t in seeds:
+                at = pred.get(t)
+                while at is not None and at != s:
+                    want.add(at)
+                    at = pred.get(at)
+        got = graph.path_connectors(df(spark, [("q", a, b) for a, b in pairs], "query_id string, a long, b long"), df(spark, [("q", s) for s in seeds], "query_id string, gene long"), steps)
+        assert {r["node"] for r in got.collect()} == want
