@@ -224,6 +224,22 @@ def scores_for_species(evidence: DataFrame, orthologs: DataFrame, species: str)
     return own.unionByName(averaged.select(*own.columns))
 
 
+def scores_for_all(evidence: DataFrame, orthologs: DataFrame, targets: list[str], transferable: list[str] = vocab.ORTHOLOGY_TRANSFER) -> DataFrame:
+    """`scores_for_species` of several species in one plan, told apart by `target`: links of a species meet the orthologs of
+    all targets once."""
+    from linkweave.functions.columns import canonical_directed, drop_self
+
+    own = evidence.filter(F.col("tax_id").isin(targets)).withColumn("target", F.col("tax_id"))
+    view = orthologs.filter(F.col("dst_tax").isin(targets) & (F.col("dst_tax") != F.col("src_tax")))
+    left = view.select(F.col("src_tax").alias("tax_id"), F.col("src_id").alias("a"), F.col("dst_tax").alias("target"), F.col("dst_id").alias("_a"))
+    right = view.select(F.col("src_tax").alias("tax_id"), F.col("src_id").alias("b"), F.col("dst_tax").alias("target"), F.col("dst_id").alias("_b"))
+    moved = evidence.filter(F.col("type").isin(transferable)).join(left, ["tax_id", "a"]).join(right, ["tax_id", "target", "b"])
+    moved = moved.drop("a", "b").withColumnsRenamed({"_a": "a", "_b": "b"})
+    moved = drop_self(canonical_directed(moved)).select(*evidence.columns, "target").distinct()
+    averaged = mean_links(moved, ["evidence_id", "type", "tax_id", "a", "b", "direction", "target"])
+    return own.unionByName(averaged.select(*own.columns))
+
+
 # --- redundancy ------------------------------------------------------------------------------
 
 
@@ -382,10 +398,10 @@ def fit_logistic(curve: DataFrame, keys: list[str] = ["gs"], min_r2: float = voc
     return curve.groupBy(*keys).applyInPandas(fit, f"{key_types}, a double, b double, c double, r2 double, error string")
 
 
-def fbs_to_ppv(fbs: DataFrame, ppv_model: DataFrame, lo: float = 0.5) -> DataFrame:
+def fbs_to_ppv(fbs: DataFrame, ppv_model: DataFrame, lo: float = 0.5, keys: list[str] = ["gs"]) -> DataFrame:
     """Adds `ppv`; a gold standard without a usable model gives 0."""
-    m = ppv_model.select("gs", F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("c").alias("_c"))
-    scored = fbs.join(small_side(m), "gs", "left").withColumn("ppv", ppv_of_fbs(F.col("fbs"), F.col("_a"), F.col("_b"), F.col("_c"), lo))
+    m = ppv_model.select(*keys, F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("c").alias("_c"))
+    scored = fbs.join(small_side(m), keys, "left").withColumn("ppv", ppv_of_fbs(F.col("fbs"), F.col("_a"), F.col("_b"), F.col("_c"), lo))
     return scored.drop("_a", "_b", "_c")
 
 

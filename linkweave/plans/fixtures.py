@@ -134,6 +134,35 @@ def gs_link(spark: S, sf: str) -> DataFrame:
     return feat(spark, sf).select("a", "b", F.explode(F.array_compact(rows)).alias("g")).select("g.*", "a", "b")
 
 
+#: Each species has proteins of its own: part keys, shifted.
+SHIFT = {"9606": 0, "10090": 10_000_000, "10116": 20_000_000}
+
+
+def _shift(tax) -> F.Column:
+    return F.coalesce(*[F.when(tax == t, F.lit(n)) for t, n in SHIFT.items()])
+
+
+def species_evidence(spark: S, sf: str) -> DataFrame:
+    """`evidence_link` on the proteins of each dataset's species."""
+    by = _shift(F.col("tax_id"))
+    return evidence_link(spark, sf).withColumns({"a": F.col("a") + by, "b": F.col("b") + by})
+
+
+def species_gs(spark: S, sf: str) -> DataFrame:
+    """Gold standards of three species: (tax_id, gs, a, b, direction). The second and third know two pairs of three."""
+    known = gs_link(spark, sf).withColumn("tax_id", F.explode(F.array(*map(F.lit, SHIFT))))
+    known = known.filter((F.col("tax_id") == "9606") | (F.pmod(F.col("a") + F.col("b"), F.lit(3)) != F.when(F.col("tax_id") == "10090", 0).otherwise(1)))
+    by = _shift(F.col("tax_id"))
+    return known.select("tax_id", "gs", (F.col("a") + by).alias("a"), (F.col("b") + by).alias("b"), "direction")
+
+
+def species_orthologs(spark: S, sf: str) -> DataFrame:
+    """(src_tax, src_id, dst_tax, dst_id) between all species; every tenth part has none."""
+    ids = table(spark, sf, "part").filter("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("p"))
+    pairs = [F.struct(F.lit(s).alias("src_tax"), (F.col("p") + i).alias("src_id"), F.lit(t).alias("dst_tax"), (F.col("p") + j).alias("dst_id")) for s, i in SHIFT.items() for t, j in SHIFT.items() if s != t]
+    return ids.select(F.explode(F.array(*pairs)).alias("o")).select("o.*")
+
+
 view(
     "gs_link",
     """SELECT 'Complex' AS gs, 1 AS direction, a, b FROM feat WHERE brand_a = brand_b

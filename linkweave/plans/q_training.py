@@ -1,5 +1,7 @@
 """Registered queries: gold standards, training, integration, network assembly."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from linkweave.functions.columns import half_even
@@ -12,6 +14,7 @@ from linkweave.operators import training as M
 from linkweave.plans import fixtures as X
 from linkweave.plans import train as plan
 from linkweave.plans.registry import query, table, view
+from linkweave.session import shared_folder
 
 # --- gold standards --------------------------------------------------------------------------
 
@@ -674,3 +677,14 @@ def _(spark, sf):
 def _(spark, sf):
     t = plan.train_without(X.evidence_link(spark, sf), X.gs_link(spark, sf), _ortholog_gs(spark, sf), "9606", "10090", fixture_config())
     return I.explode_best_gs(t.network).select("a", "b", "direction", "gold_standard", "ppv", "fbs_max", "is_gs", "is_ppv_gs")
+
+
+@query("m27_train_all_species")
+def _(spark, sf):
+    """Three species at the default quality gates, from one job; what the store had finished before would be left alone."""
+    wanted = spark.createDataFrame([(t,) for t in X.SHIFT], "tax_id string")
+    path = f"{shared_folder(spark)}/networks-{uuid.uuid4().hex}"
+    net = plan.train_remaining(X.species_evidence(spark, sf), X.species_gs(spark, sf), X.species_orthologs(spark, sf), wanted, path, plan.TrainingConfig())
+    flat = [I.explode_best_gs(net.filter(F.col("tax_id") == t).drop("tax_id")).withColumn("tax_id", F.lit(t)) for t in X.SHIFT]
+    whole = flat[0].unionByName(flat[1]).unionByName(flat[2])
+    return whole.select("tax_id", "a", "b", "direction", "gold_standard", "ppv", "fbs_max", "is_gs", "is_ppv_gs")

@@ -1,5 +1,6 @@
 """Properties of the model and one test per place where observed behaviour had to be decided."""
 
+import shutil
 import math
 
 import pytest
@@ -17,6 +18,7 @@ from linkweave.operators import pairs as J
 from linkweave.operators import queries as R
 from linkweave.operators import training as M
 from linkweave.plans import catalog, fixtures
+from linkweave.plans import train as plan
 from linkweave.sinks import writers as K
 from linkweave.sources import readers as S
 
@@ -189,3 +191,28 @@ def test_seed_modules_come_from_the_whole_network(spark):
     sf = "/root/testdata/sf0.001"
     got = catalog.QUERIES["r16_seed_module"](spark, sf).join(fixtures.net(spark, sf).select("a", "b", "ppv"), ["a", "b"])
     assert got.filter("ppv < 0.97").count() > 0
+
+
+def test_species_are_trained_together_and_only_once(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    ev, gs, orth = fixtures.species_evidence(spark, sf), fixtures.species_gs(spark, sf), fixtures.species_orthologs(spark, sf)
+    cfg = plan.TrainingConfig(min_r2=-1e9, min_ppv_r2=-1e9, boots=5)
+    path = str(tmp_path / "store")
+
+    def wanted(*names):
+        return spark.createDataFrame([(n,) for n in names], "tax_id string")
+
+    def flat(net):
+        return sorted(map(str, I.explode_best_gs(net.drop("tax_id")).select("a", "b", "direction", "gold_standard", "ppv", "fbs_max", "is_gs", "is_ppv_gs", "llr_ev").collect()))
+
+    first = flat(plan.train_remaining(ev, gs, orth, wanted("10090"), path, cfg))
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "network" / "tax_id=10090").iterdir()}
+    # a species that was stopped before its row was written has files already
+    shutil.copytree(tmp_path / "store" / "network" / "tax_id=10090", tmp_path / "store" / "network" / "tax_id=10116")
+    both = plan.train_remaining(ev, gs, orth, wanted("9606", "10090", "10116"), path, cfg)
+    assert files == {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "network" / "tax_id=10090").iterdir()}
+    assert {r["tax_id"]: r["num_links"] for r in spark.read.parquet(f"{path}/stats").collect()} == {r["tax_id"]: r["count"] for r in both.groupBy("tax_id").count().collect()}
+    assert both.filter("tax_id = '10116'").agg(F.min("a")).first()[0] > 20_000_000
+    for species, of_all in (("10090", first), ("9606", flat(both.filter("tax_id = '9606'")))):
+        own, carried = (x.withColumns({"a": F.col("a.id"), "b": F.col("b.id")}) for x in plan._gold_standards(gs, orth, [species]))
+        assert flat(plan.train(ev, own, carried.select("gs", "a", "b"), species, cfg, orth).network) == of_all and len(of_all) > 1000
