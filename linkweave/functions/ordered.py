@@ -43,12 +43,33 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "r
     )
 
 
+def ranged(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The rows in range partitions over (keys, order), each row with its `_range`, for `scan`."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()))
+
+
+def scan(rows: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, how: str = "sum", backwards: bool = False) -> DataFrame:
+    """Running `sum` or `min` of `value` per key up to and with each row of a `ranged` table (from it to the end if
+    `backwards`). A window runs inside one range of one key; what other ranges contribute is one row per key and range."""
+    agg = {"sum": F.sum, "min": F.min}[how]
+    first, last = (0, W.unboundedFollowing) if backwards else (W.unboundedPreceding, 0)
+    inside = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(first, last)
+    outside = W.partitionBy(*keys).orderBy("_range").rowsBetween(*((1, W.unboundedFollowing) if backwards else (W.unboundedPreceding, -1)))
+    local = rows.withColumn("_local", agg(value).over(inside))
+    carried = rows.groupBy(*keys, "_range").agg(agg(value).alias("_all")).withColumn("_carried", agg("_all").over(outside))
+    both = local.alias("l").join(carried.alias("r"), _on([*keys, "_range"], "l", "r"))
+    whole = F.col("l._local") + F.coalesce("r._carried", F.lit(0)) if how == "sum" else F.least("l._local", "r._carried")
+    return both.select("l.*", whole.alias(name)).drop("_local")
+
+
 def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row per distinct value of each key: how often it occurs and its average rank.
-    Counting first means a value shared by many rows reaches the window once."""
+    Counting first means a value shared by many rows is ranked once; the distinct values of a key are spread over ranges."""
     counted = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    return counted.withColumn("avg_rank", upto - (F.col("n") - 1) / 2.0)
+    order = [F.col(value)]
+    upto = scan(ranged(counted, keys, order), keys, order, F.col("n"), "_upto")
+    return upto.withColumn("avg_rank", F.col("_upto") - (F.col("n") - 1) / 2.0).drop("_upto", "_range")
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_rank") -> DataFrame:
@@ -58,14 +79,13 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_ra
 
 
 def quantile_bounds(df: DataFrame, keys: list[str], value: str, lo: float, hi: float, weight: Column | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles per key, from counted distinct values (`weight` if already counted)."""
-    w = W.partitionBy(*keys)
-    steps = (
-        df.groupBy(*keys, value)
-        .agg(F.sum(weight if weight is not None else F.lit(1)).alias("n"))
-        .withColumn("_upto", F.sum("n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("_total", F.sum("n").over(w))
-    )
+    """Exact linear-interpolated quantiles per key, from counted distinct values (`weight` if already counted), which are
+    spread over ranges."""
+    counted = df.groupBy(*keys, value).agg(F.sum(weight if weight is not None else F.lit(1)).alias("n"))
+    order = [F.col(value)]
+    rows = ranged(counted, keys, order)
+    totals = rows.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    steps = scan(rows, keys, order, F.col("n"), "_upto").alias("l").join(totals.alias("r"), _on(keys, "l", "r")).select("l.*", "_total")
 
     def at(p: float) -> Column:
         pos = F.lit(p) * (F.col("_total") - 1)

@@ -377,3 +377,34 @@ def test_connectors_against_all_shortest_paths(spark):
                     at = pred.get(at)
         got = graph.path_connectors(df(spark, [("q", a, b) for a, b in pairs], "query_id string, a long, b long"), df(spark, [("q", s) for s in seeds], "query_id string, gene long"), steps)
         assert {r["node"] for r in got.collect()} == want
+
+
+def test_ranks_and_quantiles_of_one_hot_key(spark):
+    rng = np.random.default_rng(12)
+    hot, small = rng.normal(size=20_000).round(4), np.array([2.0, 1.0, 2.0, 5.0])
+    rows = [("hot", float(x)) for x in hot] + [("small", float(x)) for x in small]
+    table = spark.createDataFrame(pd.DataFrame(rows, columns=["k", "x"]))
+    distinct = table.distinct()
+    ranges = O.ranged(distinct, ["k"], [F.col("x")]).filter("k = 'hot'").groupBy("_range").count().collect()
+    # no task has the whole key
+    assert len(ranges) > 2 and max(r["count"] for r in ranges) < 0.6 * len(set(hot))
+    got = O.value_ranks(table, ["k"], "x").collect()
+    for k, values in (("hot", hot), ("small", small)):
+        want = dict(zip(values, pd.Series(values).rank()))
+        assert {r["x"]: r["avg_rank"] for r in got if r["k"] == k} == want
+    bounds = {r["k"]: (r["q_lo"], r["q_hi"]) for r in O.quantile_bounds(table, ["k"], "x", 0.013, 0.985).collect()}
+    for k, values in (("hot", hot), ("small", small)):
+        assert np.allclose(bounds[k], np.quantile(values, [0.013, 0.985]), atol=1e-12)
+
+
+def test_adjusted_p_of_one_hot_family(spark):
+    rng = np.random.default_rng(13)
+    p = {"hot": (rng.random(8000) ** 3).round(4), "small": np.array([0.5, 0.01, 0.01, 1.0])}
+    table = spark.createDataFrame(pd.DataFrame([(k, i, float(x)) for k, xs in p.items() for i, x in enumerate(xs)], columns=["k", "i", "p"]))
+    got = {(r["k"], r["i"]): (r["fdr"], r["fwer"]) for r in S.p_adjust(table, ["k"]).collect()}
+    for k, xs in p.items():
+        order, least = np.argsort(-xs), 1.0
+        upto = pd.Series(xs).rank(method="max").to_numpy()
+        for i in order:
+            least = min(least, xs[i] * len(xs) / upto[i])
+            assert math.isclose(got[k, int(i)][0], least, rel_tol=1e-12) and math.isclose(got[k, int(i)][1], min(1.0, xs[i] * len(xs)), rel_tol=1e-12)
