@@ -151,8 +151,8 @@ def degree_bins(nodes: DataFrame, size: int = 150, node: str = "node", degree: s
 
 
 def dense_ids(df: DataFrame, name_col: str, id_col: str) -> DataFrame:
-    """Consecutive ids of distinct names (vocabulary-sized: the names are made distinct first)."""
-    ids = df.select(name_col).distinct().withColumn(id_col, F.dense_rank().over(W.orderBy(name_col)))
+    """Consecutive ids of distinct names, in order of the names."""
+    ids = numbered(df.select(name_col).distinct(), [], [F.col(name_col)], id_col)
     return df.join(ids, name_col)
 
 

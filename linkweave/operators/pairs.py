@@ -186,8 +186,13 @@ def top_links(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def top_per_key(df: DataFrame, keys: list[str], k: int, order: list[Column]) -> DataFrame:
-    """The k best rows of each key; Spark prunes to k per key before the shuffle (window group limit)."""
+def top_per_key(df: DataFrame, keys: list[str], k: int | Column, order: list[Column], parts: int = 1) -> DataFrame:
+    """The k best rows of each key; Spark prunes to k per key before the shuffle (window group limit). With `parts`
+    the rows of a key are first cut into so many hashed parts, of which only the k best go on, so that a key with very
+    many rows is not sorted by one task; `order` must then be a total order."""
+    if parts > 1:
+        cut = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+        df = top_per_key(cut, [*keys, "_part"], k, order).drop("_part")
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 

@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkweave import vocab
@@ -15,6 +14,8 @@ from linkweave.functions.stats import hypergeom_tail, p_adjust
 from linkweave.operators.pairs import indegree, keep_pairs, symmetric, top_per_key
 from linkweave.session import checkpointed, small_side
 
+PARTS = 64  # of one query's rows when the best are taken
+
 # --- names -----------------------------------------------------------------------------------
 
 
@@ -111,9 +112,10 @@ def expand_group(
         ranked = nodes.join(member, ["query_id", "node"], "left").join(sizes, "query_id")
         by_links = (F.col("size") > 1) if common else F.lit(False)
         order = [F.when(by_links, F.col("links")).otherwise(F.col("best")).desc(), F.col("node")]
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
-        ranked = ranked.withColumn("_rank", rank).filter(by_links | (F.col("_rank") <= k + F.col("size")))
-        fresh = top_per_key(ranked.filter(F.col("_in").isNull()), ["query_id"], k, [F.col("_rank")])
+        # a hub's neighbours are all nodes: parts of a query send on their best rows only
+        limit = F.when(by_links, F.lit(k)).otherwise(k + F.col("size"))
+        best = top_per_key(ranked.filter(~by_links | F.col("_in").isNull()), ["query_id"], limit, order, PARTS)
+        fresh = top_per_key(best.filter(F.col("_in").isNull()), ["query_id"], k, order)
         current = checkpointed(current.unionByName(fresh.select("query_id", F.col("node").alias("gene"))))
     return current
 
@@ -137,7 +139,7 @@ def linked_candidates(
     seed links among all their links are tested (hypergeometric, Benjamini-Hochberg below `max_fdr`)."""
     edges = _confident(net, threshold, score).select("a", "b", score)
     first = neighbour_links(edges, genes)
-    top = top_per_key(first, ["query_id"], k, [F.col(score).desc(), F.col("a"), F.col("b")])
+    top = top_per_key(first, ["query_id"], k, [F.col(score).desc(), F.col("a"), F.col("b")], PARTS)
     near = checkpointed(top.select("query_id", F.explode(F.array("a", "b")).alias("gene")).distinct())
     links = neighbour_links(edges, near)
     seeds = genes.select("query_id", "gene").distinct()

@@ -293,13 +293,13 @@ def _(spark, sf):
     "r19_annotate_nodes",
     """WITH g AS (SELECT DISTINCT l_suppkey AS gene FROM lineitem),
        m AS (SELECT protein_id, max(CASE WHEN type = 'Gene_Symbol' THEN mapped_id END) AS label, string_agg(type || ':' || mapped_id, ',' ORDER BY type || ':' || mapped_id) AS mappings FROM id_mapping GROUP BY 1),
-       p AS (SELECT l_suppkey AS s, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS pathways, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS tissues FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 GROUP BY 1)
+       p AS (SELECT l_suppkey AS s, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS pathways, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS tissues FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
        SELECT gene, label, s_name AS uniprot_id, mappings, coalesce(pathways, '') AS pathways, coalesce(tissues, '') AS tissues FROM g JOIN supplier ON s_suppkey = gene LEFT JOIN m ON m.protein_id = gene LEFT JOIN p ON p.s = gene""",
     "id_mapping",
 )
 def _(spark, sf):
     li, p, s = (table(spark, sf, t) for t in ("lineitem", "part", "supplier"))
-    joined = li.filter("l_quantity > 49").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    joined = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
     n = R.annotate_nodes(
         li.select(F.col("l_suppkey").alias("gene")), s.select(F.col("s_suppkey").alias("protein_id"), F.col("s_name").alias("uniprot_id")), X.id_mapping(spark, sf),
         joined.select(F.col("l_suppkey").alias("protein_id"), F.col("p_brand").alias("pathway_id")), joined.select(F.col("l_suppkey").alias("protein_id"), F.col("p_type").alias("tissue")),
@@ -387,13 +387,13 @@ def _(spark, sf):
 
 @query(
     "r24_query_host_pathogen",
-    """WITH n AS (SELECT l_suppkey + 10000000 AS a, l_partkey AS b, max(l_discount) AS ppv FROM lineitem GROUP BY ALL), s AS (SELECT 'b' || p_brand AS query_id, p_partkey AS gene FROM part WHERE p_size = 50)
+    """WITH n AS (SELECT l_suppkey + 10000000 AS a, l_partkey AS b, max(l_discount) AS ppv FROM lineitem GROUP BY ALL), s AS (SELECT 'b' || p_brand AS query_id, p_partkey AS gene FROM part)
        SELECT query_id, a, b, ppv, 'host' AS role_a, 'pathogen' AS role_b FROM n JOIN s ON gene = b""",
 )
 def _(spark, sf):
     li, p, s = (table(spark, sf, t) for t in ("lineitem", "part", "supplier"))
     net = li.groupBy((F.col("l_suppkey") + 10000000).alias("a"), F.col("l_partkey").alias("b")).agg(F.max("l_discount").alias("ppv"))
-    genes = p.filter("p_size = 50").select(F.concat(F.lit("b"), "p_brand").alias("query_id"), F.col("p_partkey").alias("gene"))
+    genes = p.select(F.concat(F.lit("b"), "p_brand").alias("query_id"), F.col("p_partkey").alias("gene"))
     host = s.select((F.col("s_suppkey") + 10000000).alias("protein_id"))
     return R.query_host_pathogen(net, genes, host, p.select(F.col("p_partkey").alias("protein_id")))
 

@@ -17,6 +17,7 @@ from linkweave.operators import enrichment as E
 from linkweave.operators import evidence as V
 from linkweave.operators import graph
 from linkweave.operators import normalise as N
+from linkweave.operators import pairs as J
 from linkweave.operators import tiles
 from linkweave.operators import training as M
 
@@ -408,3 +409,14 @@ def test_adjusted_p_of_one_hot_family(spark):
         for i in order:
             least = min(least, xs[i] * len(xs) / upto[i])
             assert math.isclose(got[k, int(i)][0], least, rel_tol=1e-12) and math.isclose(got[k, int(i)][1], min(1.0, xs[i] * len(xs)), rel_tol=1e-12)
+
+
+def test_best_rows_of_a_hot_key_in_parts(spark):
+    rng = np.random.default_rng(14)
+    rows = [("hub", i, float(rng.integers(0, 50))) for i in range(4000)] + [("q", i, 1.0) for i in range(3)]
+    table = spark.createDataFrame(pd.DataFrame(rows, columns=["k", "i", "x"]))
+    order = [F.col("x").desc(), F.col("i")]
+    want = sorted(tuple(r) for r in J.top_per_key(table, ["k"], 7, order).collect())
+    assert sorted(tuple(r) for r in J.top_per_key(table, ["k"], 7, order, 16).collect()) == want and len(want) == 10
+    by_row = J.top_per_key(table, ["k"], F.when(F.col("k") == "hub", 5).otherwise(1), order, 16)
+    assert {r["k"]: r["count"] for r in by_row.groupBy("k").count().collect()} == {"hub": 5, "q": 1}
