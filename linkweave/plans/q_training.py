@@ -428,7 +428,7 @@ view(
     "fbs",
     """WITH e AS (SELECT a, b, direction, gs, type, round_even(sum(wllr), 3) AS ev FROM weighted GROUP BY ALL),
        f AS (SELECT a, b, direction, gs, round_even(sum(ev), 3) AS fbs FROM e GROUP BY ALL)
-       SELECT * FROM f SEMI JOIN (SELECT a, b, direction FROM f WHERE fbs > 0) USING (a, b, direction)""",
+       SELECT a, b, direction, gs, fbs FROM (SELECT *, max(fbs) OVER (PARTITION BY a, b, direction) AS best FROM f) WHERE best > 0""",
     "weighted",
 )
 
