@@ -12,10 +12,12 @@ Within a shard, records are numbered without gaps in the order of a hash.
 
 Defined cases: a null text has 8 bytes and the checksum of no bytes; null ids are told apart by their texts; repeated
 rows share a slot and get neighbouring numbers; an empty table gives an empty result and a map that deals the slots out in turn.
+A stored map of another number of slots, or of more shards than asked for, is refused.
 """
 
 from __future__ import annotations
 
+import logging
 import uuid
 
 import numpy as np
@@ -67,6 +69,8 @@ def rebalanced(slots: np.ndarray, sizes: np.ndarray, n_shards: int) -> np.ndarra
             slots[swap] = high
         held[high] -= moved
         held[low] += moved
+    else:
+        logging.getLogger(__name__).warning("shards still differ by %d bytes after %d steps", gap, 20 * len(slots))
     return slots
 
 
@@ -90,22 +94,35 @@ def grown(slots: np.ndarray, sizes: np.ndarray, n_shards: int) -> np.ndarray:
 
 
 class SlotMap:
-    """Versions of a slot-to-shard map in one folder of Parquet files: (version, n_shards, slot, shard)."""
+    """Versions of a slot-to-shard map, a folder `version=N` of Parquet files for each: (n_shards, slot, shard)."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def latest(self) -> int:
+        """The newest version, 0 where there is none."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+        return max([int(n.removeprefix("version=")) for n in names if n.startswith("version=")], default=0)
+
     def append(self, version: int, n_shards: int, slots: np.ndarray) -> None:
-        rows = [(version, n_shards, i, int(s)) for i, s in enumerate(slots)]
-        frame = self.spark.createDataFrame(rows, "version int, n_shards int, slot int, shard int")
-        frame.coalesce(1).write.mode("append").parquet(self.path)
+        """Writes a version; one that exists is refused."""
+        rows = [(n_shards, i, int(s)) for i, s in enumerate(slots)]
+        frame = self.spark.createDataFrame(rows, "n_shards int, slot int, shard int")
+        frame.coalesce(1).write.mode("error").parquet(f"{self.path}/version={version}")
+
+    def _version(self, version: int) -> DataFrame:
+        return self.spark.read.schema("n_shards int, slot int, shard int").parquet(f"{self.path}/version={version}")
 
     def read(self, version: int) -> DataFrame:
         """(slot, shard) of a version: `n_slots` rows."""
-        return self.spark.read.parquet(self.path).filter(F.col("version") == version).select("slot", "shard")
+        return self._version(version).select("slot", "shard")
 
-    def latest(self) -> int:
-        return self.spark.read.parquet(self.path).agg(F.max("version")).first()[0]
+    def load(self, version: int) -> tuple[int, np.ndarray]:
+        """Number of shards and the shard of each slot."""
+        rows = self._version(version).orderBy("slot").collect()  # n_slots rows
+        return rows[0]["n_shards"], np.array([r["shard"] for r in rows], np.int64)
 
 
 def slot_bytes(records: DataFrame, n_slots: int) -> np.ndarray:
@@ -124,21 +141,41 @@ def placed(records: DataFrame, slots: DataFrame, rows: int) -> DataFrame:
     return numbered.withColumn("slot", F.col("_n") - 1).drop("_n")
 
 
+def edited(slot_map: SlotMap, sizes: np.ndarray, n_shards: int) -> int:
+    """The version to place records by: the latest of the stored map, edited where it needs to be. A map that does not exist is dealt
+    out first. A map of fewer shards grows to `n_shards`, a version for each shard, and moves nothing else; one of as
+    many is rebalanced, which makes a version if any slot moves."""
+    version = slot_map.latest()
+    if not version:
+        version = 1
+        slot_map.append(1, n_shards, first_map(len(sizes), n_shards))
+    stored, slots = slot_map.load(version)
+    if len(slots) != len(sizes):
+        raise ValueError(f"the map at {slot_map.path} has {len(slots)} slots, not {len(sizes)}: slots never change")
+    if stored > n_shards:
+        raise ValueError(f"the map at {slot_map.path} has {stored} shards already")
+    if stored < n_shards:
+        for n in range(stored, n_shards):
+            slots, version = grown(slots, sizes, n), version + 1
+            slot_map.append(version, n + 1, slots)
+        return version
+    after = rebalanced(slots, sizes, n_shards)
+    if (after != slots).any():
+        version += 1
+        slot_map.append(version, n_shards, after)
+    return version
+
+
 def sharded(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> tuple[DataFrame, SlotMap]:
-    """(doc_id, size, text_crc32, virtual_slot, shard, slot) of each record under a rebalanced map, and the map: version 1
-    as dealt out, version 2 rebalanced by bytes, version 3 grown by a shard."""
+    """(doc_id, size, text_crc32, virtual_slot, shard, slot) of each record, and the map that placed it. The map is kept under `path`
+    and edited by the next run there; without one it is new and belongs to this run."""
     spark = docs.sparkSession
     data = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
     records = docs.select(F.col(id_col).alias("doc_id"), (F.length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), slot_of(F.col(id_col), F.crc32(data), n_slots).alias("_slot"))
     records = staged(records)
-    sizes = slot_bytes(records, n_slots)
     slot_map = SlotMap(spark, path or f"{shared_folder(spark)}/slots-{uuid.uuid4().hex}")
-    dealt = first_map(n_slots, n_shards)
-    balanced = rebalanced(dealt, sizes, n_shards)
-    for version, (n, slots) in enumerate([(n_shards, dealt), (n_shards, balanced), (n_shards + 1, grown(balanced, sizes, n_shards))], 1):
-        slot_map.append(version, n, slots)
-    rows = records.count()
-    return placed(records, slot_map.read(2), rows).withColumnRenamed("_slot", "virtual_slot"), slot_map
+    version = edited(slot_map, slot_bytes(records, n_slots), n_shards)
+    return placed(records, slot_map.read(version), records.count()).withColumnRenamed("_slot", "virtual_slot"), slot_map
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from linkweave.llm import sharding
 
@@ -22,13 +23,31 @@ def test_shards_are_near_equal_and_slots_gapless(spark):
     assert sorted(map(str, got)) == sorted(map(str, sharding.query(docs.repartition(5)).collect()))
 
 
-def test_versions_move_only_what_they_must(spark, tmp_path):
-    rows = [(i, "x" * (i % 700)) for i in range(2000)]
-    _, slots = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=5, n_slots=512, path=str(tmp_path / "map"))
-    assert slots.latest() == 3
-    maps = [{r["slot"]: r["shard"] for r in slots.read(v).collect()} for v in (1, 2, 3)]
-    assert all(len(m) == 512 for m in maps) and set(maps[1].values()) == set(range(5))
-    assert {maps[2][s] for s in maps[2] if maps[2][s] != maps[1][s]} == {5}
+def test_later_runs_edit_the_stored_map(spark, tmp_path):
+    def run(n, shards):
+        docs = spark.createDataFrame([(i, "x" * (i * 31 % 700)) for i in range(n)], "doc_id long, text string")
+        rows, slots = sharding.sharded(docs, n_shards=shards, n_slots=512, path=str(tmp_path / "map"))
+        return {r["doc_id"]: r["shard"] for r in rows.collect()}, rows.count(), slots
+
+    def loads(n, placed):
+        return np.bincount([placed[i] for i in range(n)], weights=[i * 31 % 700 + 8 for i in range(n)])
+
+    first, count, slots = run(2000, 5)
+    assert count == 2000 and slots.latest() == 2
+    same, count, slots = run(2000, 5)
+    assert count == 2000 and same == first and slots.latest() == 2
+    more, count, slots = run(2600, 5)  # rebalanced for what came: slots that stay keep their records
+    assert count == 2600 and slots.latest() == 3 and loads(2600, more).max() <= 1.05 * loads(2600, more).mean()
+    assert 0 < sum(more[i] != first[i] for i in first) < 1000
+    grown, count, slots = run(2600, 7)
+    assert count == 2600 and slots.latest() == 5 and {grown[i] for i in more if grown[i] != more[i]} == {5, 6}
+    maps = [{r["slot"]: r["shard"] for r in slots.read(v).collect()} for v in range(1, 6)]
+    assert all(len(m) == 512 for m in maps)
+    assert {maps[3][s] for s in maps[3] if maps[3][s] != maps[2][s]} == {5}
+    with pytest.raises(ValueError):
+        run(10, 6)
+    with pytest.raises(Exception, match="already exists"):
+        slots.append(5, 7, np.zeros(512, np.int64))
 
 
 def test_edits():
