@@ -334,24 +334,25 @@ def _precisions(fbs: np.ndarray, n_pos: np.ndarray, n_neg: np.ndarray, threshold
 
 def bootstrap_precision(counts: DataFrame, keys: list[str] = ["gs"], boots: int = vocab.BOOTSTRAPS, thresholds: int = GRID, seed: int = 1) -> DataFrame:
     """Precision curves against balanced draws of the negatives: (keys, boot, threshold, ppv).
-    The draw is made on the counts of distinct scores, so a group is as large as its distinct scores."""
+    The draw is made on the counts of distinct scores, so a group is as large as its distinct scores; each draw of
+    each key is a group of its own."""
     key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema if f.name in keys)
 
-    def curves(pdf: pd.DataFrame) -> pd.DataFrame:
+    def curve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("fbs")
+        boot = int(pdf["boot"].iloc[0])
         fbs, n_pos, n_neg = pdf["fbs"].to_numpy(float), pdf["n_pos"].to_numpy(np.int64), pdf["n_neg"].to_numpy(np.int64)
-        out = []
+        out = pd.DataFrame({"threshold": [], "ppv": []})
         if n_pos.sum() and n_neg.sum():
-            for boot in range(boots):
-                rng = np.random.default_rng([seed, boot])
-                t, ppv = _precisions(fbs, n_pos, _draw(rng, n_neg, int(min(n_pos.sum(), n_neg.sum()))), thresholds)
-                out.append(pd.DataFrame({"boot": boot, "threshold": t, "ppv": ppv}))
-        curve = pd.concat(out) if out else pd.DataFrame({"boot": [], "threshold": [], "ppv": []})
-        for k in keys:
-            curve[k] = pdf[k].iloc[0]
-        return curve[[*keys, "boot", "threshold", "ppv"]]
-
-    return counts.groupBy(*keys).applyInPandas(curves, f"{key_types}, boot int, threshold double, ppv double")
+            rng = np.random.default_rng([seed, boot])
+            t, ppv = _precisions(fbs, n_pos, _draw(rng, n_neg, int(min(n_pos.sum(), n_neg.sum()))), thresholds)
+            out = pd.DataFrame({"threshold": t, "ppv": ppv})
+        for k in [*keys, "boot"]:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "boot", "threshold", "ppv"]]
+
+    draws = counts.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(boots - 1))))
+    return draws.groupBy(*keys, "boot").applyInPandas(curve, f"{key_types}, boot int, threshold double, ppv double")
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, float]:
