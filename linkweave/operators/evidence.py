@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions.columns import canonical_directed, canonical_pair, drop_self, half_even
 from linkweave.functions.ordered import top_fraction
-from linkweave.operators.allpairs import spearman_pairs
+from linkweave.operators.allpairs import spearman_pairs, strong_spearman_pairs
 from linkweave.operators.filters import abs_score_cut, explode_probes, interaction_rows, quality_check
 from linkweave.operators.normalise import boxcox_minmax, minmax
 from linkweave.operators.pairs import (
@@ -19,7 +19,7 @@ from linkweave.operators.pairs import (
     map_ids,
     symmetric,
 )
-from linkweave.operators.tiles import member_pairs, with_cells
+from linkweave.operators.tiles import heavy_join, member_pairs, with_cells
 from linkweave.session import checkpointed, small_side
 
 
@@ -59,7 +59,9 @@ def domain_pairs(ddi: DataFrame, hits: DataFrame) -> DataFrame:
     hits = hits.select("protein_id", "domain").distinct()
     left = hits.select(F.col("protein_id").alias("a"), F.col("domain").alias("domain_a"))
     right = hits.select(F.col("protein_id").alias("b"), F.col("domain").alias("domain_b"))
-    met = drop_self(ddi.join(left, "domain_a").join(right, "domain_b"))
+    # domains of very many proteins are cut into tiles in either join
+    once = heavy_join(ddi, left, ["domain_a"], "domain_b", "a")
+    met = drop_self(heavy_join(once, right, ["domain_b"], "a", "b"))
     return canonical_pair(met).groupBy("a", "b", "domain_a", "domain_b").agg(F.max("score").alias("score"))
 
 
@@ -136,12 +138,16 @@ def host_pathogen_scores(rows: DataFrame, mapping: DataFrame, host: str, rounds:
 # --- profiles --------------------------------------------------------------------------------
 
 
-def genetic_profile_pairs(rows: DataFrame, min_periods: int = 5, block: int = 1024) -> DataFrame:
-    """Correlation between the genetic-interaction profiles of two proteins. `rows` is (a, b, score)."""
+def _correlated(long: DataFrame, min_periods: int, min_abs: float | None, block: int) -> DataFrame:
+    return spearman_pairs(long, min_periods, block=block) if min_abs is None else strong_spearman_pairs(long, min_periods, min_abs, block)
+
+
+def genetic_profile_pairs(rows: DataFrame, min_periods: int = 5, block: int = 1024, min_abs: float | None = None) -> DataFrame:
+    """Correlation between the genetic-interaction profiles of two proteins, of all pairs or above `min_abs`. `rows` is (a, b, score)."""
     mean = canonical_pair(rows).groupBy("a", "b").agg(F.avg("score").alias("value"))
     # a self interaction is one cell of the symmetric matrix
     profile = symmetric(mean, "protein_id", "sample").distinct()
-    return spearman_pairs(profile, min_periods, block=block)
+    return _correlated(profile, min_periods, min_abs, block)
 
 
 def coexpression_pairs(
@@ -168,12 +174,12 @@ def abundance_tissues(abundance: DataFrame) -> DataFrame:
     return links.join(per_species.filter(F.col("_n") > 3).select("tax_id"), "tax_id", "left_semi")
 
 
-def abundance_pairs(abundance: DataFrame, method: str = "jaccard", block: int = 1024) -> DataFrame:
-    """Co-abundance by shared top tissues (jaccard) or by abundance profile (spearman) of one species."""
+def abundance_pairs(abundance: DataFrame, method: str = "jaccard", block: int = 1024, min_abs: float | None = None) -> DataFrame:
+    """Co-abundance by shared top tissues (jaccard) or by abundance profile (spearman, of all pairs or above `min_abs`) of one species."""
     if method == "jaccard":
         return jaccard_pairs(abundance_tissues(abundance).select(F.col("gene").alias("id"), F.col("tissue").alias("attr")))
     mean = abundance.groupBy(F.col("gene").alias("protein_id"), F.col("filename").alias("sample")).agg(F.avg("value").alias("value"))
-    return spearman_pairs(mean, 5, block=block)
+    return _correlated(mean, 5, min_abs, block)
 
 
 def presence_profiles(orthologs: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
@@ -240,6 +246,30 @@ def term_similarity(sv: DataFrame, tile: int = 4096) -> DataFrame:
     return shared.join(ta, "term_a").join(tb, "term_b").select("term_a", "term_b", sim.alias("sim"))
 
 
+def close_terms(sv: DataFrame, min_sim: float, tile: int = 4096) -> DataFrame:
+    """`term_similarity` of `min_sim` or more, formed from the pairs that can reach it -> (term_a, term_b, sim).
+
+    If the shared values are a share `min_sim` of both terms' values, they are so of one of the two. Its ancestors, rarest
+    first, need to be looked up only until what is left of its values is below that share: a term near the root of many
+    terms meets no others through the root alone."""
+    sv = checkpointed(sv.select("term", "ancestor", "s"))
+    below = sv.groupBy("ancestor").agg(F.count("*").alias("_below"))
+    listed = sv.join(below, "ancestor").groupBy("term").agg(F.array_sort(F.collect_list(F.struct("_below", "ancestor", "s"))).alias("_l"), F.sum("s").alias("_sv"))
+    total = checkpointed(listed)
+    at = total.select("term", "_sv", F.posexplode("_l").alias("_at", "_e"), "_l")
+    before = F.aggregate(F.slice("_l", F.lit(1), F.col("_at")), F.lit(0.0), lambda acc, e: acc + e["s"])
+    # an ancestor is looked up while it and what follows hold enough
+    probes = at.filter(F.col("_sv") - before >= min_sim * F.col("_sv") - 1e-9).select(F.col("term").alias("x"), F.col("_e.ancestor").alias("ancestor"))
+    met = heavy_join(probes, sv.select(F.col("term").alias("y"), "ancestor"), ["ancestor"], "x", "y", tile).filter("x <> y")
+    pairs = met.select(F.greatest("x", "y").alias("term_a"), F.least("x", "y").alias("term_b")).distinct()
+    left = sv.select(F.col("term").alias("term_a"), "ancestor", F.col("s").alias("_sa"))
+    right = sv.select(F.col("term").alias("term_b"), "ancestor", F.col("s").alias("_sb"))
+    shared = pairs.join(left, "term_a").join(right, ["term_b", "ancestor"]).groupBy("term_a", "term_b").agg(F.sum(F.col("_sa") + F.col("_sb")).alias("_common"))
+    ta, tb = (total.select(F.col("term").alias(f"term_{c}"), F.col("_sv").alias(f"_v{c}")) for c in ("a", "b"))
+    sim = F.col("_common") / (F.col("_va") + F.col("_vb"))
+    return shared.join(ta, "term_a").join(tb, "term_b").select("term_a", "term_b", sim.alias("sim")).filter(F.round("sim", 12) >= min_sim)
+
+
 def roll_up_terms(ann: DataFrame, ancestors: DataFrame) -> DataFrame:
     """Annotations replaced by all ancestors of their term, the term itself included."""
     up = ancestors.select("term", F.col("ancestor").alias("_up"))

@@ -52,3 +52,22 @@ def block_cells(df: DataFrame, member: str, rows: int, block: int) -> DataFrame:
     return df.withColumn("_tile", F.pmod(F.xxhash64(member), F.lit(k)).cast("int")).withColumn(
         "_cell", F.explode(tile_cells(F.col("_tile"), F.lit(k)))
     )
+
+
+def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], left_member: str, right_member: str, tile: int = 4096) -> DataFrame:
+    """The inner join on `keys`, with keys of many rows cut into cells on both sides.
+
+    A key with m and n rows makes m times n; where a side has more than `tile` rows they are hashed into ceil(m / tile) and
+    ceil(n / tile) tiles, and a cell holds one tile of either side. Only heavy keys are looked up and only their rows are
+    sent to several cells, as many as the other side has tiles; every pair of rows meets in exactly one."""
+    counts = [df.groupBy(*keys).agg(F.count("*").alias(n)) for df, n in ((left, "_m"), (right, "_n"))]
+    parts = [F.greatest(F.lit(1), F.ceil(F.col(c) / tile)).cast("int") for c in ("_m", "_n")]
+    heavy = counts[0].join(counts[1], keys).filter((F.col("_m") > tile) | (F.col("_n") > tile)).select(*keys, parts[0].alias("_i"), parts[1].alias("_j"))
+
+    def cells(df: DataFrame, member: str, own: str, other: str) -> DataFrame:
+        k, many = (F.coalesce(c, F.lit(1)) for c in (own, other))
+        at = F.pmod(F.xxhash64(member), k).cast("int")
+        spread = df.join(heavy, keys, "left").withColumns({"_at": at, "_to": F.explode(F.sequence(F.lit(0), many - 1))})
+        return spread.withColumnsRenamed({"_at": f"_c{own}", "_to": f"_c{other}"}).drop("_i", "_j")
+
+    return cells(left, left_member, "_i", "_j").join(cells(right, right_member, "_j", "_i"), [*keys, "_c_i", "_c_j"]).drop("_c_i", "_c_j")

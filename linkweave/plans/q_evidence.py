@@ -52,6 +52,11 @@ def _(spark, sf):
     return A.spearman_pairs(_expression(spark, sf), 3, 0.1).withColumn("score", half_even("score", 9))
 
 
+@query("e02_strong_spearman_pairs", "SELECT a, b, round_even(r, 9) AS score FROM spearman WHERE abs(r) > 0.5", "spearman")
+def _(spark, sf):
+    return A.strong_spearman_pairs(_expression(spark, sf), 3, 0.5).withColumn("score", half_even("score", 9))
+
+
 def _monthly(spark, sf):
     """Supplier x day profiles with gaps: days without goods are missing."""
     li = table(spark, sf, "lineitem")
@@ -156,17 +161,16 @@ def _(spark, sf):
     return E.expand_complexes(P.interaction_rows(X.mitab(spark, sf)))
 
 
-@query(
-    "e06_genetic_profile_pairs",
-    """WITH m AS (SELECT p, s, avg(v) AS v FROM (SELECT greatest(l_suppkey, b) AS x, least(l_suppkey, b) AS y, v FROM
+_GENETIC = """WITH m AS (SELECT p, s, avg(v) AS v FROM (SELECT greatest(l_suppkey, b) AS x, least(l_suppkey, b) AS y, v FROM
                     (SELECT l_suppkey, c_nationkey + 1000000 AS b, l_discount - l_tax AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey))
                   , LATERAL (SELECT x AS p, y AS s UNION ALL SELECT y, x) GROUP BY p, s),
        c AS (SELECT x.p AS a, y.p AS b, x.v AS vx, y.v AS vy FROM m x JOIN m y ON x.s = y.s AND x.p > y.p),
        r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY round(vx, 9)) + (count(*) OVER (PARTITION BY a, b, round(vx, 9)) - 1) / 2 AS rx,
                     rank() OVER (PARTITION BY a, b ORDER BY round(vy, 9)) + (count(*) OVER (PARTITION BY a, b, round(vy, 9)) - 1) / 2 AS ry FROM c)
-       SELECT a, b, round_even(corr(rx, ry), 9) AS score FROM r GROUP BY ALL HAVING count(*) >= 5 AND corr(rx, ry) IS NOT NULL AND NOT isnan(corr(rx, ry))""",
-)
-def _(spark, sf):
+       SELECT a, b, round_even(corr(rx, ry), 9) AS score FROM r GROUP BY ALL HAVING count(*) >= 5 AND corr(rx, ry) IS NOT NULL AND NOT isnan(corr(rx, ry))"""
+
+
+def _genetic(spark, sf):
     li, o, c = (table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
     rows = (
         li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -174,8 +178,17 @@ def _(spark, sf):
         .select(F.col("l_suppkey").alias("a"), (F.col("c_nationkey") + 1000000).cast("long").alias("b"), (F.col("l_discount") - F.col("l_tax")).alias("score"))
     )
     # scores are means of two-digit numbers: equal means must tie whatever order they were added in
-    mean = rows.groupBy("a", "b").agg(F.round(F.avg("score"), 9).alias("score"))
-    return E.genetic_profile_pairs(mean).withColumn("score", half_even("score", 9))
+    return rows.groupBy("a", "b").agg(F.round(F.avg("score"), 9).alias("score"))
+
+
+@query("e06_genetic_profile_pairs", _GENETIC)
+def _(spark, sf):
+    return E.genetic_profile_pairs(_genetic(spark, sf)).withColumn("score", half_even("score", 9))
+
+
+@query("e06_strong_genetic_pairs", f"SELECT * FROM ({_GENETIC}) WHERE abs(score) > 0.30005")
+def _(spark, sf):
+    return E.genetic_profile_pairs(_genetic(spark, sf), min_abs=0.30005).withColumn("score", half_even("score", 9))
 
 
 @query(
@@ -224,22 +237,30 @@ def _(spark, sf):
     return j.groupBy("shared", half_even("score", 6).alias("score")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "e08_abundance_pairs_spearman",
-    """WITH m AS (SELECT l_suppkey AS id, o_orderpriority || l_returnflag AS s, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+_COABUNDANT = """WITH m AS (SELECT l_suppkey AS id, o_orderpriority || l_returnflag AS s, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
        c AS (SELECT x.id AS a, y.id AS b, x.v AS vx, y.v AS vy FROM m x JOIN m y ON x.s = y.s AND x.id > y.id),
        r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY vx) + (count(*) OVER (PARTITION BY a, b, vx) - 1) / 2 AS rx,
                     rank() OVER (PARTITION BY a, b ORDER BY vy) + (count(*) OVER (PARTITION BY a, b, vy) - 1) / 2 AS ry FROM c)
-       SELECT a, b, round_even(corr(rx, ry), 9) AS score FROM r GROUP BY ALL HAVING count(*) >= 5 AND corr(rx, ry) IS NOT NULL AND NOT isnan(corr(rx, ry))""",
-)
-def _(spark, sf):
+       SELECT a, b, round_even(corr(rx, ry), 9) AS score FROM r GROUP BY ALL HAVING count(*) >= 5 AND corr(rx, ry) IS NOT NULL AND NOT isnan(corr(rx, ry))"""
+
+
+def _supplies(spark, sf):
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    ab = (
+    return (
         li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("l_suppkey").alias("gene"), F.concat("o_orderpriority", "l_returnflag").alias("filename"))
         .agg(F.sum("l_quantity").alias("value"))
     )
-    return E.abundance_pairs(ab, "spearman").withColumn("score", half_even("score", 9))
+
+
+@query("e08_abundance_pairs_spearman", _COABUNDANT)
+def _(spark, sf):
+    return E.abundance_pairs(_supplies(spark, sf), "spearman").withColumn("score", half_even("score", 9))
+
+
+@query("e08_strong_abundance_pairs", f"SELECT * FROM ({_COABUNDANT}) WHERE abs(score) > 0.60005")
+def _(spark, sf):
+    return E.abundance_pairs(_supplies(spark, sf), "spearman", min_abs=0.60005).withColumn("score", half_even("score", 9))
 
 
 def _presence(spark, sf):
@@ -288,23 +309,28 @@ def nation_branches(spark, sf) -> pd.DataFrame:
     return pd.concat([leaf, top])
 
 
-@query(
-    "e10_phylo_pairs",
-    """WITH br AS (SELECT n_nationkey AS s, 'n' || n_nationkey AS branch, 1 + n_nationkey / 100 AS len FROM nation UNION ALL SELECT n_nationkey, 'r' || n_regionkey, 1 + n_regionkey / 100 FROM nation),
+_PHYLO = """WITH br AS (SELECT n_nationkey AS s, 'n' || n_nationkey AS branch, 1 + n_nationkey / 100 AS len FROM nation UNION ALL SELECT n_nationkey, 'r' || n_regionkey, 1 + n_regionkey / 100 FROM nation),
        ids AS (SELECT DISTINCT p FROM presence),
        cmp AS (SELECT x.p AS a, y.p AS b, s.n_nationkey AS s, (px.s IS NOT NULL)::INT + (py.s IS NOT NULL)::INT AS k
                FROM ids x JOIN ids y ON x.p > y.p CROSS JOIN nation s LEFT JOIN presence px ON px.p = x.p AND px.s = s.n_nationkey LEFT JOIN presence py ON py.p = y.p AND py.s = s.n_nationkey),
        brk AS (SELECT a, b, branch, any_value(len) AS len, max(k) AS k FROM cmp JOIN br USING (s) WHERE k > 0 GROUP BY a, b, branch),
        sums AS (SELECT a, b, sum(CASE WHEN k = 2 THEN len ELSE 0 END) AS pos, sum(CASE WHEN k = 1 THEN len ELSE 0 END) AS neg FROM brk GROUP BY a, b),
        cnt AS (SELECT a, b, count(*) FILTER (k = 2) AS n_both, count(*) FILTER (k > 0) AS n_total FROM cmp GROUP BY a, b)
-       SELECT a, b, round_even(ln((1 + pos) / (1 + neg)), 6) AS score, n_both, n_total FROM sums JOIN cnt USING (a, b)""",
-    "presence",
-)
+       SELECT a, b, round_even(ln((1 + pos) / (1 + neg)), 6) AS score, n_both, n_total FROM sums JOIN cnt USING (a, b)"""
+
+
+@query("e10_phylo_pairs", _PHYLO, "presence")
 def _(spark, sf):
     p = E.presence_profiles(_presence(spark, sf))
     return A.phylo_pairs(p, nation_branches(spark, sf)).withColumn("score", half_even("score", 6))
 
 
+@query("e10_close_phylo_pairs", _PHYLO.replace("SELECT a, b, round_even(", "SELECT * FROM (SELECT a, b, round_even(") + ") WHERE score >= 0.80005", "presence")
+def _(spark, sf):
+    p = E.presence_profiles(_presence(spark, sf))
+    return A.phylo_pairs(p, nation_branches(spark, sf), min_score=0.80005).withColumn("score", half_even("score", 6))
+
+
 def _edges(spark, sf):
     """nation -> region (is_a), part type -> region (part_of), region -> root, and a nation -> nation short cut."""
     n, r, c = table(spark, sf, "nation"), table(spark, sf, "region"), table(spark, sf, "customer")
@@ -344,6 +370,18 @@ def _(spark, sf):
     return E.term_similarity(_nation_sv(spark, sf)).withColumn("sim", half_even("sim", 6))
 
 
+@query(
+    "e12_close_terms",
+    _SV + """, sv AS (SELECT term, ancestor, max(s) AS s FROM up GROUP BY ALL), v AS (SELECT term, sum(s) AS sv FROM sv GROUP BY 1)
+       SELECT * FROM (SELECT x.term AS term_a, y.term AS term_b, round_even(sum(x.s + y.s) / (any_value(vx.sv) + any_value(vy.sv)), 6) AS sim FROM sv x JOIN sv y ON x.ancestor = y.ancestor AND x.term > y.term
+         JOIN v vx ON vx.term = x.term JOIN v vy ON vy.term = y.term GROUP BY 1, 2) WHERE sim >= 0.66005""",
+    "edges",
+)
+def _(spark, sf):
+    """All terms, leaves included."""
+    return E.close_terms(E.go_semantic_values(_edges(spark, sf)), 0.66005).withColumn("sim", half_even("sim", 6))
+
+
 def _nation_annotation(spark, sf):
     p = _presence(spark, sf)
     return p.select(F.col("protein").alias("protein_id"), F.concat(F.lit("n"), "other_species").alias("term")).distinct()
@@ -352,22 +390,25 @@ def _nation_annotation(spark, sf):
 view("nation_ann", "SELECT p AS g, 'n' || other AS t FROM buyers", "buyers")
 
 
-@query(
-    "e13_gene_similarity",
-    _TS + """, sym AS (SELECT term_a AS t, term_b AS u, sim FROM ts UNION ALL SELECT term_b, term_a, sim FROM ts UNION ALL SELECT DISTINCT t, t, 1.0::DOUBLE FROM nation_ann),
+_GENES = _TS + """, sym AS (SELECT term_a AS t, term_b AS u, sim FROM ts UNION ALL SELECT term_b, term_a, sim FROM ts UNION ALL SELECT DISTINCT t, t, 1.0::DOUBLE FROM nation_ann),
        best AS (SELECT x.g AS a, y.g AS b, x.t, max(sim) AS m FROM nation_ann x JOIN sym ON sym.t = x.t JOIN nation_ann y ON y.t = sym.u AND y.g <> x.g GROUP BY ALL),
        n AS (SELECT g, count(*) AS n FROM nation_ann GROUP BY 1)
-       SELECT greatest(a, b) AS a, least(a, b) AS b, round_even(sum(m) / any_value(nx.n + ny.n), 6) AS score FROM best JOIN n nx ON nx.g = a JOIN n ny ON ny.g = b GROUP BY 1, 2""",
-    "edges nation_ann",
-)
+       SELECT greatest(a, b) AS a, least(a, b) AS b, round_even(sum(m) / any_value(nx.n + ny.n), 6) AS score FROM best JOIN n nx ON nx.g = a JOIN n ny ON ny.g = b GROUP BY 1, 2"""
+
+
+@query("e13_gene_similarity", _GENES, "edges nation_ann")
 def _(spark, sf):
     sim = E.term_similarity(_nation_sv(spark, sf))
     return A.gene_similarity(_nation_annotation(spark, sf), sim).withColumn("score", half_even("score", 6))
 
 
-@query(
-    "e14_weighted_mi_pairs",
-    """WITH nt AS (SELECT t, count(*) AS n FROM nation_ann GROUP BY 1), tot AS (SELECT count(*) AS total, (SELECT count(*) FROM nt) AS nterms FROM nation_ann),
+@query("e13_similar_genes", _GENES.replace("SELECT greatest(a, b)", "SELECT * FROM (SELECT greatest(a, b)") + ") WHERE score >= 0.85005", "edges nation_ann")
+def _(spark, sf):
+    sim = E.term_similarity(_nation_sv(spark, sf))
+    return A.similar_genes(_nation_annotation(spark, sf), sim, 0.85005).withColumn("score", half_even("score", 6))
+
+
+_MI = """WITH nt AS (SELECT t, count(*) AS n FROM nation_ann GROUP BY 1), tot AS (SELECT count(*) AS total, (SELECT count(*) FROM nt) AS nterms FROM nation_ann),
        w AS (SELECT t, 1 - n / total AS w1, n / total AS w0 FROM nt, tot),
        ids AS (SELECT DISTINCT g FROM nation_ann),
        u AS (SELECT x.g AS a, y.g AS b, w.*, ax.t IS NOT NULL AS ha, ay.t IS NOT NULL AS hb FROM ids x JOIN ids y ON x.g > y.g CROSS JOIN w
@@ -376,13 +417,19 @@ def _(spark, sf):
              coalesce(sum(w1) FILTER (ha), 0) AS a1, coalesce(sum(w0) FILTER (NOT ha), 0) AS a0, coalesce(sum(w1) FILTER (hb), 0) AS b1, coalesce(sum(w0) FILTER (NOT hb), 0) AS b0 FROM u GROUP BY a, b)
        SELECT a, b, round_even(CASE WHEN s11 > 0 THEN s11 / nterms * log2(s11 * nterms / (a1 * b1)) ELSE 0 END
          + CASE WHEN s10 > 0 THEN s10 / nterms * log2(s10 * nterms / (a1 * b0)) ELSE 0 END
-         + CASE WHEN s01 > 0 THEN s01 / nterms * log2(s01 * nterms / (a0 * b1)) ELSE 0 END, 6) AS score FROM s, tot""",
-    "nation_ann",
-)
+         + CASE WHEN s01 > 0 THEN s01 / nterms * log2(s01 * nterms / (a0 * b1)) ELSE 0 END, 6) AS score FROM s, tot"""
+
+
+@query("e14_weighted_mi_pairs", _MI, "nation_ann")
 def _(spark, sf):
     return A.weighted_mi_pairs(_nation_annotation(spark, sf)).withColumn("score", half_even("score", 6))
 
 
+@query("e14_informative_pairs", _MI.replace("SELECT a, b, round_even(", "SELECT * FROM (SELECT a, b, round_even(") + ") WHERE score >= 2.00005", "nation_ann")
+def _(spark, sf):
+    return A.weighted_mi_pairs(_nation_annotation(spark, sf), min_score=2.00005).withColumn("score", half_even("score", 6))
+
+
 @query(
     "j19_roll_up_terms",
     f"""WITH e2 AS (SELECT * FROM edges WHERE child NOT LIKE 'c%'), {_NSV} SELECT DISTINCT g AS protein_id, ancestor AS term FROM nation_ann JOIN sv ON sv.term = t""",
