@@ -51,15 +51,18 @@ def ranged(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def scan(rows: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, how: str = "sum", backwards: bool = False) -> DataFrame:
     """Running `sum` or `min` of `value` per key up to and with each row of a `ranged` table (from it to the end if
-    `backwards`). A window runs inside one range of one key; what other ranges contribute is one row per key and range."""
-    agg = {"sum": F.sum, "min": F.min}[how]
+    `backwards`), or the `last` value that is not null. A window runs inside one range of one key; what other ranges
+    contribute is one row per key and range."""
+    agg = {"sum": F.sum, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}[how]
     first, last = (0, W.unboundedFollowing) if backwards else (W.unboundedPreceding, 0)
     inside = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(first, last)
     outside = W.partitionBy(*keys).orderBy("_range").rowsBetween(*((1, W.unboundedFollowing) if backwards else (W.unboundedPreceding, -1)))
     local = rows.withColumn("_local", agg(value).over(inside))
-    carried = rows.groupBy(*keys, "_range").agg(agg(value).alias("_all")).withColumn("_carried", agg("_all").over(outside))
+    whole_range = F.max_by(value, F.when(value.isNotNull(), F.struct(*order))) if how == "last" else agg(value)
+    carried = rows.groupBy(*keys, "_range").agg(whole_range.alias("_all")).withColumn("_carried", agg("_all").over(outside))
     both = local.alias("l").join(carried.alias("r"), _on([*keys, "_range"], "l", "r"))
-    whole = F.col("l._local") + F.coalesce("r._carried", F.lit(0)) if how == "sum" else F.least("l._local", "r._carried")
+    here, there = F.col("l._local"), F.col("r._carried")
+    whole = {"sum": here + F.coalesce(there, F.lit(0)), "min": F.least(here, there), "last": F.coalesce(here, there)}[how]
     return both.select("l.*", whole.alias(name)).drop("_local")
 
 

@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from linkweave import vocab
 from linkweave.functions.ordered import degree_bins
-from linkweave.functions.stats import hypergeom_tail, log_gamma, p_adjust, row_sums
+from linkweave.functions.stats import digamma, hypergeom_tail, log_gamma, p_adjust, row_sums, trigamma
 from linkweave.operators.pairs import degree, min_group_size, symmetric
 from linkweave.session import checkpointed
 
@@ -87,17 +87,108 @@ def mid_p(k: int, n: int, a: float, b: float) -> float:
     return float(mid_p_values(*(np.array([v], float) for v in (k, n, a, b)))[0])
 
 
-@F.pandas_udf(DoubleType())
-def _mid_p(k: pd.Series, n: pd.Series, m1: pd.Series, m2: pd.Series) -> pd.Series:
-    size, mean, square = n.to_numpy(float), m1.to_numpy(float), m2.to_numpy(float)
+def moment_fit(n: np.ndarray, mean: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parameters of the beta-binomials with these moments; -1 where none has them."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        divisor = size * (square / mean - mean - 1) + mean
-        a, b = (size * mean - square) / divisor, (size - mean) * (size - square / mean) / divisor
+        divisor = n * (square / mean - mean - 1) + mean
+        a, b = (n * mean - square) / divisor, (n - mean) * (n - square / mean) / divisor
         fits = (mean > 0) & (divisor != 0) & np.isfinite(a) & np.isfinite(b)
-        value = mid_p_values(k.to_numpy(float), size, np.where(fits, a, -1.0), np.where(fits, b, -1.0))
+    return np.where(fits, a, -1.0), np.where(fits, b, -1.0)
+
+
+MOST_LOG = 18.0  # of a parameter: what is drawn varies no more than a binomial
+
+
+def likelihood_fit(row: np.ndarray, value: np.ndarray, count: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Beta-binomial parameters of highest likelihood for many fits at once, by Newton steps on their logarithms from the
+    start (a, b). `value` was drawn `count` times in fit `row`, from 0 to n[row]. A step that gains nothing is halved; where
+    the likelihood is not concave the step follows the gradient."""
+    sums = lambda x: np.bincount(row, weights=count * x, minlength=len(n))
+    v, r = value, n[row]
+
+    def likelihood(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        p, q = np.exp(u)[row], np.exp(w)[row]
+        return sums(log_gamma(v + p) - log_gamma(p) + log_gamma(r - v + q) - log_gamma(q) - log_gamma(r + p + q) + log_gamma(p + q))
+
+    u, w = np.minimum(np.log(a), MOST_LOG), np.minimum(np.log(b), MOST_LOG)
+    now = likelihood(u, w)
+    for _ in range(rounds):
+        a, b = np.exp(u), np.exp(w)
+        p, q = a[row], b[row]
+        both1, both2 = digamma(p + q) - digamma(r + p + q), trigamma(p + q) - trigamma(r + p + q)
+        gu, gw = a * sums(digamma(v + p) - digamma(p) + both1), b * sums(digamma(r - v + q) - digamma(q) + both1)
+        huu = a * a * sums(trigamma(v + p) - trigamma(p) + both2) + gu
+        hww = b * b * sums(trigamma(r - v + q) - trigamma(q) + both2) + gw
+        huw = a * b * sums(both2)
+        det = huu * hww - huw * huw
+        concave = (huu < 0) & (det > 0)
+        safe = np.where(concave, det, 1.0)
+        scale = np.maximum(np.maximum(np.abs(gu), np.abs(gw)), 1e-300)
+        su = np.clip(np.where(concave, (huw * gw - hww * gu) / safe, gu / scale), -2, 2)
+        sw = np.clip(np.where(concave, (huw * gu - huu * gw) / safe, gw / scale), -2, 2)
+        step, done = np.ones(len(n)), np.zeros(len(n), bool)
+        for _ in range(30):
+            nu, nw = np.minimum(u + step * su, MOST_LOG), np.minimum(w + step * sw, MOST_LOG)
+            then = likelihood(nu, nw)
+            done = then >= now
+            if done.all():
+                break
+            step = np.where(done, step, step / 2)
+        gain = np.where(done, then - now, 0.0)
+        u, w, now = np.where(done, nu, u), np.where(done, nw, w), np.where(done, then, now)
+        if (gain <= 1e-10 * (1 + np.abs(now))).all():
+            break
+    return np.exp(u), np.exp(w)
+
+
+@F.pandas_udf(StructType([StructField("a", DoubleType()), StructField("b", DoubleType())]))
+def _fit(trials: pd.Series, draws: pd.Series, values: pd.Series, counts: pd.Series) -> pd.DataFrame:
+    """Of the drawn values that are not zero, with how often each was drawn; the other draws are zero."""
+    n, all_draws = trials.to_numpy(float), draws.to_numpy(float)
+    sizes = np.array([len(v) for v in values], int)
+    row = np.repeat(np.arange(len(n)), sizes)
+    value, count = (np.concatenate([np.asarray(x, float) for x in c]) if len(c) else np.zeros(0) for c in (values, counts))
+    total = lambda x: np.bincount(row, weights=x, minlength=len(n))
+    a, b = moment_fit(n, total(count * value) / all_draws, total(count * value * value) / all_draws)
+    # drawn values above the trials, or moments no beta-binomial has: no fit
+    good = np.nonzero((a > 0) & (b > 0) & (total(count * (value > n[row])) == 0))[0]
+    if len(good):
+        place = np.full(len(n), -1)
+        place[good] = np.arange(len(good))
+        mine = place[row] >= 0
+        rows = np.concatenate([place[row[mine]], np.arange(len(good))])
+        zeros = (all_draws - total(count))[good]
+        a[good], b[good] = likelihood_fit(rows, np.concatenate([value[mine], np.zeros(len(good))]), np.concatenate([count[mine], zeros]), n[good], a[good], b[good])
+    return pd.DataFrame({"a": a, "b": b})
+
+
+@F.pandas_udf(DoubleType())
+def _mid_p(k: pd.Series, n: pd.Series, m1: pd.Series, m2: pd.Series) -> pd.Series:
+    size = n.to_numpy(float)
+    value = mid_p_values(k.to_numpy(float), size, *moment_fit(size, m1.to_numpy(float), m2.to_numpy(float)))
     return pd.Series(np.where(np.isnan(value), 1.0, value))
 
 
+@F.pandas_udf(DoubleType())
+def _mid_p_of_fit(k: pd.Series, n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    value = mid_p_values(*(c.to_numpy(float) for c in (k, n, a, b)))
+    return pd.Series(np.where(np.isnan(value), 1.0, value))
+
+
+def _trials() -> Column:
+    return F.col("_q") * F.col("_p") - F.least("_q", "_p")
+
+
+def refined_fits(random: DataFrame, draws: int, query_sizes: DataFrame, pathway_sizes: DataFrame) -> DataFrame:
+    """(query_id, pathway_id, a, b): beta-binomials of highest likelihood for the crosstalk of drawn sets (query_id, draw,
+    pathway_id, n) without zero rows. A fit holds at most `draws` values. Moments that no beta-binomial has give a = -1."""
+    often = random.groupBy("query_id", "pathway_id", "n").agg(F.count("*").alias("c"))
+    lists = often.groupBy("query_id", "pathway_id").agg(F.collect_list(F.struct("n", "c")).alias("_l"))
+    sized = lists.join(query_sizes.select("query_id", F.col("n").alias("_q")), "query_id").join(pathway_sizes.select("pathway_id", F.col("n").alias("_p")), "pathway_id")
+    fit = _fit(_trials().cast("double"), F.lit(float(draws)), F.col("_l.n").cast("array<double>"), F.col("_l.c").cast("array<double>"))
+    return sized.select("query_id", "pathway_id", fit.alias("_f")).select("query_id", "pathway_id", "_f.a", "_f.b")
+
+
 def drawn_moments(random: DataFrame, draws: int) -> DataFrame:
     """(query_id, pathway_id, m1, m2) of the crosstalk of drawn sets (query_id, draw, pathway_id, n) without zero rows."""
     return random.groupBy("query_id", "pathway_id").agg((F.sum("n") / F.lit(draws)).alias("m1"), (F.sum(F.col("n") * F.col("n")) / F.lit(draws)).alias("m2"))
@@ -117,16 +208,20 @@ def exact_moments(query: DataFrame, bins: DataFrame, talk: DataFrame) -> DataFra
     return total.select("query_id", "pathway_id", "m1", (F.col("_v") + F.col("m1") * F.col("m1")).alias("m2"))
 
 
-def crosstalk_test(observed: DataFrame, moments: DataFrame, query_sizes: DataFrame, pathway_sizes: DataFrame) -> DataFrame:
+def crosstalk_test(observed: DataFrame, moments: DataFrame, query_sizes: DataFrame, pathway_sizes: DataFrame, fits: DataFrame | None = None) -> DataFrame:
     """Network crosstalk against degree-matched sets: (query_id, pathway_id, n, expected, p, fdr, fwer).
 
     The two moments of matched sets (query_id, pathway_id, m1, m2) fix a beta-binomial with
-    n = |query| * |pathway| - min(|query|, |pathway|). No fit gives p = 1."""
+    n = |query| * |pathway| - min(|query|, |pathway|), unless its parameters (query_id, pathway_id, a, b) are given. No fit
+    gives p = 1."""
     keys = ["query_id", "pathway_id"]
     every = every_pathway(query_sizes.select("query_id", F.col("n").alias("_q")), pathway_sizes)
     sized = every.join(observed, keys, "left").join(moments, keys, "left").fillna(0, ["n", "m1", "m2"])
-    trials = F.col("_q") * F.col("_p") - F.least("_q", "_p")
-    p = _mid_p(F.col("n"), trials, F.col("m1"), F.col("m2"))
+    if fits is None:
+        p = _mid_p(F.col("n"), _trials(), F.col("m1"), F.col("m2"))
+    else:
+        sized = sized.join(fits.select(*keys, F.col("a").alias("_a"), F.col("b").alias("_b")), keys, "left").fillna(-1.0, ["_a", "_b"])
+        p = _mid_p_of_fit(F.col("n"), _trials(), F.col("_a"), F.col("_b"))
     tested = sized.select("query_id", "pathway_id", "n", F.col("m1").alias("expected"), p.alias("p"))
     return p_adjust(tested, ["query_id"])
 
@@ -167,19 +262,25 @@ def combine_enrichment(crosstalk_result: DataFrame, ease_result: DataFrame, max_
 
 
 def crosstalk_enrichment(
-    links: DataFrame, query: DataFrame, pathways: DataFrame, draws: int | None = None, seed: int = 9606, ppv: float = vocab.ENRICHMENT_PPV
+    links: DataFrame, query: DataFrame, pathways: DataFrame, draws: int | None = None, seed: int = 9606, ppv: float = vocab.ENRICHMENT_PPV, refine: bool = False
 ) -> DataFrame:
-    """The network test for a batch of gene sets: bins and crosstalk once, then moments, exact ones or those of `draws` sets."""
+    """The network test for a batch of gene sets: bins and crosstalk once, then moments, exact ones or those of `draws` sets.
+    With `refine` the moments of the draws are the start of a fit by likelihood."""
     bins = checkpointed(network_bins(links, ppv))
     talk = checkpointed(crosstalk(links, pathways, ppv))
     inside = query.join(bins.select(F.col("node").alias("gene")), "gene", "left_semi")
     sizes = network_pathways(links, pathways, ppv).groupBy("pathway_id").agg(F.count("*").alias("n"))
     q_sizes = inside.groupBy("query_id").agg(F.count("*").alias("n"))
+    fits = None
     if draws is None:
+        if refine:
+            raise ValueError("a fit by likelihood needs draws")
         moments = exact_moments(inside, bins, talk)
     else:
-        moments = drawn_moments(summed_crosstalk(matched_samples(inside, bins, draws, seed), talk, ["query_id", "draw"]), draws)
-    return crosstalk_test(summed_crosstalk(inside, talk, ["query_id"]), moments, q_sizes, sizes)
+        random = checkpointed(summed_crosstalk(matched_samples(inside, bins, draws, seed), talk, ["query_id", "draw"]))
+        moments = drawn_moments(random, draws)
+        fits = refined_fits(random, draws, q_sizes, sizes) if refine else None
+    return crosstalk_test(summed_crosstalk(inside, talk, ["query_id"]), moments, q_sizes, sizes, fits)
 
 
 def enrichment(

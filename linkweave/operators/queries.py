@@ -12,6 +12,7 @@ from linkweave import vocab
 from linkweave.functions.columns import genes_of_text, half_even, ppv_of_fbs, scientific
 from linkweave.functions.stats import hypergeom_tail, p_adjust
 from linkweave.operators.pairs import indegree, keep_pairs, symmetric, top_per_key
+from linkweave.operators.tiles import heavy_join
 from linkweave.session import checkpointed, small_side
 
 PARTS = 64  # of one query's rows when the best are taken
@@ -33,18 +34,28 @@ def resolve_genes(names: DataFrame, id_mapping: DataFrame) -> DataFrame:
     return hit.withColumn("status", F.when(n == 0, "missing").when(n == 1, "found").otherwise("multi"))
 
 
-def suggest_genes(names: DataFrame, id_mapping: DataFrame, min_length: int = 3) -> DataFrame:
-    """Identifiers that contain a typed name, exact ones first: (name, mapped_id, protein_id, rank).
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of `size` letters; none of a shorter text."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
 
-    Identifiers are cut into their distinct substrings of the first `min_length` characters of a name and
-    joined on those, then checked: a substring search without comparing every name to every identifier."""
-    typed = names.select("name").distinct().filter(F.length("name") >= min_length)
-    typed = typed.withColumn("_l", F.lower("name")).withColumn("_gram", F.substring("_l", 1, min_length))
+
+def suggest_genes(names: DataFrame, id_mapping: DataFrame, tile: int = 4096) -> DataFrame:
+    """Identifiers that contain a typed name, exact ones first: (name, mapped_id, protein_id, rank). Empty names find nothing.
+
+    An index holds the identifiers under their runs of one, two and three letters. A name is looked up under the one of its
+    runs of three letters that fewest identifiers have, or as it is if it is shorter; what is found is checked. Runs
+    that are in very many identifiers are cut into tiles."""
+    typed = names.select("name").distinct().withColumn("_l", F.lower("name")).filter(F.length("_l") > 0)
+    own = F.when(F.length("_l") >= 3, _grams(F.col("_l"), 3)).otherwise(F.array("_l"))
+    asked = typed.select("name", "_l", F.explode(own).alias("_gram"))
     low = F.lower(F.col("mapped_id"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(low) - min_length + 1, F.lit(1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(min_length))))
-    ids = id_mapping.select("mapped_id", "protein_id").distinct().withColumn("_gram", F.explode(grams))
-    hit = typed.join(ids, "_gram").filter(F.contains(F.lower("mapped_id"), F.col("_l")))
+    every = F.concat(*[_grams(low, n) for n in (1, 2, 3)])
+    held = id_mapping.filter("mapped_id IS NOT NULL").select("mapped_id", "protein_id").distinct().withColumn("_gram", F.explode(every))
+    index = checkpointed(held.join(asked.select("_gram").distinct(), "_gram", "left_semi"))
+    often = asked.join(index.groupBy("_gram").agg(F.count("*").alias("_n")), "_gram", "left")
+    rarest = often.groupBy("name", "_l").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    hit = heavy_join(rarest, index, ["_gram"], "name", "mapped_id", tile).filter(F.contains(F.lower("mapped_id"), F.col("_l")))
     rank = F.when(F.lower("mapped_id") == F.col("_l"), 0).otherwise(1)
     return hit.select("name", "mapped_id", "protein_id", rank.alias("rank")).distinct()
 

@@ -425,9 +425,9 @@ def _(spark, sf):
     return A.weighted_mi_pairs(_nation_annotation(spark, sf)).withColumn("score", half_even("score", 6))
 
 
-@query("e14_informative_pairs", _MI.replace("SELECT a, b, round_even(", "SELECT * FROM (SELECT a, b, round_even(") + ") WHERE score >= 2.00005", "nation_ann")
+@query("e14_informative_pairs", _MI.replace("SELECT a, b, round_even(", "SELECT * FROM (SELECT a, b, round_even(") + ") WHERE score >= 0.22005", "nation_ann")
 def _(spark, sf):
-    return A.weighted_mi_pairs(_nation_annotation(spark, sf), min_score=2.00005).withColumn("score", half_even("score", 6))
+    return A.weighted_mi_pairs(_nation_annotation(spark, sf), min_score=0.22005).withColumn("score", half_even("score", 6))
 
 
 @query(

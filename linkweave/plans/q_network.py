@@ -74,6 +74,19 @@ def _(spark, sf):
     return R.suggest_genes(li.select(name.alias("name")).distinct(), X.id_mapping(spark, sf))
 
 
+@query(
+    "r03_suggest_short_names",
+    """SELECT DISTINCT name, mapped_id, protein_id, (lower(mapped_id) <> lower(name))::INT AS rank FROM
+         (SELECT l_linenumber::VARCHAR AS name FROM lineitem UNION SELECT left(n_name, 2) FROM nation UNION SELECT left(o_orderpriority, 1) FROM orders) JOIN id_mapping ON contains(lower(mapped_id), lower(name))""",
+    "id_mapping",
+)
+def _(spark, sf):
+    # one and two letters: line numbers, beginnings of nations and of priorities
+    li, n, o = (table(spark, sf, t) for t in ("lineitem", "nation", "orders"))
+    names = [li.select(F.col("l_linenumber").cast("string")), n.select(F.substring("n_name", 1, 2)), o.select(F.substring("o_orderpriority", 1, 1))]
+    return R.suggest_genes(names[0].union(names[1]).union(names[2]).toDF("name"), X.id_mapping(spark, sf))
+
+
 # --- links -----------------------------------------------------------------------------------
 
 view(
@@ -502,6 +515,11 @@ def _(spark, sf):
     return E.crosstalk_enrichment(X.net(spark, sf), _type_sets(spark, sf), _pathways(spark, sf))
 
 
+@query("x03_refined_crosstalk_test")
+def _(spark, sf):
+    return E.crosstalk_enrichment(X.net(spark, sf), _sets(spark, sf), _pathways(spark, sf), draws=100, refine=True)
+
+
 @query("x07_combine_enrichment")
 def _(spark, sf):
     # the sets are random, so the report keeps every pathway instead of the significant ones

@@ -7,9 +7,10 @@ cut by column position, so only the wanted fields leave the scan; every file in
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkweave.functions.ordered import ranged, scan
+
 # UniProt idmapping types that are kept, and their names in the mapping table.
 ID_TYPES = {
     "Gene_Name": "Gene_Symbol",
@@ -346,10 +347,10 @@ def read_kgml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def parse_pathway_index(lines: DataFrame) -> DataFrame:
     """Hierarchy lines (`line_no`, `value`) -> (pathway_id, name, class): `A` lines open a class, `C` lines are
-    pathways. The hierarchy is a small text file whose order carries the meaning."""
+    pathways. The order carries the meaning: lines are read in ranges, each with the class that was open before it."""
     opened = F.when(F.col("value").startswith("A"), F.regexp_extract("value", r"^A(?:<b>|\d+\s+)?([^<]*)", 1))
-    w = W.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    rows = lines.withColumn("class", F.last(opened, ignorenulls=True).over(w)).filter(F.col("value").startswith("C"))
+    order = [F.col("line_no")]
+    rows = scan(ranged(lines, [], order), [], order, opened, "class", "last").filter(F.col("value").startswith("C"))
     pattern = r"^C\s+(\S+)\s*(.*)$"
     return rows.select(F.regexp_extract("value", pattern, 1).alias("pathway_id"), F.trim(F.regexp_extract("value", pattern, 2)).alias("name"), F.trim("class").alias("class"))
 

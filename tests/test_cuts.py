@@ -1,13 +1,17 @@
-"""Pairs above a cut against all pairs, and joins on heavy keys against plain joins."""
+"""Pairs above a cut against all pairs, joins on heavy keys against plain joins, fits by likelihood, and reading in ranges."""
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from linkweave.functions import stats as S
 from linkweave.operators import allpairs as A
+from linkweave.operators import enrichment
 from linkweave.operators import evidence as E
+from linkweave.operators import queries as R
 from linkweave.operators import tiles
+from linkweave.sources import readers
 
 
 def above(df, cut, score="score", keys=("a", "b")):
@@ -128,3 +132,56 @@ def test_a_domain_of_half_of_all_proteins(spark):
                     want.add((max(a, b), min(a, b), r["score"]))
     got = E.domain_pairs(ddi, hits)
     assert {(r["a"], r["b"], r["score"]) for r in got.collect()} == want
+
+
+def test_names_of_any_length_are_found_by_their_rarest_run(spark):
+    ids = [("Gene1", 1), ("gene12", 2), ("sup:1", 3), ("x", 4), ("", 5), (None, 6), ("Gene1", 1)] + [(f"hot{i}", 100 + i) for i in range(40)]
+    names = ["g", "GE", "gene1", "Gene12", "hot", "ot3", "x", "zz", "", None, "1"]
+    got = R.suggest_genes(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(ids, "mapped_id string, protein_id long"), tile=5)
+    want = {(n, m, p, int(m.lower() != n.lower())) for n in names if n for m, p in ids if m is not None and n.lower() in m.lower()}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_classes_are_carried_over_ranges(spark):
+    lines = ["C early none"] + [x for k in range(6) for x in [f"A<b>class {k}</b>", "B other", *(f"C    {k}{i:02d} path {i}" for i in range(k * 9))]]
+    table = spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")
+    plan = readers.parse_pathway_index(table)
+    want = [("early", "none", None)] + [(f"{k}{i:02d}", f"path {i}", f"class {k}") for k in range(6) for i in range(k * 9)]
+    assert sorted(map(tuple, plan.collect()), key=str) == sorted(want, key=str)
+
+
+def test_digamma_and_trigamma_are_derivatives():
+    x, d = np.array([0.3, 1.0, 2.5, 40.0]), 1e-4
+    assert np.allclose(S.digamma(x), (S.log_gamma(x + d) - S.log_gamma(x - d)) / (2 * d), atol=1e-6)
+    assert np.allclose(S.trigamma(x), (S.digamma(x + d) - S.digamma(x - d)) / (2 * d), atol=1e-5)
+
+
+def test_likelihood_fits_are_the_highest():
+    """No point of a grid around a fit is likelier, and the parameters of many draws come back."""
+    rng = np.random.default_rng(17)
+    true = [(2.0, 9.0, 50), (0.6, 3.0, 200), (30.0, 4.0, 20)]
+    drawn = [rng.binomial(n, rng.beta(a, b, 3000)) for a, b, n in true]
+    row = np.repeat(np.arange(3), 3000)
+    value, n = np.concatenate(drawn).astype(float), np.array([float(t[2]) for t in true])
+    start = enrichment.moment_fit(n, np.array([d.mean() for d in drawn]), np.array([(d * d).mean() for d in drawn]))
+    a, b = enrichment.likelihood_fit(row, value, np.ones(len(row)), n, *start)
+    for i, (ta, tb, _) in enumerate(true):
+        v = drawn[i]
+        fit = lambda p, q: float(np.sum(S.log_gamma(v + p) + S.log_gamma(n[i] - v + q) - S.log_gamma(n[i] + p + q)) + len(v) * (S.log_gamma(p + q) - S.log_gamma(p) - S.log_gamma(q)))  # noqa: E731, B023
+        best = fit(a[i], b[i])
+        assert all(fit(a[i] * s, b[i] * t) <= best + 1e-6 for s in (0.99, 1, 1.01) for t in (0.99, 1, 1.01))
+        assert abs(a[i] / ta - 1) < 0.15 and abs(b[i] / tb - 1) < 0.15
+
+
+def test_refined_fits_by_rows(spark):
+    """Zero draws count; values that vary no more than a binomial have no start and no fit."""
+    rng = np.random.default_rng(19)
+    wide, even = rng.binomial(28, rng.beta(1.5, 6, 400)), np.full(400, 7)
+    rows = [("q", d, p, int(v)) for p, values in (("wide", wide), ("even", even)) for d, v in enumerate(values) if v]
+    sizes = lambda key, rows: spark.createDataFrame(rows, f"{key} string, n long")
+    fits = enrichment.refined_fits(spark.createDataFrame(rows, "query_id string, draw int, pathway_id string, n long"), 400, sizes("query_id", [("q", 4)]), sizes("pathway_id", [("wide", 8), ("even", 8)]))
+    got = {r["pathway_id"]: (r["a"], r["b"]) for r in fits.collect()}
+    n = np.array([28.0])
+    start = enrichment.moment_fit(n, np.array([wide.mean()]), np.array([(wide * wide).mean()]))
+    a, b = enrichment.likelihood_fit(np.zeros(400, int), wide.astype(float), np.ones(400), n, *start)
+    assert np.allclose(got["wide"], (a[0], b[0]), rtol=1e-3) and min(got["even"]) < 0
