@@ -10,7 +10,9 @@ Large groups of near copies are not expanded into all pairs. Documents are first
 of hubs each set is compared to one other: the sets under a prefix shingle have one of them as their hub, and a set takes
 the hub that it shares most shingles with. Verified links merge sets into components. Rounds
 go on with other hubs while many pairs lie across components and their number falls by a fifth or more. Then all pairs across
-components are compared, so no link between two components is lost. The result is the components: links within a component are
+components are compared that can be similar, so no link between two components is lost: a pair is formed under a shingle only if
+both sets have enough shingles left from there on for it to be their first common one, and very common shingles, which stand
+late in most prefixes, are cut into cells of the sizes and ends that fit each other. The result is the components: links within a component are
 not all computed nor listed, and `on_links` gets a connecting part of them.
 
 Defined cases: a null text, an empty text or one of white space has no shingles and is linked with nothing; a
@@ -36,8 +38,9 @@ from linkweave.session import discard, staged
 SKETCH_BITS = 23
 CHUNK_BITS = 14  # cells of the sketch that travel as one row
 BROADCAST_IDS = 500_000
-MOST_PAIRS = 8  # for each posting: what is compared in the end without another round of hubs
+MOST_PAIRS = 8  # for each posting: what may meet in the end without another round of hubs
 MOST_MATCHES = 4
+HEAVY = 16  # components; shingles of more are cut into cells
 VERIFY_COST = 0.05  # of comparing one shingle of a candidate, against reading one posting
 
 
@@ -173,11 +176,10 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, sets:
     return staged(texts.mapInArrow(run, "node long, shingles array<long>"))
 
 
-def _matching(pairs: DataFrame, every_shingle: bool) -> DataFrame:
+def _matching(pairs: DataFrame) -> DataFrame:
     """Pairs that share as many prefix shingles as they have to.
 
-    `pairs` has node and at of either set (suffixes 1 and 2), a row per common prefix shingle: for all that a pair has,
-    or only for those whose hub is one of the pair."""
+    `pairs` has node and at of either set (suffixes 1 and 2), a row per common prefix shingle whose hub is one of the pair."""
     parts = pairs.selectExpr(
         "node1", "node2", "at1 >> 34 AS n1", "at2 >> 34 AS n2", "at1 >> 4 & 1073741823 AS pos1", "at2 >> 4 & 1073741823 AS pos2", "least(at1 & 15, at2 & 15) AS m"
     ).filter("5 * least(n1, n2) >= 4 * greatest(n1, n2)")
@@ -186,13 +188,7 @@ def _matching(pairs: DataFrame, every_shingle: bool) -> DataFrame:
     longer = "(n1 > n2 OR (n1 = n2 AND node1 > node2))"
     inside = "pos{0} < n{0} - " + "(CASE WHEN {1} THEN (4 * n{0} + 4) div 5 ELSE (8 * n{0} + 8) div 9 END) + m"
     kept = room.filter(inside.format(1, longer)).filter(inside.format(2, f"NOT {longer}"))
-    first = [F.first(c).alias(c) for c in ("m", "n1", "n2")]
-    ends = [f(f"pos{i}").alias(f"{n}{i}") for n, f in (("low", F.min), ("high", F.max)) for i in (1, 2)]
-    counted = kept.groupBy("node1", "node2").agg(F.count("*").alias("shared"), *first, *ends).filter("shared >= m")
-    if every_shingle:
-        # nothing is shared before the first common shingle, and up to the last one what was counted
-        counted = counted.filter("9 * least(n1 - low1, n2 - low2) >= 4 * (n1 + n2)")
-        counted = counted.filter("9 * (shared + least(n1 - high1, n2 - high2) - 1) >= 4 * (n1 + n2)")
+    counted = kept.groupBy("node1", "node2").agg(F.count("*").alias("shared"), F.first("m").alias("m")).filter("shared >= m")
     return counted.select("node1", "node2", "shared")
 
 
@@ -247,18 +243,59 @@ def _hub_pairs(spread: DataFrame, turn: int) -> DataFrame:
     return _sides(hubs, 1).join(_sides(spread, 2), "token").filter("comp1 <> comp2")
 
 
+def _spread(postings: DataFrame, comps: DataFrame) -> DataFrame:
+    """The postings with their set's component, of shingles that several components hold; `heavy` are those of many."""
+    known = postings.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    holders = known.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("k"))
+    several = holders.filter("k > 1").select("token", (F.col("k") > HEAVY).alias("heavy"))
+    return staged(known.join(several, "token"))
+
+
+def _band(size: str) -> str:
+    """Number of a size's band: the size itself up to 32, then steps of a twentieth."""
+    return f"IF({size} <= 32, {size}, 32 + CAST(FLOOR(LN({size} / 32) / LN(1.05)) AS BIGINT))"
+
+
+def _roles(spread: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings (token, cell, comp, node, n, top) that can be the first common shingle of a pair: of its smaller set, and of its larger.
+
+    Nothing is shared before the first common shingle, so a set of n shingles that has it at `pos` has partners of at most
+    top = (5 n - 9 pos) / 4 shingles there. The smaller set's top must reach the larger one's n, the larger one's top the smaller one's
+    n. Under heavy shingles sets meet in cells, bands of the larger one's n and of the least of its n and its top."""
+    rows = spread.selectExpr("token", "heavy", "comp", "node", "at >> 34 AS n", "(5 * (at >> 34) - 9 * (at >> 4 & 1073741823)) div 4 AS top")
+    low, high = _band("n"), _band("top")
+    cells = f"FLATTEN(TRANSFORM(SEQUENCE({low}, {high}), x -> TRANSFORM(SEQUENCE({low}, x), y -> x * 65536 + y)))"
+    names = ("token", "cell", "comp", "node", "n", "top")
+    smaller = rows.filter("top >= n").withColumn("cell", F.explode(F.expr(f"IF(heavy, {cells}, ARRAY(0L))"))).select(*names)
+    larger = rows.filter("5 * top >= 4 * n").withColumn("top", F.least("n", "top"))
+    return smaller, larger.withColumn("cell", F.expr(f"IF(heavy, {low} * 65536 + {high}, 0L)")).select(*names)
+
+
 def _cross_pairs(spread: DataFrame) -> DataFrame:
-    """Every two sets of different components under a shingle; components are paired first, then their sets."""
-    groups = spread.select("token", "comp").distinct()
-    pairs = groups.withColumnRenamed("comp", "comp1").join(groups.withColumnRenamed("comp", "comp2"), "token").filter("comp1 < comp2")
-    return pairs.join(_sides(spread, 1), ["token", "comp1"]).join(_sides(spread, 2), ["token", "comp2"])
+    """The pairs of sets of different components that may be similar, by the first shingle they share; components are
+    paired first, then their sets. Of these, the pairs that share as many prefix shingles as they have to."""
+    smaller, larger = _roles(spread)
+    keys = ["token", "cell"]
+    ends = F.min("n").alias("low"), F.max("top").alias("high")
+    one, two = (r.groupBy(*keys, "comp").agg(*ends).toDF(*keys, *[f"{c}{i}" for c in ("comp", "low", "high")]) for i, r in ((1, smaller), (2, larger)))
+    groups = one.join(two, keys).filter("comp1 <> comp2 AND low1 <= high2 AND low2 <= high1").drop("low1", "high1")
+    first, second = (r.toDF(*keys, *[f"{c}{i}" for c in ("comp", "node", "n", "top")]) for i, r in ((1, smaller), (2, larger)))
+    sets = groups.join(first, [*keys, "comp1"]).filter("n1 <= high2 AND low2 <= top1").drop("low2", "high2")
+    both = sets.join(second, [*keys, "comp2"]).filter("n1 <= top2 AND n2 <= top1 AND (n1 < n2 OR node1 < node2)")
+    pairs = staged(both.select("node1", "node2").distinct())
+    nodes = pairs.select(F.explode(F.array("node1", "node2")).alias("node")).distinct()
+    prefixes = spread.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("prefix"), F.max(F.expr("at & 15")).alias("m"))
+    sides = [prefixes.toDF(f"node{i}", f"prefix{i}", f"m{i}") for i in (1, 2)]
+    enough = F.size(F.array_intersect("prefix1", "prefix2")) >= F.least("m1", "m2")
+    return pairs.join(sides[0], "node1").join(sides[1], "node2").filter(enough).select("node1", "node2")
 
 
 def _work(spread: DataFrame) -> tuple[float, float]:
-    """Postings, and pairs across components under a common shingle."""
-    sizes = spread.groupBy("token", "comp").agg(F.count("*").cast("double").alias("k"))
-    whole = sizes.groupBy("token").agg(F.sum("k").alias("c"), F.sum(F.col("k") * F.col("k")).alias("s"))
-    row = whole.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("s")) / 2)).first()
+    """Postings that can be a pair's first common shingle, and pairs across components that meet under one."""
+    smaller, larger = (r.select("token", "cell", "comp", F.lit(s).alias("s"), F.lit(1 - s).alias("l")) for s, r in zip((1.0, 0.0), _roles(spread), strict=True))
+    sizes = smaller.unionAll(larger).groupBy("token", "cell", "comp").agg(F.sum("s").alias("s"), F.sum("l").alias("l"))
+    whole = sizes.groupBy("token", "cell").agg(F.sum("s").alias("s"), F.sum("l").alias("l"), F.sum(F.expr("s * l")).alias("same"))
+    row = whole.agg(F.sum(F.expr("s + l")), F.sum(F.expr("s * l - same"))).first()
     return row[0] or 0.0, row[1] or 0.0
 
 
@@ -279,17 +316,17 @@ def jaccard_components(
             on_links(found)
         return found
 
-    links = linked(_best_hub(_matching(_hub_pairs(postings.withColumn("comp", F.col("node")), 0), False)))
+    links = linked(_best_hub(_matching(_hub_pairs(postings.withColumn("comp", F.col("node")), 0))))
     turn, before = 1, float("inf")
     while True:
         comps = components(links)
-        known = staged(postings.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        known = _spread(postings, comps)
         left, across = _work(known)
         if across <= MOST_PAIRS * left or across > 0.8 * before:
             break
-        links = links.unionAll(linked(_best_hub(_matching(_hub_pairs(known, turn), False))))
+        links = links.unionAll(linked(_best_hub(_matching(_hub_pairs(known, turn)))))
         turn, before = turn + 1, across
-    rest = linked(_matching(_cross_pairs(known), True).drop("shared"))
+    rest = linked(_cross_pairs(known))
     if not rest.isEmpty():
         comps = components(links.unionAll(rest))
     rows = sets.filter("chunk is null")
