@@ -271,31 +271,37 @@ def _roles(spread: DataFrame) -> tuple[DataFrame, DataFrame]:
     return smaller, larger.withColumn("cell", F.expr(f"IF(heavy, {low} * 65536 + {high}, 0L)")).select(*names)
 
 
-def _cross_pairs(spread: DataFrame) -> DataFrame:
-    """The pairs of sets of different components that may be similar, by the first shingle they share; components are
-    paired first, then their sets. Of these, the pairs that share as many prefix shingles as they have to."""
+def _meetings(spread: DataFrame) -> DataFrame:
+    """(token, cell, comp): how many postings a component has there in either role, and between which sizes."""
     smaller, larger = _roles(spread)
+    both = smaller.withColumn("first", F.lit(True)).unionAll(larger.withColumn("first", F.lit(False)))
+    sums = [a for i, role in ((1, F.col("first")), (2, ~F.col("first"))) for a in (F.count_if(role).alias(f"k{i}"), F.min(F.when(role, F.col("n"))).alias(f"low{i}"), F.max(F.when(role, F.col("top"))).alias(f"high{i}"))]
+    return staged(both.groupBy("token", "cell", "comp").agg(*sums))
+
+
+def _cross_pairs(spread: DataFrame, meetings: DataFrame) -> DataFrame:
+    """The pairs of sets of different components that may be similar, by the first shingle they share; components are
+    paired first, then their sets. Of these, the pairs whose prefixes share as much as they have to."""
     keys = ["token", "cell"]
-    ends = F.min("n").alias("low"), F.max("top").alias("high")
-    one, two = (r.groupBy(*keys, "comp").agg(*ends).toDF(*keys, *[f"{c}{i}" for c in ("comp", "low", "high")]) for i, r in ((1, smaller), (2, larger)))
+    one, two = (meetings.filter(f"k{i} > 0").select(*keys, F.col("comp").alias(f"comp{i}"), f"low{i}", f"high{i}") for i in (1, 2))
     groups = one.join(two, keys).filter("comp1 <> comp2 AND low1 <= high2 AND low2 <= high1").drop("low1", "high1")
-    first, second = (r.toDF(*keys, *[f"{c}{i}" for c in ("comp", "node", "n", "top")]) for i, r in ((1, smaller), (2, larger)))
+    first, second = (r.toDF(*keys, *[f"{c}{i}" for c in ("comp", "node", "n", "top")]) for i, r in enumerate(_roles(spread), 1))
     sets = groups.join(first, [*keys, "comp1"]).filter("n1 <= high2 AND low2 <= top1").drop("low2", "high2")
     both = sets.join(second, [*keys, "comp2"]).filter("n1 <= top2 AND n2 <= top1 AND (n1 < n2 OR node1 < node2)")
-    pairs = staged(both.select("node1", "node2").distinct())
-    nodes = pairs.select(F.explode(F.array("node1", "node2")).alias("node")).distinct()
-    prefixes = spread.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("prefix"), F.max(F.expr("at & 15")).alias("m"))
+    pairs = both.select("node1", "node2", "n1", "n2").distinct()
+    prefixes = spread.groupBy("node").agg(F.collect_list("token").alias("prefix"), F.max(F.expr("at & 15")).alias("m"))
     sides = [prefixes.toDF(f"node{i}", f"prefix{i}", f"m{i}") for i in (1, 2)]
-    enough = F.size(F.array_intersect("prefix1", "prefix2")) >= F.least("m1", "m2")
-    return pairs.join(sides[0], "node1").join(sides[1], "node2").filter(enough).select("node1", "node2")
+    shared = F.size(F.array_intersect("prefix1", "prefix2"))
+    found = pairs.join(sides[0], "node1").join(sides[1], "node2").withColumn("shared", shared).filter("shared >= LEAST(m1, m2)")
+    # up to where one of the prefixes ends they share what was counted; behind it that set has need - m shingles
+    behind = "GREATEST((4 * n1 + 4) div 5 - m1, (4 * n2 + 4) div 5 - m2)"
+    return found.filter(f"9 * (shared + {behind}) >= 4 * (n1 + n2)").select("node1", "node2")
 
 
-def _work(spread: DataFrame) -> tuple[float, float]:
+def _work(meetings: DataFrame) -> tuple[float, float]:
     """Postings that can be a pair's first common shingle, and pairs across components that meet under one."""
-    smaller, larger = (r.select("token", "cell", "comp", F.lit(s).alias("s"), F.lit(1 - s).alias("l")) for s, r in zip((1.0, 0.0), _roles(spread), strict=True))
-    sizes = smaller.unionAll(larger).groupBy("token", "cell", "comp").agg(F.sum("s").alias("s"), F.sum("l").alias("l"))
-    whole = sizes.groupBy("token", "cell").agg(F.sum("s").alias("s"), F.sum("l").alias("l"), F.sum(F.expr("s * l")).alias("same"))
-    row = whole.agg(F.sum(F.expr("s + l")), F.sum(F.expr("s * l - same"))).first()
+    sums = [F.sum(F.expr(e).cast("double")).alias(c) for e, c in (("k1", "k1"), ("k2", "k2"), ("k1 * k2", "same"))]
+    row = meetings.groupBy("token", "cell").agg(*sums).agg(F.sum(F.expr("k1 + k2")), F.sum(F.expr("k1 * k2 - same"))).first()
     return row[0] or 0.0, row[1] or 0.0
 
 
@@ -321,12 +327,17 @@ def jaccard_components(
     while True:
         comps = components(links)
         known = _spread(postings, comps)
-        left, across = _work(known)
+        meetings = _meetings(known)
+        left, across = _work(meetings)
         if across <= MOST_PAIRS * left or across > 0.8 * before:
             break
         links = links.unionAll(linked(_best_hub(_matching(_hub_pairs(known, turn)))))
         turn, before = turn + 1, across
-    rest = linked(_cross_pairs(known))
+        discard(known)
+        discard(meetings)
+    rest = linked(_cross_pairs(known, meetings))
+    discard(known)
+    discard(meetings)
     if not rest.isEmpty():
         comps = components(links.unionAll(rest))
     rows = sets.filter("chunk is null")
