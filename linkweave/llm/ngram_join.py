@@ -149,6 +149,7 @@ def _postings(docs: DataFrame, text_col: str, size: int, sketch: np.ndarray) ->
 
     narrow = docs.select(F.col(text_col).cast("string").alias("text"))
     raw = staged(narrow.mapInArrow(run, "token long, node long, at long"))
+    shared.destroy()  # the rows are written
     several = raw.groupBy("token").count().filter("count > 1").select("token")
     shared_ones = raw.join(several, "token", "left_semi").distinct()  # distinct: copies in other tasks repeat a set
     out = staged(shared_ones.withColumn("held", F.count("*").over(Window.partitionBy("node"))))  # as many as a set's prefix has
