@@ -17,7 +17,7 @@ classes all texts get the prior; repeated rows get equal scores; an empty table
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,7 +95,23 @@ class Model:
         return probability(self.curve[0] * margins + self.curve[1])
 
 
-def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: float = 1.0, rounds: int = 30, tolerance: float = 1e-3, seed: int = 0) -> np.ndarray:
+class _Scaled(Sequence):
+    """(places, values) of each row, its values of length one. Values are formed when asked for, so that the driver
+    holds four bytes a place and no second copy."""
+
+    def __init__(self, places: list[np.ndarray], ratios: np.ndarray):
+        self.places, self.ratios = places, ratios
+        self.norms = [np.sqrt(np.square(ratios[at]).sum()) for at in places]
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, norm = self.places[i], self.norms[i]
+        return at, self.ratios[at] / norm if norm else self.ratios[at]
+
+
+def dual_descent(rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: float = 1.0, rounds: int = 30, tolerance: float = 1e-3, seed: int = 0) -> np.ndarray:
     """Weights (bias last) of a linear machine with squared hinge loss. rows: places and values of each row; y: -1 or 1."""
     rng = np.random.default_rng(seed)
     w, alpha = np.zeros(size + 1), np.zeros(len(rows))
@@ -136,27 +152,23 @@ def _places(rows: DataFrame, most_features: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "quality", per_class: int = 5000, smoothing: float = 1.0, most_features: int = 5000) -> Model:
     """A model from up to about `per_class` labelled rows of either class."""
     found = sample(docs, labels, label_col, training, per_class)
-    rows = _places(found.rows, most_features).toPandas()
+    rows = _places(found.rows, most_features).toArrow()
     learn, y = rows["part"].to_numpy() < 75, rows["label"].to_numpy()
     if len(set(y[learn])) < 2:
         empty = np.zeros(1 << BITS)
         return Model(empty, empty, 0.0, (0.0, found.prior_shift((1, 1))))
-    places = rows["places"].to_numpy()
+    # views of the batches as they came
+    places = [at for chunk in rows["places"].chunks if len(chunk) for at in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
     counts = np.zeros((2, 1 << BITS))
-    for at, label in zip(places[learn], y[learn], strict=True):
-        counts[label][at] += 1
+    for at, label, use in zip(places, y, learn, strict=True):
+        if use:
+            counts[label][at] += 1
     shares = (counts + smoothing) / (counts + smoothing).sum(axis=1, keepdims=True)
     ratios = np.log(shares[1] / shares[0])
-
-    def scaled(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        value = ratios[at]
-        norm = np.sqrt(np.square(value).sum())
-        return at, value / norm if norm else value
-
-    vectors = [scaled(np.asarray(at, np.int64)) for at in places]
-    w = dual_descent([v for v, use in zip(vectors, learn, strict=True) if use], np.where(y[learn] == 1, 1.0, -1.0), 1 << BITS)
     check = ~learn if len(set(y[~learn])) == 2 else learn
-    margins = np.array([w[at] @ value + w[-1] for (at, value), use in zip(vectors, check, strict=True) if use])
+    learned, checked = (_Scaled([at for at, use in zip(places, part, strict=True) if use], ratios) for part in (learn, check))
+    w = dual_descent(learned, np.where(y[learn] == 1, 1.0, -1.0), 1 << BITS)
+    margins = np.array([w[at] @ value + w[-1] for at, value in checked])
     a, b = fit_logistic(margins[:, None], y[check])
     return Model(w[:-1] * ratios, ratios, float(w[-1]), (float(a), float(b) + found.prior_shift(((y[check] == 0).sum(), (y[check] == 1).sum()))))
 
