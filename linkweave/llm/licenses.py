@@ -1,14 +1,16 @@
 """Licence notices in text: a trained paragraph classifier, confirmed by comparison with templates.
 
 Paragraphs are lines; a long one is cut into overlapping windows. As notices are often wrapped, overlapping windows over
-the words of several lines are paragraphs too, wherever the lines break and blank ones stand. Their word n-grams (one and two words) are hashed into a
-sparse vector of indicators, for which a multinomial logistic regression gives the probability of each licence family and
-of none. The regression is trained on templates of every family, varied by leaving out and adding words, against
-paragraphs of the scanned documents that share no rare pair of words with a template (a bounded sample, `negatives`) and
-against shuffled templates. A family stands if its own probability is at least one half and a template of the family is
+the words of several lines are paragraphs too, wherever the lines break and blank ones stand. Those of their word n-grams
+(one and two words) that occur in templates make a vector of indicators, for which a multinomial logistic regression gives
+the probability of each licence family and of none. The regression is trained on templates of every family, varied by
+leaving out and adding words, against shuffled templates and against all paragraphs of the scanned documents that share no
+pair of words with a template. As all of those count, those with the same words of templates are one weighted row; together
+they weigh at most as much as `negatives` paragraphs, so that many documents do not outweigh the templates. A family stands if its own probability is at least one half and a template of the family is
 found in the paragraph: a share `least_overlap` of the template's pairs of words. Other paragraphs may be of the family
 "unknown": they hold at least two pairs of words of any templates, or the only pair they have is one, and their probability
-of "some licence" is above that of all but `false_share` of the held-out paragraphs without licence text, of both kinds.
+of "some licence" is above that of all but `false_share` of the weight of the held-out paragraphs without licence text, of both
+kinds.
 This cut depends on what is held out, so it decides on "unknown" alone.
 
 A notice is reported once for a line and for the lines around it: a paragraph of several lines is left out where one of its
@@ -28,7 +30,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,15 +92,16 @@ NONE, UNKNOWN = "none", "unknown"
 # Words that stand around notices and say nothing about the family.
 FILLER = "copyright 2019 2021 2024 the authors and contributors project file see full text for details code content www org com a of in on by all".split()
 
-BINS = 1 << 15
+# So many steps of a probability are told apart when the cut is found.
+STEPS = 100_000
 WINDOW, STEP = 120, 60
 # Over several lines: two windows share more words than the longest template has.
 WRAP_WINDOW, WRAP_STEP = 60, 30
 
 
 def words(text: Column) -> Column:
-    """Lower-case words and numbers of a text."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+|[.]+(?=\s|$)"), lambda w: F.length(w) > 0)
+    """Lower-case words and numbers of a text; full stops belong to them, but not before white space or at the end."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?:[\p{L}\p{N}+-]++|[.]++(?!\s|$))++"), 0)
 
 
 def pairs(w: Column) -> Column:
@@ -106,32 +109,62 @@ def pairs(w: Column) -> Column:
     return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def _windows(w: Column, window: int, step: int) -> Column:
-    """An array's overlapping windows, one at least."""
-    count = F.greatest(F.lit(1), F.ceil((F.size(w) - window) / step) + 1)
-    return F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.slice(w, (i * step + 1).cast("int"), F.lit(window)))
+@dataclass(frozen=True)
+class Wordings:
+    """The fixed templates' pairs of words, those of each template, and the n-grams that the classifier sees."""
+
+    pairs: list[str]
+    each: list[list[str]]
+    grams: list[str]
+
+
+def wordings(spark: SparkSession) -> Wordings:
+    rows = templates(spark).select("w", F.array_distinct(pairs(F.col("w"))).alias("g")).collect()  # of the fixed templates
+    known = sorted({g for r in rows for g in r["g"]})
+    return Wordings(known, [r["g"] for r in rows], sorted({w for r in rows for w in r["w"]} | set(FILLER)) + known)
+
 
+def _spans(start: Column, size: Column, window: int, step: int, span) -> Column:
+    """`span(part, first, length)` of each of the overlapping windows of `size` words from position `start`, one at least."""
+    count = F.greatest(F.lit(1), F.ceil((size - window) / step) + 1).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: span(i, start + i * step, F.least(F.lit(window), size - i * step)))
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, doc, line, last, part, w): the words of each line, in windows where there are many, and windows of words over
-    several lines; `doc` is a hash of the text."""
+
+def paragraphs(docs: DataFrame, known: list[str], shared: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, doc, line, last, part, w, hits): the words of each line, in windows where there are many, and windows of words
+    over several lines; `hits` are its pairs of words among `known`. Only paragraphs with such pairs (`shared`) or only
+    those without; `doc` is a hash of the text."""
     text = F.col(text_col).cast("string")
-    split = docs.select(F.col(id_col), F.xxhash64(text).alias("doc"), F.transform(F.split(text, "\n"), words).alias("_lines"))
-    lines = split.select(id_col, "doc", F.posexplode("_lines").alias("line", "_w")).filter(F.size("_w") > 0)
-    single = lines.select(id_col, "doc", "line", F.col("line").alias("last"), F.posexplode(_windows(F.col("_w"), WINDOW, STEP)).alias("part", "w"))
-    # each word with its line, so that a window knows which lines it covers
-    placed = F.flatten(F.transform("_lines", lambda w, line: F.transform(w, lambda x: F.struct(line.alias("line"), x.alias("word")))))
-    joined = split.select(id_col, "doc", placed.alias("_all")).filter(F.size("_all") > 0)
-    joined = joined.select(id_col, "doc", F.posexplode(_windows(F.col("_all"), WRAP_WINDOW, WRAP_STEP)).alias("part", "_w"))
-    ends = F.element_at("_w", 1)["line"].alias("line"), F.element_at("_w", -1)["line"].alias("last")
-    wrapped = joined.select(id_col, "doc", *ends, "part", F.col("_w.word").alias("w")).filter("line < last")
-    return single.unionByName(wrapped)
+    # every step reads the one before more than once, so that Spark keeps them apart; none of them runs twice
+    lines = docs.select(F.col(id_col), F.xxhash64(text).alias("doc"), F.transform(F.split(text, "\n"), words).alias("_lines"))
+    number = F.flatten(F.transform("_lines", lambda w, line: F.array_repeat(line, F.size(w))))
+    placed = lines.select(id_col, "doc", F.flatten("_lines").alias("_all"), number.alias("_line"))
+    first = sorted({p.split(" ")[0] for p in known})
+
+    def mark(word: Column, at: Column) -> Column:
+        both = F.concat(word, F.lit(" "), F.get("_all", at + 1))
+        return F.when(word.isin(first), F.when(both.isin(known), both))
+
+    begins = F.array_compact(F.transform("_line", lambda line, at: F.when((at == 0) | (line != F.get("_line", at - 1)), at)))
+    marked = placed.select(id_col, "doc", "_all", "_line", F.transform("_all", mark).alias("_marks"), begins.alias("_begins"))
+
+    def span(part: Column, at: Column, length: Column) -> Column:
+        hits = F.array_compact(F.slice("_marks", at + 1, length - 1))
+        ends = F.get("_line", at).alias("line"), F.get("_line", at + length - 1).alias("last")
+        return F.struct(*ends, part.alias("part"), at.alias("at"), length.alias("length"), hits.alias("hits"))
+
+    n = F.size("_all")
+    single = F.flatten(F.transform("_begins", lambda at, k: _spans(at, F.coalesce(F.get("_begins", k + 1), n) - at, WINDOW, STEP, span)))
+    wrapped = F.filter(_spans(F.lit(0), n, WRAP_WINDOW, WRAP_STEP, span), lambda s: s["line"] < s["last"])
+    found = F.when(n > 0, F.filter(F.concat(single, wrapped), lambda s: (F.size(s["hits"]) > 0) == shared))
+    read = F.transform(found, lambda s: F.struct(s["line"], s["last"], s["part"], F.slice("_all", s["at"] + 1, s["length"]).alias("w"), s["hits"]))
+    # an outer explode: for an inner one Spark adds a filter that would form all windows once more
+    return marked.select(id_col, "doc", F.explode_outer(read).alias("s")).filter("s IS NOT NULL").select(id_col, "doc", "s.*")
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    """`rows` with the hashed indicators of w's n-grams."""
-    grams = rows.withColumn("grams", F.concat(F.col("w"), pairs(F.col("w"))))
-    return HashingTF(inputCol="grams", outputCol="features", numFeatures=BINS, binary=True).transform(grams).drop("grams")
+def _vectors(rows: DataFrame, known: Wordings) -> DataFrame:
+    """`rows` with the indicators of the known n-grams among `grams`."""
+    return CountVectorizerModel.from_vocabulary(known.grams, inputCol="grams", outputCol="features").setBinary(True).transform(rows).drop("grams")
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -165,49 +198,54 @@ class Classifier:
 
 
 def train(docs: DataFrame, negatives: int = 4000, variants: int = 24, false_share: float = 0.0005, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Fit the classifier; `negatives` bounds the paragraphs taken from the documents."""
+    """Fit the classifier; `negatives` is what the documents' paragraphs weigh together, if there are as many."""
     spark = docs.sparkSession
-    base = templates(spark)
-    known = [r["p"] for r in base.select(F.explode(pairs(F.col("w"))).alias("p")).distinct().collect()]  # of the fixed templates
-    # some documents, so that about four paragraphs of each make up the sample
-    spot = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30))
-    chosen = docs.filter(spot < int(min(1.0, negatives / 4 / max(docs.count(), 1)) * (1 << 30)) + 1)
-    own = paragraphs(chosen, id_col, text_col).filter(~F.arrays_overlap(pairs(F.col("w")), F.array(*[F.lit(p) for p in known])))
-    counted = own.select("w", F.xxhash64("w").alias("h"))
-    some = counted.orderBy("h").select(F.col("w"), F.col("h")).limit(negatives)
-    others = some.select("w", F.lit(NONE).alias("family"), (F.pmod("h", F.lit(2)) == 1).alias("held_out"))
-    rows = _varied(base, variants).select("w", "family", "held_out").unionByName(_shuffled(base, 8).select("w", "family", "held_out")).unionByName(others)
+    base, known = templates(spark), wordings(spark)
+    seen = set(known.grams) - set(known.pairs)
+    own = paragraphs(docs, known.pairs, False, id_col, text_col)
+    own = own.select(F.array_sort(F.array_distinct(F.filter("w", lambda w: w.isin(sorted(seen))))).alias("grams"), (F.pmod(F.xxhash64("w"), F.lit(2)) == 1).alias("held_out"))
+    own = staged(own.groupBy("grams", "held_out").agg(F.count("*").alias("n")))
+    total = own.agg(F.sum("n")).first()[0] or 0
+    others = own.select("grams", F.lit(NONE).alias("family"), "held_out", (F.col("n") * min(1.0, negatives / max(total, 1))).alias("weight"))
+    made = _varied(base, variants).select("w", "family", "held_out").unionByName(_shuffled(base, 8).select("w", "family", "held_out"))
+    rows = made.select(F.concat("w", pairs(F.col("w"))).alias("grams"), "family", "held_out", F.lit(1.0).alias("weight")).unionByName(others)
     families = sorted({f for f, _ in TEMPLATES}) + [NONE]
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
-    rows = staged(rows.withColumn("label", label))
-    machine = LogisticRegression(family="multinomial", regParam=2e-4, maxIter=40, featuresCol="features", labelCol="label")
-    model = machine.fit(_vectors(rows.filter("NOT held_out")))
-    held = model.transform(_vectors(rows.filter("held_out"))).select("family", (1 - vector_to_array("probability")[len(families) - 1]).alias("p"))
-    cut = held.filter(F.col("family") == NONE).agg(F.percentile_approx("p", F.lit(1 - false_share), F.lit(100_000))).first()[0]
+    rows = _vectors(rows.withColumn("label", label), known)
+    machine = LogisticRegression(family="multinomial", regParam=2e-4, maxIter=40, featuresCol="features", labelCol="label", weightCol="weight")
+    model = machine.fit(rows.filter("NOT held_out"))
+    held = model.transform(rows.filter("held_out").filter(F.col("family") == NONE))
+    held = held.select("weight", (1 - vector_to_array("probability")[len(families) - 1]).alias("p"))
+    # at most STEPS + 1 rows, whatever the input
+    steps = held.groupBy(F.floor(F.col("p") * STEPS).alias("step")).agg(F.sum("weight").alias("weight"), F.max("p").alias("p"))
+    below = steps.select("p", F.sum("weight").over(Window.orderBy("step")).alias("below"), F.sum("weight").over(Window.partitionBy()).alias("all"))
+    cut = below.filter(F.col("below") >= (1 - false_share) * F.col("all")).agg(F.min("p")).first()[0]
     return Classifier(model, families, max(0.5, cut or 0.0))
 
 
 def scan(docs: DataFrame, classifier: Classifier, least_overlap: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, line, part, family, probability, template, overlap, text, last) of each paragraph that is licence text."""
     n = len(classifier.families)
-    # the fixed templates are compared as one small array, so no join is needed
     spark = docs.sparkSession
-    known = [(r["family"], r["template"], r["g"]) for r in templates(spark).select("family", "template", F.array_distinct(pairs(F.col("w"))).alias("g")).collect()]
-    entries = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("template"), F.array(*[F.lit(g) for g in grams]).alias("g")) for f, t, grams in known])
-    anywhere = F.array(*[F.lit(g) for g in sorted({g for _, _, grams in known for g in grams})])
-    # without any pair of a template a paragraph can neither be confirmed nor unknown
-    possible = paragraphs(docs, id_col, text_col).filter(F.arrays_overlap(pairs(F.col("w")), anywhere))
-    scored = classifier.model.transform(_vectors(possible))
-    scored = scored.select(id_col, "doc", "line", "last", "part", "w", vector_to_array("probability").alias("p"))
+    known = wordings(spark)
+    # without any pair of a template a paragraph can neither be confirmed nor unknown; one pair confirms short templates only
+    asked = F.greatest(F.lit(1), F.least(F.lit(2), F.size("w") - 1))
+    enough = [g for each in known.each if 1 / len(each) >= least_overlap for g in each]
+    possible = paragraphs(docs, known.pairs, True, id_col, text_col).withColumn("hits", F.array_distinct("hits"))
+    possible = possible.filter((F.size("hits") >= asked) | F.exists("hits", lambda g: g.isin(enough)))
+    scored = classifier.model.transform(_vectors(possible.withColumn("grams", F.concat("w", "hits")), known))
+    scored = scored.select(id_col, "doc", "line", "last", "part", "w", "hits", vector_to_array("probability").alias("p"))
     best = F.array_max(F.transform(F.slice("p", 1, n - 1), lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))
-    found = scored.withColumn("best", best).withColumn("guess", F.element_at(F.array(*[F.lit(f) for f in classifier.families]), (1 - F.col("best.i")).cast("int")))
-    own = F.filter(entries, lambda e: e["family"] == F.col("guess"))
-    overlap = F.transform(own, lambda e: F.struct((F.size(F.array_intersect(e["g"], F.col("grams"))) / F.size(e["g"])).alias("overlap"), (-e["template"]).alias("template")))
-    found = found.withColumn("grams", pairs(F.col("w"))).withColumn("match", F.array_max(overlap))
+    guess = F.element_at(F.array(*[F.lit(f) for f in classifier.families]), (1 - F.col("best.i")).cast("int"))
+    found = scored.withColumn("best", best).withColumn("guess", guess)
+    # the fixed templates of a family are one row
+    entries = templates(spark).select(F.col("family").alias("guess"), F.struct("template", F.array_distinct(pairs(F.col("w"))).alias("g")).alias("e"))
+    found = found.join(F.broadcast(entries.groupBy("guess").agg(F.collect_list("e").alias("own"))), "guess")
+    overlap = F.transform("own", lambda e: F.struct((F.size(F.array_intersect(e["g"], F.col("hits"))) / F.size(e["g"])).alias("overlap"), (-e["template"]).alias("template")))
+    found = found.withColumn("match", F.array_max(overlap))
     confirmed = (F.col("best.p") >= 0.5) & (F.col("match.overlap") >= least_overlap)
-    asked = F.greatest(F.lit(1), F.least(F.lit(2), F.size("grams")))
     licensed = 1 - F.col("p")[n - 1] >= classifier.least
-    found = found.filter(confirmed | (licensed & (F.size(F.array_intersect("grams", anywhere)) >= asked)))
+    found = found.filter(confirmed | (licensed & (F.size("hits") >= asked)))
     found = found.select(
         id_col, "doc", "line", "last", "part", F.when(confirmed, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("best.p", 6).alias("probability"),
         F.when(confirmed, -F.col("match.template")).alias("template"), F.col("match.overlap").alias("overlap"), F.concat_ws(" ", "w").alias("text"),

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from linkweave.llm import licenses
@@ -101,3 +102,44 @@ def test_planted_notices_of_the_documents_are_all_found(spark):
     for r in found:
         held = grams(r["text"].split(" "))
         assert max(len(held & grams(t)) / len(grams(t)) for t, f in wordings.items() if f == r["family"]) >= 0.6
+
+
+def test_all_paragraphs_of_the_documents_count(spark, docs):
+    """Of more paragraphs than `negatives`, each has its share: a table that comes twice gives the same classifier."""
+    words = [f"{a}{b}" for a in ("sto", "ri", "lam", "gre", "hil") for b in ("ne", "ver", "ps", "en", "ls")] + ["the", "of", "and", "license", "software", "rights", "public"]
+    lines = spark.createDataFrame([(i, " ".join(words[(i * i + j * (1 + i % 11)) % len(words)] for j in range(9))) for i in range(900)], "doc_id long, text string")
+    once = licenses.train(lines, negatives=100, variants=4)
+    twice = licenses.train(lines.union(lines.selectExpr("doc_id + 1000", "text")), negatives=100, variants=4)
+    assert np.allclose(once.model.coefficientMatrix.toArray(), twice.model.coefficientMatrix.toArray(), atol=1e-3)
+    assert once.least == pytest.approx(twice.least, abs=1e-3)
+
+
+ODD = [
+    "One line. Of words, v2.0 and C++... and -- more.)\n\n  \n.\nEnds... here. \nÄrger ΣΑΣ\r\nİstanbul a..b x.y. z .", "", "\n", "word", "a b\nc", None,
+    "\n".join(" ".join(f"w{i * j % 17}." for j in range(i * 9 % 41)) for i in range(40)), " ".join(f"v{i}" for i in range(500)) + "\nthe end of the\nline",
+    " ".join(f"v{i}" for i in range(60)), " ".join(f"v{i}" for i in range(120)) + "\n" + " ".join(f"v{i}" for i in range(121)),
+]
+
+
+def test_paragraphs_against_plain_python(spark):
+    def cut(w, window, step):
+        return [w[i * step : i * step + window] for i in range(max(1, -(-(len(w) - window) // step) + 1))]
+
+    known = ["of the", "v3 v4", "w1 w2", "v119 v0", "c++... and"]
+    want = []
+    for n, text in enumerate(ODD):
+        # white space and ends of lines as Java has them
+        lines = [[w for w in re.split(r"[^\w.+-]+|_+|[.]+(?=[ \t\n\x0b\f\r]|[\r\u0085  ]?\Z)", line.lower()) if w] for line in (text or "").split("\n")]
+        every = [(i, w) for i, line in enumerate(lines) for w in line]
+        found = [(i, i, part, w) for i, line in enumerate(lines) if line for part, w in enumerate(cut(line, 120, 60))]
+        found += [(w[0][0], w[-1][0], part, [x for _, x in w]) for part, w in enumerate(cut(every, 60, 30)) if w and w[0][0] < w[-1][0]]
+        want += [(n, *p, [f"{a} {b}" for a, b in zip(p[-1], p[-1][1:]) if f"{a} {b}" in known]) for p in found]
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    got = {s: [(r["doc_id"], r["line"], r["last"], r["part"], r["w"], r["hits"]) for r in licenses.paragraphs(docs, known, s).collect()] for s in (True, False)}
+    assert sorted(got[True] + got[False]) == sorted(want)
+    assert all(hits for *_, hits in got[True]) and not any(hits for *_, hits in got[False]) and got[True]
+
+
+def test_a_text_is_read_once(docs):
+    plan = licenses.scan(docs, licenses.train(docs, negatives=50, variants=4))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") - plan.count("lower(text#") == 1  # of the documents; the other ones are the templates'
