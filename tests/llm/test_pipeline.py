@@ -73,7 +73,7 @@ def test_nulls_and_empty_tables_pass(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.execute(ORACLES[name]).fetchall()
     names = [d[0] for d in con.description]
