@@ -3,12 +3,14 @@ import hashlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
 import corpus_pipeline
 from linkweave.llm import bpe
 from linkweave.llm.queries import ORACLES, QUERIES
+from linkweave.session import small_batches
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,6 +58,27 @@ def test_run_gives_the_rows_of_the_stages(spark, stages):
     assert key(corpus_pipeline.run(spark, SF)) == key(stages[-1])
 
 
+def test_python_tasks_get_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "mix":  # has no Python tasks
+            continue
+        session = spark.newSession()
+        docs = session.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+        assert stage(session, docs, SF).count() == 0
+        texts = session.range(2000, numPartitions=1).selectExpr("id", "repeat('words ', 1000) AS text")
+        found = texts.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in found) == 2000 and max(r["bytes"] for r in found) < 2 << 20, name
+    session = spark.newSession()
+    session.conf.set(key, "4m")
+    small_batches(session)
+    assert session.conf.get(key) == "4m"
+
+
 def test_nulls_and_empty_tables_pass(spark, tmp_path):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
