@@ -1,6 +1,7 @@
 """Steps taken a pair at a time give what the long tables give."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,18 @@ def test_other_rows_take_the_general_way(spark):
     unlisted = links.withColumn("tax_id", F.lit("1"))
     with pytest.raises(Exception, match="not in the fixed lists: .* / 1"):
         I.compute_fbs(I.integrate(I.merge_types(M.score_to_llr(unlisted, models)))).collect()
+
+
+def test_redundancy_counts_scores_before_models(spark):
+    links, models = _inputs(spark, n=4000)
+    llr = M.score_to_llr(links, models)
+    for method in ("spearman", "pearson"):
+        one, other = M.redundancy(llr, 3, method), M.redundancy(_forget(llr), 3, method)
+        assert one.columns == other.columns and one.dtypes == other.dtypes
+    cells = M._common_values(llr)
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    # the links meet before the gold standards of the models multiply them
+    meet = [line for line in plan.splitlines() if re.search(r"Join Inner.* type#|Join Inner.*\(type#", line)]
+    assert len(meet) == 1 and "score#" not in meet[0] and "gs#" not in meet[0]
+    assert _plain(cells) == _plain(M._common_values(_forget(llr)).select(*cells.columns))
+    assert cells.count() > 20
