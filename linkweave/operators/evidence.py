@@ -44,9 +44,22 @@ def jaccard_pairs(sets: DataFrame, keep_terms: bool = False, tile: int = 4096) -
 
 
 def shared_terms(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The attributes behind given pairs, as a sorted list (empty lists are left out)."""
-    left, right = sets.select(F.col("id").alias("a"), "attr"), sets.select(F.col("id").alias("b"), "attr")
-    both = pairs.select("a", "b").join(left, "a").join(right, ["b", "attr"])
+    """The attributes behind given pairs, as a sorted list (empty lists are left out).
+
+    Either the attributes of one end go to the pairs, or the pairs of members of every attribute meet the given ones: what makes
+    fewer rows, by counts of both."""
+    pairs, sets = pairs.select("a", "b"), sets.select("id", "attr").distinct()
+    left, right = sets.withColumnRenamed("id", "a"), sets.withColumnRenamed("id", "b")
+    held, asked = left.groupBy("a").agg(F.count("*").alias("_n")), pairs.groupBy("a").agg(F.count("*").alias("_m"))
+    by_pair = held.join(asked, "a").agg(F.sum(F.col("_n").cast("double") * F.col("_m"))).first()[0] or 0.0
+    members = sets.groupBy("attr").agg(F.count("*").cast("double").alias("_n"))
+    by_attr = members.agg(F.sum(F.col("_n") * (F.col("_n") - 1) / 2)).first()[0] or 0.0
+    if by_pair <= by_attr:
+        both = pairs.join(left, "a").join(right, ["b", "attr"])
+    else:
+        ends = pairs.withColumns({"_x": F.greatest("a", "b"), "_y": F.least("a", "b")})
+        common = member_pairs(sets, ["attr"], "id", "_x", "_y")
+        both = common.join(ends.filter("a <> b"), ["_x", "_y"]).select("a", "b", "attr").unionByName(pairs.filter("a = b").join(left, "a"))
     return both.groupBy("a", "b").agg(F.array_sort(F.collect_set("attr")).alias("terms"))
 
 
